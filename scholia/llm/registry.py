@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import quality_model, quality_rules, sharding, source_mix
+from scholia.llm import quality_model, quality_rules, secrets, sharding, source_mix
 
-MODULES = (quality_rules, quality_model, sharding, source_mix)
+MODULES = (quality_rules, quality_model, sharding, secrets, source_mix)
 
 
 def queries() -> dict:
