@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import chat_format, licenses, quality_model, quality_rules, secrets, sharding, source_mix
+from scholia.llm import chat_format, decontaminate, licenses, quality_model, quality_rules, secrets, sharding, simhash, source_mix
 
-MODULES = (licenses, quality_rules, quality_model, sharding, secrets, chat_format, source_mix)
+MODULES = (licenses, quality_rules, quality_model, sharding, secrets, chat_format, simhash, source_mix, decontaminate)
 
 
 def queries() -> dict:
