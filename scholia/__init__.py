@@ -1,0 +1 @@
+"""Research-corpus analytics on Spark."""
