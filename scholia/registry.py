@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("aggregates", "cooccurrence", "ranking", "joining")
+PLANS = ("aggregates", "cooccurrence", "ranking", "joining", "merging", "statistics", "vectors")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
