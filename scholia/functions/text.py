@@ -234,13 +234,13 @@ PARAMETERS: list[tuple[str, str, tuple[int | str, ...]]] = [
 
 def parameters(text: Column) -> Column:
     """Array of (category, value): all matches of PARAMETERS, in their order."""
-    found = []
-    for category, pattern, template in PARAMETERS:
-        groups = {g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in template if isinstance(g, int)}
-        zipped = F.arrays_zip(*(v.alias(f"g{g}") for g, v in groups.items()))
-        value = lambda x, t=template: F.concat(*(x[str(p - 1)] if isinstance(p, int) else F.lit(p) for p in t))
-        found.append(F.transform(zipped, lambda x, c=category, value=value: F.struct(F.lit(c).alias("category"), value(x).alias("value"))))
-    return F.concat(*found)
+
+    def found(category: str, pattern: str, template: tuple[int | str, ...]) -> Column:
+        groups = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in template if isinstance(g, int)))
+        value = lambda x: F.concat(*(x[f"g{p}"] if isinstance(p, int) else F.lit(p) for p in template))
+        return F.transform(groups, lambda x: F.struct(F.lit(category).alias("category"), value(x).alias("value")))
+
+    return F.concat(*(found(*p) for p in PARAMETERS))
 
 
 def sentence_facts(sentence: Column) -> Column:
