@@ -7,7 +7,7 @@ over fixed prefixes, so documents are read twice (histogram, assignment) whateve
 Size is the UTF-8 length of the text; null counts as 0 bytes. What no bit can part: a document above the limit has a shard of
 its own (``fits`` is false), and rows repeated in id and text so often that together they exceed the limit are dealt to
 shards ``<bits>-<n>`` by counts per input partition. Columns added to whole documents are shard columns only; an input column
-of that name is replaced.
+of such a name is replaced.
 """
 
 from __future__ import annotations
@@ -66,16 +66,16 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, int]:
 def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The documents with SHARD_COLUMNS: the shard's bits (or bits-n), their number, the shard's bytes and rows."""
     own = [c for c in docs.columns if c not in SHARD_COLUMNS]
-    keyed = docs.select(*(f"`{c}`" for c in own), hashed(F.col("doc_id"), F.col("text")).alias("_h"), size(F.col("text")).alias("_n"))
-    found, bits = directory(keyed.select(F.col("_h").alias("h"), F.col("_n").alias("n")), limit)
-    found = found.select(F.col("leaf").alias("_leaf"), F.col("depth").alias("shard_depth"), "shard_bytes", "shard_docs")
+    keyed = docs.select(F.struct(*(f"`{c}`" for c in own)).alias("row"), hashed(F.col("doc_id"), F.col("text")).alias("h"), size(F.col("text")).alias("n"))
+    found, bits = directory(keyed.select("h", "n"), limit)
+    found = found.select("leaf", F.col("depth").alias("shard_depth"), "shard_bytes", "shard_docs")
     small = found.count() <= BROADCAST_ROWS
-    rows = keyed.withColumn("_leaf", prefix(F.col("_h"), bits)).join(F.broadcast(found) if small else found, "_leaf")
-    name = F.expr(f"CASE WHEN shard_depth = 0 THEN '' ELSE lpad(bin(shiftright(_leaf, {bits} - shard_depth)), shard_depth, '0') END")
+    rows = keyed.withColumn("leaf", prefix(F.col("h"), bits)).join(F.broadcast(found) if small else found, "leaf")
+    name = F.expr(f"CASE WHEN shard_depth = 0 THEN '' ELSE lpad(bin(shiftright(leaf, {bits} - shard_depth)), shard_depth, '0') END")
     rows = rows.withColumn("shard", name)
     if not found.where((F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)).isEmpty():
         rows = _deal_repeats(rows, limit)
-    return rows.withColumn("fits", F.col("shard_bytes") <= limit).select(*(f"`{c}`" for c in own), *SHARD_COLUMNS)
+    return rows.withColumn("fits", F.col("shard_bytes") <= limit).select(*(F.col("row")[c].alias(c) for c in own), *SHARD_COLUMNS)
 
 
 def _deal_repeats(rows: DataFrame, limit: int) -> DataFrame:
@@ -85,16 +85,16 @@ def _deal_repeats(rows: DataFrame, limit: int) -> DataFrame:
     repeats, or one row per partition.
     """
     crowded = (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
-    part = cut(rows.where(crowded).withColumn("_part", F.spark_partition_id()))
-    counts = part.groupBy("shard", "_part").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(F.lit(1))) - 1
-    dealt = part.withColumn("_place", place).join(before.drop("_c"), ["shard", "_part"])
-    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("_n"), F.lit(1))))
-    number = F.floor((F.col("_place") + F.col("_before")) / each)
+    part = cut(rows.where(crowded).withColumn("part", F.spark_partition_id()))
+    counts = part.groupBy("shard", "part").agg(F.count("*").alias("c"))
+    before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy(F.lit(1))) - 1
+    dealt = part.withColumn("place", place).join(before.drop("c"), ["shard", "part"])
+    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n"), F.lit(1))))
+    number = F.floor((F.col("place") + F.col("before")) / each)
     held = F.least(each, F.col("shard_docs") - number * each)
-    dealt = dealt.withColumn("_number", number).withColumn("_held", held)
-    dealt = dealt.withColumn("shard", F.concat_ws("-", "shard", F.col("_number").cast("string"))).withColumn("shard_docs", F.col("_held")).withColumn("shard_bytes", F.col("_held") * F.col("_n"))
+    dealt = dealt.withColumn("number", number).withColumn("held", held)
+    dealt = dealt.withColumn("shard", F.concat_ws("-", "shard", F.col("number").cast("string"))).withColumn("shard_docs", F.col("held")).withColumn("shard_bytes", F.col("held") * F.col("n"))
     return rows.where(~crowded).unionByName(dealt.select(*rows.columns))
 
 

@@ -215,11 +215,12 @@ def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key", "fp")).alias("r"), F.count("*").alias("n"))
     named = found.where("doc_id = component_id").groupBy("component_id").agg(F.min(F.struct("doc_id", "key", "fp")).alias("r"))
     keep = first.where("component_id IS NULL").select("r.doc_id", "r.key").unionByName(named.select("r.doc_id", "r.key")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    kept = docs.withColumn("_of", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_key")), "left_semi")
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"))
+    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_key")), "left_semi")
     repeated = found.groupBy("doc_id", "key").count().where("count > 1")
     if not repeated.isEmpty():  # equal in id and text: any one of them stays
-        kept = kept.dropDuplicates(["doc_id", "_of"])
-    return kept.drop("_of")
+        kept = kept.dropDuplicates(["id", "of"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

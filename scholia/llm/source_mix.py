@@ -6,7 +6,8 @@ draw, seeded by its id, falls below the rate's fraction, so reruns and retried t
 
 A null text has size 0; null and empty sources are sources like any other (null comes last). Without any words all targets
 are 0 and nothing is taken. A repeated row is drawn like its twin: both are taken equally often. A null id is drawn by the
-text instead. Only doc_id, text and source are read, and what is added for ``mix`` is named apart and dropped again.
+text instead. Only doc_id, text and source are read; ``mix`` carries
+all other columns along untouched.
 """
 
 from __future__ import annotations
@@ -60,24 +61,25 @@ def _small(rates: DataFrame) -> bool:
 
 
 def _rated(docs: DataFrame, seed: str) -> DataFrame:
-    """The documents with the columns _size, _of, _target and _copies."""
-    rates = cut(targets(docs)).select(F.col("source").alias("_source"), F.col("source_size").alias("_of"), F.col("target").alias("_target"))
-    rows = docs.join(F.broadcast(rates) if _small(rates.withColumnRenamed("_source", "source")) else rates, docs["source"].eqNullSafe(rates["_source"]), "left").drop("_source")
-    rate = F.when(F.col("_of") > 0, F.col("_target") / F.col("_of")).otherwise(F.lit(0.0))
-    extra = (draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("long")
-    return rows.withColumn("_size", words(F.col("text"))).withColumn("_copies", F.floor(rate) + extra)
+    """row (the input's columns), doc_id, size, source_size, target, copies."""
+    rates = cut(targets(docs))
+    rates = (F.broadcast(rates) if _small(rates) else rates).withColumnRenamed("source", "of")
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "doc_id", "source", words(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("draw"))
+    rows = rows.join(rates, F.col("source").eqNullSafe(F.col("of")), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return rows.withColumn("copies", F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long"))
 
 
 def assign(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken: one row per input row."""
     rows = _rated(docs.select("doc_id", "text", "source"), seed)
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_of").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed corpus: the input's rows and columns, each row as often as it is taken."""
-    rows = _rated(docs, seed).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(f"`{c}`" for c in docs.columns))
+    rows = _rated(docs, seed).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
