@@ -221,7 +221,7 @@ def valid_items(items: Column, categories: tuple[str, ...]) -> Column:
 
 def sanitize_escapes(text: Column) -> Column:
     """Doubles backslashes that begin no JSON escape."""
-    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\")
 
 
 def default_bands(atoms: Column) -> Column:

@@ -202,8 +202,8 @@ def is_valid_fact(category: Column, value: Column) -> Column:
     low, plain = F.lower(v), F.translate(v, "⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-")
     formula_and_number = v.rlike(r"^(?:[A-Z][a-z]?\d{0,2}){2,6}\d{3}$")
     short_code = v.rlike(r"^[A-Za-z]{2,4}\d{1,3}$") & (F.length(v) <= 7) & ~v.rlike(r"[a-z][A-Z]")
-    material = (F.length(v) <= 40) & ~low.isin(L.GARBLED_MATERIALS + L.GENERIC_MATERIALS) & ~short_code & ~formula_and_number & ~low.rlike("not specified|not reported")
-    label = low.isin(L.TECHNIQUE_LABELS)
+    material = (F.length(v) <= 40) & ~low.isin(*L.GARBLED_MATERIALS, *L.GENERIC_MATERIALS) & ~short_code & ~formula_and_number & ~low.rlike("not specified|not reported")
+    label = low.isin(*L.TECHNIQUE_LABELS)
     begins = F.lit(False)
     for t in L.TECHNIQUE_LABELS:
         begins = begins | low.startswith(t)

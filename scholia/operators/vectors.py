@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def normalized(v: Column) -> Column:
@@ -31,8 +32,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     matrix product per batch and keeps k candidates per query, so at most k rows per query and task are shuffled. Ties go to the least key.
     Filter the vectors before, never after. Rows without a vector, or of another dimension than the query's, are left out.
     """
-    kind = vectors.schema[key].dataType.simpleString()
-    qkind = queries.schema[key].dataType.simpleString()
+    kind, qkind = (f.schema[key].dataType.simpleString() for f in (vectors, queries))
+    key_type, query_type = (to_arrow_type(f.schema[key].dataType) for f in (vectors, queries))
     rows = queries.where(F.col(vector).isNotNull()).select(key, vector).orderBy(key).collect()  # the query set, which the caller bounds
     found = None
     for start in range(0, max(len(rows), 1), block):
@@ -55,7 +56,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
             out = [(ids[n], i, d) for n in range(len(ids)) for d, i in best[n]]
             if out:
                 a, c, d = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d, pa.float64())], ["query", key, "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, query_type), pa.array(c, key_type), pa.array(d, pa.float64())], ["query", key, "distance"])
 
         one = vectors.select(key, vector).mapInArrow(nearest, f"query {qkind}, `{key}` {kind}, distance double")
         found = one if found is None else found.unionByName(one)

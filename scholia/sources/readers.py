@@ -38,7 +38,7 @@ def xrdml(spark: SparkSession, path: str) -> DataFrame:
     """Scans of XRDML files: file, and the axis between its ends beside the counts."""
     plain = F.regexp_replace("text", r'\sxmlns="[^"]*"', "")
     rows = whole_texts(spark, path).withColumn("text", plain)
-    counts = F.split(F.trim(F.coalesce(F.xpath_string("text", F.lit("//intensities")), F.xpath_string("text", F.lit("//counts")))), r"\s+")
+    counts = F.split(F.trim(F.coalesce(*(F.nullif(F.xpath_string("text", F.lit(f"//{tag}")), F.lit("")) for tag in ("intensities", "counts")))), r"\s+")
     start, end = (F.xpath_double("text", F.lit(f"//positions[@axis='2Theta']/{p}")) for p in ("startPosition", "endPosition"))
     intensity = F.transform(counts, lambda x: x.try_cast("double"))
     return rows.select("file", S.linspace(start, end, F.size(intensity)).alias("axis"), intensity.alias("intensity"))
