@@ -31,7 +31,7 @@ def ascii_table(spark: SparkSession, path: str, header_lines: int = 50) -> DataF
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """Rows (file, text), one per file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def xrdml(spark: SparkSession, path: str) -> DataFrame:

@@ -253,7 +253,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "jobs/j1/status.json").write_text(json.dumps({"job_id": "j1", "status": "done", "created_at": "2024-01-01T00:00:00", "exit_code": 0}))
     assert [r["job_id"] for r in readers.jobs(spark, str(tmp_path / "jobs"), "done").collect()] == ["j1"]
     for n in ("Zn.pbe-us.UPF", "Zn.pz-nc.UPF", "Se_pbe_paw.upf"):
-        (tmp_path / n).write_text("")
+        (tmp_path / n).write_text("<UPF/>")
     files = readers.pseudopotentials(spark, str(tmp_path))
     species = spark.createDataFrame([("Zn",), ("Se",), ("Te",)], "symbol STRING")
     got = {r["symbol"]: (r["recommended"], r["missing"]) for r in readers.ranked_pseudopotentials(files, species).collect()}
