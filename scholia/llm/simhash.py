@@ -27,7 +27,7 @@ from xxhash import xxh64_digest
 from scholia.llm.common import components, cut, table
 
 SEED, WORDS, RADIUS = 42, 3, 3
-SAMPLE, SHARD_ROWS, LEAF, BLOCK = 16_384, 4096, 48, 1 << 21
+SAMPLE, SPREAD, LEAF, BLOCK = 16_384, 16, 48, 1 << 21
 
 
 def fingerprint(text: str | None) -> int:
@@ -173,7 +173,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints (column fp, long) within the radius."""
     n = distinct.count()
     sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    shards = max(1, math.ceil(n / SHARD_ROWS))
+    shards = max(1, math.ceil(math.sqrt(n) / SPREAD))  # a fingerprint is sent to more shards the more there are: few large ones
     tree, _ = build(sample, len(sample) / shards, radius)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
