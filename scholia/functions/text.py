@@ -142,15 +142,20 @@ def section_name(name: Column) -> Column:
 # Lexicons
 
 
-def first_label(text: Column, lexicon: Pairs) -> Column:
-    """The label of the first phrase, in the lexicon's order, that the text holds; null if none."""
-    low = F.lower(text)
-    return F.coalesce(*(F.when(low.contains(k), F.lit(v)) for k, v in lexicon))
+def first_label(text: Column, lexicon: Pairs, low: Column | None = None) -> Column:
+    """The label of the first phrase, in the lexicon's order, that the text holds; null if none. `low`: the text in lower case, if at hand."""
+    low = F.lower(text) if low is None else low
+    return F.get(_hits(low, lexicon), F.lit(0))["v"]
 
 
 def all_labels(text: Column, lexicon: Pairs) -> Column:
-    low = F.lower(text)
-    return F.array_distinct(F.array_compact(F.array(*(F.when(low.contains(k), F.lit(v)) for k, v in lexicon))))
+    return F.array_distinct(F.transform(_hits(F.lower(text), lexicon), lambda e: e["v"]))
+
+
+def _hits(low: Column, lexicon: Pairs) -> Column:
+    """The entries whose phrase a text holds. The lexicon is one literal, so long ones don't swell the generated code."""
+    entries = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in lexicon))
+    return F.filter(entries, lambda e: F.contains(low, e["k"]))
 
 
 def acronym(token: Column) -> Column:
@@ -175,10 +180,9 @@ def keywords(text: Column, least: int = 4) -> Column:
 # Facts
 
 
-def is_noise_sentence(sentence: Column) -> Column:
-    low, found = F.lower(sentence), F.lit(False)
-    for p in L.NOISE_PHRASES:
-        found = found | low.contains(p)
+def is_noise_sentence(sentence: Column, low: Column | None = None) -> Column:
+    low = F.lower(sentence) if low is None else low
+    found = F.exists(F.array(*map(F.lit, L.NOISE_PHRASES)), lambda p: F.contains(low, p))
     address = sentence.rlike(r"\d[A-Z][a-z]") & sentence.rlike(r"Department|Institute|University|College|Laboratory|Lab")
     authors = sentence.rlike(r"[A-Z][a-z]+\d,\s+[A-Z][a-z]+\d")
     w, commas = words(sentence), F.length(sentence) - F.length(F.replace(sentence, F.lit(","), F.lit("")))
@@ -243,12 +247,14 @@ def parameters(text: Column) -> Column:
     return F.concat(*(found(*p) for p in PARAMETERS))
 
 
-def sentence_facts(sentence: Column) -> Column:
-    """Array of (category, value): the rules' findings in one sentence; none in a noise sentence."""
+def sentence_facts(sentence: Column, low: Column | None = None) -> Column:
+    """Array of (category, value): the rules' findings in one sentence; none in a noise sentence. All parameters have digits."""
     one = lambda c, v: F.when(v.isNotNull(), F.struct(F.lit(c).alias("category"), v.alias("value")))
-    named = F.array_compact(F.array(one("characterization", first_label(sentence, L.CHARACTERIZATION)), one("synthesis_method", first_label(sentence, L.SYNTHESIS)), one("defect_type", first_label(sentence, L.DEFECTS))))
+    lexicons = {"characterization": L.CHARACTERIZATION, "synthesis_method": L.SYNTHESIS, "defect_type": L.DEFECTS}
+    named = F.array_compact(F.array(*(one(c, first_label(sentence, x, low)) for c, x in lexicons.items())))
     none = F.expr("CAST(array() AS array<struct<category:string,value:string>>)")
-    return F.when(is_noise_sentence(sentence), none).otherwise(F.array_distinct(F.concat(named, parameters(sentence))))
+    found = F.when(sentence.rlike("[0-9]"), F.array_distinct(F.concat(named, parameters(sentence)))).otherwise(named)
+    return F.when(is_noise_sentence(sentence, low), none).otherwise(found)
 
 
 def mentions(sentence: Column, material: Column) -> Column:

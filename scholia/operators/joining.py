@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -64,20 +65,25 @@ def fuzzy_keep_first(rows: DataFrame, block: Column, order: str, text: str, rati
     """Greedy keep-first within blocks: a row is dropped if its text is over `ratio` similar to one kept before it.
 
     The order of decisions matters, so each block is gone through in sequence; choose blocks that are small by nature (a title's
-    first word and its length, say).
+    first words, say). Rows arrive sorted by block and are streamed; a task holds the texts kept in one block.
     """
 
-    def keep(block: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        rows: list[int] = []
-        for i, t in enumerate(block.sort_values(order)[text]):
-            s = (t or "").lower()
-            if not any(SequenceMatcher(None, s, k).ratio() > ratio for k in kept if 2 * min(len(s), len(k)) > ratio * (len(s) + len(k))):
-                kept.append(s)
-                rows.append(i)
-        return block.sort_values(order).iloc[rows]
+    def like(new: SequenceMatcher, kept: str) -> bool:
+        new.set_seq1(kept)
+        return new.real_quick_ratio() > ratio and new.quick_ratio() > ratio and new.ratio() > ratio
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept = None, []
+        for b in batches:
+            good = []
+            for key, t in zip(b["_block"], b[text]):
+                if key != current:
+                    current, kept = key, []
+                new = SequenceMatcher(None, b=(t or "").lower())
+                good.append(not any(like(new, k) for k in kept))
+                if good[-1]:
+                    kept.append((t or "").lower())
+            yield b.drop(columns="_block")[good]
 
     schema = rows.schema
-    return rows.withColumn("_block", block).groupBy("_block").applyInPandas(lambda b: keep(b.drop(columns="_block")), schema)
-
-
+    return rows.withColumn("_block", block).repartition("_block").sortWithinPartitions("_block", order).mapInPandas(keep, schema)

@@ -41,7 +41,8 @@ def noise_sentences(spark: SparkSession, sf: str) -> DataFrame:
 def sentence_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of all sentences by category; the documents' prose is invented, so there are few."""
     s = load(spark, sf, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
-    return s.select("doc_id", F.inline(T.sentence_facts(F.col("s")))).groupBy("category", "value").agg(F.count("*").alias("facts"), F.countDistinct("doc_id").alias("papers"))
+    s = s.withColumn("low", F.lower("s"))
+    return s.select("doc_id", F.inline(T.sentence_facts(F.col("s"), F.col("low")))).groupBy("category", "value").agg(F.count("*").alias("facts"), F.countDistinct("doc_id").alias("papers"))
 
 
 _LABELS_SQL = ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{v}' END" for k, v in L.CHARACTERIZATION[:30])
