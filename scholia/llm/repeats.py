@@ -10,8 +10,9 @@ windows have equal anchors. Windows with the same anchor in a row form a segment
   Burrows-Wheeler transform with the suffix positions sampled at run ends. Matching statistics are streamed from those samples:
   the longest match of a position is that of the sample before it, less the distance to it, so only one common prefix per run is
   ever compared, and a sample of l >= LENGTH marks l - LENGTH + 1 window starts, there and at its neighbour in suffix order;
-* an anchor with over CROWD distinct segments would make one bucket too large: its windows are hashed one by one (128 bits) and
-  grouped by their hash instead, with equal results.
+* an anchor with over CROWD distinct segments (a passage with thousands of surroundings) would make one bucket too large. Its segments
+  are cut into stretches of WIDTHS[0] windows, aligned by the anchor: equal stretches are repeats, and a stretch goes on to be cut finer
+  only if others share its core, the bytes that all its windows have. The last width is one window, so the results are the same.
 
 Texts are UTF-8 bytes; null counts as empty. Matches never cross documents. Rows repeated in id and text are documents of their own,
 and so repeat each other. Only doc_id and text of the input are read.
@@ -32,7 +33,7 @@ from xxhash import xxh3_128_digest
 from scholia.llm.common import stored, table
 
 LENGTH, SEED_BYTES = 400, 32
-BUCKET_BYTES, CROWD = 2 << 20, 1024
+BUCKET_BYTES, CROWD, WIDTHS = 2 << 20, 1024, (64, 8, 1)
 #: Texts of a batch are hashed together, up to so many bytes.
 CHUNK = 4 << 20
 _PLACE = np.uint64((1 << 28) - 1)
@@ -70,8 +71,8 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text of LENGTH bytes or more: its number, and its segments' first window, windows, and anchor."""
+def segments(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text of LENGTH bytes or more: its number, and its segments' first window, windows, anchor, and the anchor's distance."""
     group: list[int] = []
     size = 0
     for i, t in enumerate(texts):
@@ -85,7 +86,7 @@ def segments(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield from _segments(texts, group)
 
 
-def _segments(texts: list[bytes], group: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _segments(texts: list[bytes], group: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     data = np.frombuffer(b"".join(texts[i] for i in group), np.uint8)
     if len(data) > int(_PLACE):
         raise ValueError("a text may have up to 2**28 bytes")
@@ -95,7 +96,7 @@ def _segments(texts: list[bytes], group: list[int]) -> Iterator[tuple[int, np.nd
     for i in group:
         own = places[start : start + len(texts[i]) - LENGTH + 1]
         first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
-        yield i, first, np.diff(np.append(first, len(own))), hashes[own[first]]
+        yield i, first, np.diff(np.append(first, len(own))), hashes[own[first]], own[first] - start - first
         start += len(texts[i])
 
 
@@ -107,15 +108,15 @@ def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def flush() -> pa.RecordBatch:
             rows = np.repeat(at, [len(o[0]) for o in out])
-            lo, n, anchor, digest = (np.concatenate(x) for x in zip(*out))
-            columns = [ids.take(pa.array(rows)), pa.array(keys[rows]), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "lo", "n", "anchor", "s1", "s2"])
+            lo, n, off, anchor, digest = (np.concatenate(x) for x in zip(*out))
+            columns = [ids.take(pa.array(rows)), pa.array(keys[rows]), *(pa.array(x.astype(np.int32)) for x in (lo, n, off)), pa.array(anchor.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "lo", "n", "off", "anchor", "s1", "s2"])
 
-        for i, lo, n, anchor in segments(texts):
+        for i, lo, n, anchor, off in segments(texts):
             t = texts[i]
             digests = b"".join([xxh3_128_digest(t[a : a + c + LENGTH - 1]) for a, c in zip(lo.tolist(), n.tolist())])
             at.append(i)
-            out.append((lo, n, anchor, np.frombuffer(digests, np.int64).reshape(-1, 2)))
+            out.append((lo, n, off, anchor, np.frombuffer(digests, np.int64).reshape(-1, 2)))
             size += len(lo)
             if size > 50_000:
                 yield flush()
@@ -211,7 +212,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-_PLACES = ["doc_id", "key", "lo", "n"]
+_PLACES = ["doc_id", "key", "lo", "n", "off"]
 
 
 def _search(group: pa.Table) -> pa.Table:
@@ -229,33 +230,61 @@ def _search(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": ids.take(rows), "key": group.column("key").take(rows), "lo": pa.array(starts, pa.int32()), "n": pa.array(sizes, pa.int32())})
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of each segment, with its digest."""
-    for batch in batches:
-        for i, (text, lo) in enumerate(zip(batch.column(4).to_pylist(), batch.column(2).to_pylist())):
-            n = len(text) - LENGTH + 1
-            d = np.frombuffer(b"".join([xxh3_128_digest(text[a : a + LENGTH]) for a in range(n)]), np.int64).reshape(-1, 2)
-            same = lambda c: batch.column(c).take(pa.array(np.full(n, i)))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(np.arange(lo, lo + n, dtype=np.int32)), same(3), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "key", "lo", "single", "w1", "w2"])
+def _stretches(width: int):
+    """Cuts segments into stretches of `width` windows by their distance from the anchor, each with digests of its core and of its bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "key", "single", "lo", "n", "off", "text", "c1", "c2", "s1", "s2"]
+        for batch in batches:
+            rows, out, digests = [], [], []
+            for i, (lo, off, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(5).to_pylist())):
+                n = len(text) - LENGTH + 1
+                for j in range((off - n + 1) // width, off // width + 1):
+                    near, far = off - j * width, off - j * width - width + 1  # places of the windows nearest to the anchor and farthest from it
+                    first, last = max(far, 0), min(near, n - 1)
+                    part = text[first : last + LENGTH]
+                    rows.append(i)
+                    out.append((lo + first, last - first + 1, off - first, part))
+                    digests.append(xxh3_128_digest(text[near : far + LENGTH]) + xxh3_128_digest(part))
+            at, d = pa.array(rows, pa.int64()), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 4)
+            places = [pa.array([x[k] for x in out], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(4).take(at), *places, pa.array([x[3] for x in out], pa.binary()), *(pa.array(d[:, k]) for k in range(4))], names)
+
+    return cut
+
+
+def _crowded(rows: DataFrame, kind: str) -> DataFrame:
+    """Repeated windows among the segments (doc_id, key, lo, off, single, text) of crowded anchors, by ever finer stretches."""
+    found = None
+    for width in WIDTHS:
+        cut = stored(rows.select("doc_id", "key", "lo", "off", "single", "text").mapInArrow(_stretches(width), f"doc_id {kind}, key long, single boolean, lo int, n int, off int, text binary, c1 long, c2 long, s1 long, s2 long"))
+        same = cut.groupBy("s1", "s2").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("doc_id", "key", "lo", "n", "off", "single", "text", "c1", "c2")))
+        same = stored(same)
+        twins = same.where("times > 1").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
+        whole = cut.where("single").join(twins, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))).select("doc_id", "key", "lo", "n")
+        found = whole if found is None else found.unionByName(whole)
+        cores = same.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"))
+        rows = same.join(cores, (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2"))).withColumn("single", F.col("single") & (F.col("times") == 1))
+    return found
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments asked for."""
-    names = ["doc_id", "key", "lo", "single", "anchor", "crowded", "text"]
+    names = ["doc_id", "key", "lo", "off", "single", "anchor", "crowded", "text"]
     for batch in batches:
         ids, keys = batch.column(0), batch.column(1)
         for i, (text, asked) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())):
             n = pa.array(np.full(len(asked), i))
             pick = lambda c, kind: pa.array([x[c] for x in asked], kind)  # noqa: E731, B023
             parts = pa.array([text[x["lo"] : x["lo"] + x["n"] + LENGTH - 1] for x in asked], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.take(n), keys.take(n), pick("lo", pa.int32()), pick("single", pa.bool_()), pick("anchor", pa.int64()), pick("crowded", pa.bool_()), parts], names)
+            yield pa.RecordBatch.from_arrays([ids.take(n), keys.take(n), pick("lo", pa.int32()), pick("off", pa.int32()), pick("single", pa.bool_()), pick("anchor", pa.int64()), pick("crowded", pa.bool_()), parts], names)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), lo, n: stretches of windows (first window start, number) that also occur elsewhere."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").where(F.octet_length("text") >= LENGTH)
-    every = stored(texts.mapInArrow(_cut_up, f"doc_id {kind}, key long, lo int, n int, anchor long, s1 long, s2 long"))
+    every = stored(texts.mapInArrow(_cut_up, f"doc_id {kind}, key long, lo int, n int, off int, anchor long, s1 long, s2 long"))
     # anchors seen at least twice; mixed: with different segments
     again = every.groupBy("anchor").agg(F.count("*").alias("c"), F.min("s1").alias("low"), F.max("s1").alias("high")).where("c > 1")
     again = again.select(F.col("anchor").alias("_anchor"), (F.col("low") != F.col("high")).alias("mixed"))
@@ -263,22 +292,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     counted = shared.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in (*_PLACES, "mixed")))
     counted = stored(counted)
     twins = counted.where("c > 1").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("anchor").alias("_anchor"))
-    whole = shared.join(twins, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("anchor") == F.col("_anchor"))).select(*_PLACES)
+    whole = shared.join(twins, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("anchor") == F.col("_anchor"))).select("doc_id", "key", "lo", "n")
     # anchors with a segment that has no twin: their distinct segments' bytes
     open_ = counted.where("mixed").withColumn("single", F.col("c") == 1)
     of = open_.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("single").alias("any")).where("any").select(F.col("anchor").alias("_anchor"), (F.col("kinds") > CROWD).alias("crowded"))
     asked = open_.join(of, F.col("anchor") == F.col("_anchor")).select(*_PLACES, "anchor", "single", "crowded")
     total = asked.count()
-    by_doc = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "n", "single", "anchor", "crowded")).alias("asked")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    by_doc = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "n", "off", "single", "anchor", "crowded")).alias("asked")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     read = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "asked")
-    parts = stored(read.mapInArrow(_fetch, f"doc_id {kind}, key long, lo int, single boolean, anchor long, crowded boolean, text binary"))
+    parts = stored(read.mapInArrow(_fetch, f"doc_id {kind}, key long, lo int, off int, single boolean, anchor long, crowded boolean, text binary"))
     buckets = max(1, math.ceil(total * 1.5 * LENGTH / BUCKET_BYTES))
     dealt = parts.where("NOT crowded").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     found = dealt.groupBy("bucket").applyInArrow(_search, f"doc_id {kind}, key long, lo int, n int")
-    windows = parts.where("crowded").select("doc_id", "key", "lo", "single", "text").mapInArrow(_windows, f"doc_id {kind}, key long, lo int, single boolean, w1 long, w2 long")
-    twice = windows.groupBy("w1", "w2").count().where("count > 1").select(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"))
-    crowd = windows.where("single").join(twice, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2"))).select("doc_id", "key", "lo", F.lit(1).alias("n"))
-    return whole.unionByName(found).unionByName(crowd)
+    crowd = parts.where("crowded")
+    found = whole.unionByName(found)
+    return found if crowd.isEmpty() else found.unionByName(_crowded(crowd, kind))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
