@@ -206,7 +206,8 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = linked.join(low, "root").select(F.col("fp").alias("_fp"), "component_id")
     of = distinct.join(linked, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "low").alias("component_id"))
-    return prints.join(of, F.col("fp") == F.col("_fp"), "left").drop("_fp")
+    # cut, so that both sides of the join have exchanges of their own and a fingerprint that many rows share can be split
+    return prints.join(cut(of), F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
