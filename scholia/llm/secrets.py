@@ -2,7 +2,8 @@
 
 Two first-order Markov models, of random strings and of ordinary identifiers, are estimated from labelled samples; a token
 whose log-likelihood ratio per character pair favours random strings is a secret of kind ``markov``, unless it overlaps a
-span of a known kind. Texts are scanned where they are read, whole, without any shuffle.
+span of a known kind. Texts are scanned where they are read, whole, without any shuffle. A text of n matches takes n * sqrt(n)
+steps, each a copied number.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are scanned row by row. Only
 doc_id and text of the input are used.
@@ -11,6 +12,7 @@ doc_id and text of the input are used.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,18 +90,52 @@ def score(token: Column, ratio: list[float]) -> Column:
     return F.when(F.length(token) > 1, F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.element_at(numbers, p)) / (F.length(token) - 1))
 
 
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string,text:string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """The merge of each value with all before it. In blocks of the root of their number, since an array that grows is copied at each step."""
+
+    def fold(xs: Column) -> Column:
+        add = lambda s, x: F.concat(s, F.array(F.coalesce(merge(F.get(s, F.size(s) - 1), x), x)))
+        return F.aggregate(xs, F.expr("CAST(array() AS array<int>)"), add)
+
+    def in_blocks(xs: Column, width: Column) -> Column:
+        at = F.sequence(F.lit(0), F.ceil(F.size(xs) / width).cast("int") - 1)
+        return _let(F.transform(at, lambda i: fold(F.slice(xs, i * width + 1, width))), joined)
+
+    def joined(blocks: Column) -> Column:
+        last = F.transform(blocks, lambda b: F.element_at(b, -1))
+        before = F.concat(F.array(F.lit(None).cast("int")), F.slice(fold(last), F.lit(1), F.size(blocks) - 1))
+        return F.flatten(F.zip_with(blocks, before, lambda b, h: F.transform(b, lambda x: F.coalesce(merge(h, x), x))))
+
+    return _let(values, lambda xs: F.when(F.size(xs) > 0, _let(F.ceil(F.sqrt(F.size(xs))).cast("int"), lambda w: in_blocks(xs, w))).otherwise(xs))
+
+
 def _spans(kind: str, found: Column, between: Column) -> Column:
     """Array of (start, rank, end, kind, text): the matches, placed by the lengths of what stands between them."""
-    zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,rank:int,end:int,kind:string,text:string>>)").alias("spans"))
-    steps = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m")))
+    steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.length(b) + F.length(m))
+    one = lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), e.alias("end"), F.lit(kind).alias("kind"), m.alias("text"))
+    return F.zip_with(_running(steps, lambda a, b: a + b), found, one)
+
+
+def _apart(base: Column, tokens: Column) -> Column:
+    """The tokens that overlap no base span. Both in order of start; a span overlaps one behind it if it reaches over its start."""
+    is_base = lambda x: x["rank"] < KINDS.index("markov")
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("text"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), s["spans"]).otherwise(F.concat(s["spans"], F.array(one))).alias("spans"))
+    def judged(every: Column) -> Column:
+        reach = _running(F.transform(every, lambda x: F.when(is_base(x), x["end"]).otherwise(0)), F.greatest)
+        ahead = F.reverse(_running(F.reverse(F.transform(every, lambda x: F.when(is_base(x), x["start"]).otherwise(2**31 - 1))), F.least))
+        rows = F.arrays_zip(every.alias("x"), reach.alias("reach"), ahead.alias("ahead"))
+        free = F.filter(rows, lambda r: ~is_base(r["x"]) & (r["reach"] <= r["x"]["start"]) & (r["ahead"] >= r["x"]["end"]))
+        return F.transform(free, lambda r: r["x"])
 
-    return F.aggregate(steps, zero, step, lambda s: s["spans"])
+    return _let(F.array_sort(F.concat(base, tokens)), judged)
 
 
 def scan(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD) -> DataFrame:
@@ -110,12 +146,12 @@ def scan(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD) -> D
     rows = rows.withColumns({f"m_{k}": F.when(F.col("text").rlike(p), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for k, p in patterns.items()})
     value = F.when(F.size("m_assign") > 0, F.regexp_extract_all("text", F.lit(PATTERNS["assign"]), F.lit(2))).otherwise(none)
     rows = rows.withColumn("v_assign", value)
-    empty = F.expr("CAST(array() AS array<struct<start:int,rank:int,end:int,kind:string,text:string>>)")
+    empty = F.expr(f"CAST(array() AS {SPANS})")
     rows = rows.withColumns({f"s_{k}": F.when(F.size(f"m_{k}") > 0, _spans(k, F.col(f"m_{k}"), F.split("text", p, -1))).otherwise(empty) for k, p in patterns.items()})
     long = F.filter(F.zip_with("s_assign", "v_assign", lambda s, v: F.struct(s.alias("s"), F.length(v).alias("n"))), lambda x: x["n"] >= VALUE_LENGTH)
     rows = rows.withColumn("base", F.array_sort(F.concat(F.transform(long, lambda x: x["s"]), "s_access", "s_hex")))
-    free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    rows = rows.withColumn("more", F.filter("s_markov", lambda t: free(t) & (score(t["text"], ratio) > threshold)))
+    free = F.when(F.size("s_markov") == 0, empty).when(F.size("base") == 0, F.col("s_markov")).otherwise(_apart(F.col("base"), F.col("s_markov")))
+    rows = rows.withColumn("free", free).withColumn("more", F.filter("free", lambda t: score(t["text"], ratio) > threshold))
     return rows.select("doc_id", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 

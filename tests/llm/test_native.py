@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import time
 from collections import Counter, defaultdict
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scholia.llm import licenses, secrets, sharding, source_mix
@@ -77,6 +81,31 @@ def test_secrets(spark, rows):
     assert not any(markov[i] for i in range(20))
 
 
+def test_secrets_of_very_many_matches(spark):
+    """Seconds, not hours, for 100,000 matches in one text; tokens between known spans are told apart from them."""
+    blob = "q7Zk+X9vB2mT/4LdWc8RyH1sJp0Gn6Ea"
+    text = "".join(f"{i} {'c0ffee' * 4} x\n" if i % 2 else f"{i} {blob}\n" for i in range(60_000)) + "token=abcdef1 " * 40_000
+    began = time.time()
+    got = secrets.scan(spark.createDataFrame([(1, text), (2, "")], "doc_id BIGINT, text STRING"), secrets.train(secrets.samples(spark))).collect()
+    assert time.time() - began < 120
+    spans = next(r["spans"] for r in got if r["doc_id"] == 1)
+    want = [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]{24,}", text)] + [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text)] + [(m.start(), "markov", m.end()) for m in re.finditer(re.escape(blob), text)]
+    assert [(s["start"], s["kind"], s["end"]) for s in spans] == sorted(want)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.integers(-50, 50), max_size=40), min_size=1, max_size=12))
+def test_running_merges(spark, lists):
+    rows = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    for merge, plain in ((lambda a, b: a + b, lambda a, b: a + b), (F.greatest, max), (F.least, min)):
+        got = Counter(tuple(r[0]) for r in rows.select(secrets._running(F.col("x"), merge)).collect())
+        assert got == Counter(tuple(itertools.accumulate(x, plain)) for x in lists)
+
+
+def test_secrets_of_no_documents(spark, none):
+    assert secrets.scan(none, secrets.train(secrets.samples(spark))).count() == 0
+
+
 def test_markov_models_tell_random_strings(spark):
     ratio = secrets.train(secrets.samples(spark))
     held = secrets.samples(spark, 6000).where("true").withColumn("i", F.monotonically_increasing_id())
