@@ -72,10 +72,16 @@ def clusters(rows: DataFrame, cluster: str, paper: str, order: str, per_cluster:
 
 
 def merged_sections(rows: DataFrame, keys: list[str], order: str, text: str, limit: int = 50_000) -> DataFrame:
-    """One row per key with the texts of its rows, in order, joined by an empty line and cut to `limit` characters."""
+    """One row per key with the texts of its rows, in order, joined by an empty line and cut to `limit` characters.
+
+    Only the rows that reach into the first `limit` characters are gathered; a window streams over the others.
+    """
+    before = Window.partitionBy(*keys).orderBy(order, text).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
+    placed = rows.withColumn("_at", F.coalesce(F.sum(F.length(text) + 2).over(before), F.lit(0))).withColumn("_rows", F.count("*").over(every))
     parts = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text))))
     joined = F.array_join(F.transform(parts, lambda x: x[text]), "\n\n")
-    return rows.groupBy(*keys).agg(F.count("*").alias("parts"), F.substring(joined, 1, limit).alias("content"))
+    return placed.where(F.col("_at") < limit + 2).groupBy(*keys).agg(F.max("_rows").alias("parts"), F.substring(joined, 1, limit).alias("content"))
 
 
 def token_batches(rows: DataFrame, group: str, order: str, tokens: str, budget: int = 2500) -> DataFrame:
@@ -116,7 +122,12 @@ def weighted_score(scores: dict[str, float]) -> Column:
     return total
 
 
-def daily_lines(events: DataFrame, ts: str, agent: str, text: str, order: str) -> DataFrame:
-    """The report of each day: for each agent its events in order, as lines."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return events.groupBy(F.to_date(ts).alias("day"), agent).agg(F.count("*").alias("events"), F.array_join(F.transform(F.slice(lines, 1, 3), lambda x: x["t"]), "; ").alias("first_lines"))
+def daily_lines(events: DataFrame, ts: str, agent: str, text: str, order: str, first: int = 3) -> DataFrame:
+    """The report of each day: for each agent its events, and the first of them in order, as lines."""
+    day = F.to_date(ts)
+    counts = events.groupBy(day.alias("day"), agent).agg(F.count("*").alias("events"))
+    head = events.select(day.alias("day"), agent, F.col(order).alias("o"), F.col(text).alias("t")).withColumn("r", F.row_number().over(Window.partitionBy("day", agent).orderBy("o", "t")))
+    lines = F.array_sort(F.collect_list(F.struct("r", "t")))
+    listed = head.where(F.col("r") <= first).groupBy("day", agent).agg(F.array_join(F.transform(lines, lambda x: x["t"]), "; ").alias("first_lines"))
+    same = counts["day"].eqNullSafe(listed["day"]) & counts[agent].eqNullSafe(listed[agent])
+    return counts.join(listed, same).select(counts["day"], counts[agent], "events", "first_lines")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.durable import broadcast_if_small, cut
+
 
 def pair_counts(facts: DataFrame, paper: str, value: str, at_least: int = 1) -> DataFrame:
     """a, b, count: papers in which both values occur, a < b.
@@ -19,11 +21,13 @@ def pair_counts(facts: DataFrame, paper: str, value: str, at_least: int = 1) ->
 def trend_report(facts: DataFrame, paper: str, value: str, workflow: str, title: str, at_least: int = 3, top: int = 50, samples: int = 3) -> DataFrame:
     """The pairs of values most often found in one paper, with the workflows they span and the first few titles."""
     one = facts.select(F.col(paper).alias("p"), F.col(value).alias("a"), F.col(workflow).alias("w"), F.col(title).alias("t")).distinct()
-    other = one.select("p", F.col("a").alias("b"))
-    pairs = one.join(other.distinct(), "p").where("a < b")
+    other = one.select("p", F.col("a").alias("b")).distinct()
+    pairs = one.join(other, "p").where("a < b")
     counts = pairs.groupBy("a", "b").agg(F.countDistinct("p").alias("papers"), F.countDistinct("w").alias("workflows"))
     best = counts.where(F.col("papers") >= at_least).orderBy(F.desc("papers"), "a", "b").limit(top)
-    titles = pairs.join(F.broadcast(best.select("a", "b")), ["a", "b"]).select("a", "b", "t").distinct()
+    best = cut(best)
+    # the few best pairs are looked up in the facts anew, so that all pairs are made once
+    titles = one.select("p", "a", "t").join(F.broadcast(best.select("a", "b")), "a").join(other, ["p", "b"]).select("a", "b", "t").distinct()
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("t"))
     listed = titles.withColumn("r", rank).where(F.col("r") <= samples).groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("t")), ", ").alias("titles"))
     return best.join(listed, ["a", "b"])
@@ -37,10 +41,10 @@ def find_gaps(left: DataFrame, right: DataFrame, paper: str, a: str, b: str, thr
     """
     l, r = left.select(F.col(paper).alias("p"), F.col(a).alias("a")).distinct(), right.select(F.col(paper).alias("p"), F.col(b).alias("b")).distinct()
     counts = l.join(r, "p").groupBy("a", "b").agg(F.count("*").alias("papers"))
-    cells = l.select("a").distinct().crossJoin(F.broadcast(r.select("b").distinct())).join(counts, ["a", "b"], "left").fillna(0, ["papers"])
+    cells = l.select("a").distinct().crossJoin(broadcast_if_small(r.select("b").distinct())).join(counts, ["a", "b"], "left").fillna(0, ["papers"])
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("papers"), "a"))
     best = cells.withColumn("r", rank).where("r <= 2").groupBy("b").agg(F.min(F.when(F.col("r") == 1, F.col("a"))).alias("a1"), F.min(F.when(F.col("r") == 2, F.col("a"))).alias("a2"))
-    gaps = cells.where(F.col("papers") <= threshold).join(F.broadcast(best), "b")
+    gaps = cells.where(F.col("papers") <= threshold).join(broadcast_if_small(best), "b")
     kind = F.when(F.col("papers") == 0, "unexplored").otherwise("underexplored")
     return gaps.select("a", "b", "papers", kind.alias("kind"), F.when(F.col("a") == F.col("a1"), F.col("a2")).otherwise(F.col("a1")).alias("nearest")).orderBy("papers", "a", "b").limit(cap)
 

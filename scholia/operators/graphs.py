@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.durable import cut, new_folder
+
 DONE = ("approved", "integrated")
 
 
@@ -24,27 +26,29 @@ def progress(nodes: DataFrame, key: str, status: str, depends: str) -> DataFrame
     return totals.crossJoin(F.broadcast(n)).withColumn("complete", F.col("nodes") == F.col("done")).withColumn("deadlock", ~F.col("complete") & (F.col("ready") == 0) & (F.col("running") == 0)).drop("running")
 
 
-def levels(nodes: DataFrame, key: str, depends: str, limit: int = 10_000) -> DataFrame:
+def levels(nodes: DataFrame, key: str, depends: str) -> DataFrame:
     """key, level: the round in which each node can run, from 1. Nodes on or behind a cycle or a missing node get none.
 
-    Each round joins the open edges to the nodes of the round before; edges that are met go. A round's result is checkpointed where a
-    checkpoint directory is set, so plans stay short and a lost executor costs one round.
+    Each round joins the open edges to the nodes of the round before; edges that are met go. What is open is checkpointed and the
+    levels found are written, so plans stay short, however deep the graph, and a lost executor costs one round.
     """
-    durable = bool(nodes.sparkSession.sparkContext.getCheckpointDir())
-    keep = lambda df: df.checkpoint() if durable else df.persist()
-    edges = keep(nodes.select(F.col(key).alias("node"), F.explode(F.array_distinct(depends)).alias("on")))
-    todo = keep(nodes.select(F.col(key).alias("node")).distinct())
-    out, level = None, 1
-    while level <= limit:
-        now = keep(todo.join(edges.select("node").distinct(), "node", "left_anti"))
+    spark = nodes.sparkSession
+    at = new_folder(spark, "levels")
+    edges = cut(nodes.select(F.col(key).alias("node"), F.explode(F.array_distinct(depends)).alias("on")))
+    todo = cut(nodes.select(F.col(key).alias("node")).distinct())
+    kind = todo.schema["node"].dataType.simpleString()
+    level = 1
+    while True:
+        now = cut(todo.join(edges.select("node").distinct(), "node", "left_anti"))
         if now.isEmpty():
             break
-        found = now.withColumn("level", F.lit(level))
-        out = found if out is None else out.unionByName(found)
-        todo = keep(todo.join(now, "node", "left_anti"))
-        edges = keep(edges.join(now.withColumnRenamed("node", "on"), "on", "left_anti"))
+        now.withColumn("level", F.lit(level)).write.mode("append").parquet(at)
+        todo = cut(todo.join(now, "node", "left_anti"))
+        edges = cut(edges.join(now.withColumnRenamed("node", "on"), "on", "left_anti"))
         level += 1
-    return (out if out is not None else todo.limit(0).withColumn("level", F.lit(0))).withColumnRenamed("node", key)
+    schema = f"node {kind}, level int"
+    found = spark.read.schema(schema).parquet(at) if level > 1 else spark.createDataFrame([], schema)
+    return found.withColumnRenamed("node", key)
 
 
 def next_stage(stage: Column, stages: tuple[str, ...]) -> Column:

@@ -9,6 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.durable import broadcast_if_small, is_small
+
+
+#: Names that are compared with each row; beyond, names are joined on equal keys.
+MANY = 1000
+
 
 def lookup_or(rows: DataFrame, known: DataFrame, first: str, second: str, known_id: str, name: str = "match") -> DataFrame:
     """Each row with the id of the known row of the same `first` key, or else of the same folded `second`; least ids win.
@@ -37,13 +43,42 @@ def nearest_box(captions: DataFrame, boxes: DataFrame, page: list[str], max_gap:
 
 
 def first_containing(rows: DataFrame, text: str, names: DataFrame, name: str, order: str, prefix: int = 6) -> DataFrame:
-    """Each row with the first name, in order, whose first characters its text holds. `names` is a short list and is broadcast."""
+    """Each row with the first name, in order, whose first characters its text holds.
+
+    A short list of names (up to MANY) is sent to all rows; a longer one is joined on the stretches of the texts that are as long as a key.
+    """
     n = names.select(F.col(name).alias("_name"), F.col(order).alias("_order"), F.lower(F.substring(name, 1, prefix)).alias("_key"))
     key = [c for c in rows.columns if c != text]
-    hits = rows.join(F.broadcast(n), F.lower(F.col(text)).contains(F.col("_key")), "left")
+    if is_small(n, MANY):
+        hits = rows.join(F.broadcast(n), F.lower(F.col(text)).contains(F.col("_key")), "left")
+    else:
+        sizes = [r[0] for r in n.select(F.length("_key").alias("k")).where("k > 0").distinct().orderBy("k").collect()]  # up to `prefix` numbers
+        low = F.lower(F.col(text))
+
+        def stretches(k: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - k + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(k)))
+
+        parts = F.array_distinct(F.flatten(F.array(*map(stretches, sizes), F.array(F.lit("")))))
+        hits = rows.select(*key, F.explode_outer(F.when(low.isNotNull(), parts)).alias("_part")).join(n, F.col("_part") == F.col("_key"), "left")
     return hits.groupBy(*key).agg(F.min(F.when(F.col("_name").isNotNull(), F.struct("_order", "_name")))["_name"].alias(name))
 
 
+def best_overlap(rows: DataFrame, key: str, terms: Column, items: DataFrame, item: str, item_terms: Column) -> DataFrame:
+    """key, item, jaccard: for each row the item whose set of terms is most like its own (the least of equals); null and 0.0 without any.
+
+    Items are a stated query set: their terms are joined to the rows' terms and common ones counted per row and item, so only pairs
+    with a term in common are made. `key` and `item` are unique; both sides' terms are arrays.
+    """
+    d = rows.select(F.col(key).alias("_row"), F.array_distinct(terms).alias("w"))
+    q = items.select(F.col(item).alias("_item"), F.array_distinct(item_terms).alias("w"))
+    one = q.select("_item", F.size("w").alias("m"), F.explode("w").alias("_t"))
+    both = d.select("_row", F.size("w").alias("n"), F.explode("w").alias("_t")).join(broadcast_if_small(one), "_t")
+    common = both.groupBy("_row", "_item").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    jaccard = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
+    best = common.groupBy("_row").agg(F.min(F.struct((-jaccard).alias("less"), "_item")).alias("b"))
+    return d.select("_row").join(best, "_row", "left").select(F.col("_row").alias(key), F.col("b._item").alias(item), F.coalesce(-F.col("b.less"), F.lit(0.0)).alias("jaccard"))
+
+
 def schema_drift(expected: DataFrame, found: DataFrame, name: str, kind: str) -> DataFrame:
     """name, status: fields missing, unexpected or of another type, by folded name."""
     e = expected.select(F.lower(name).alias("n"), F.col(kind).alias("e"))
@@ -57,7 +92,7 @@ def resolve_field(asked: DataFrame, fields: DataFrame, word: str, alias: str, na
     f = fields.select(F.lower(alias).alias("_alias"), F.lower(name).alias("_low"), F.col(name).alias("_name"), F.col(order).cast("int").alias("_order"))
     w = F.lower(F.trim(word))
     rank = F.when(w == F.col("_alias"), 0).when(w == F.col("_order").cast("string"), 1).when(w.contains(F.col("_low")) | F.col("_low").contains(w), 2)
-    hits = asked.crossJoin(F.broadcast(f)).withColumn("_rank", rank)
+    hits = asked.crossJoin(broadcast_if_small(f, MANY)).withColumn("_rank", rank)  # a form's fields: dozens
     return hits.groupBy(word).agg(F.min(F.when(F.col("_rank").isNotNull(), F.struct("_rank", "_order", "_name")))["_name"].alias("field"))
 
 

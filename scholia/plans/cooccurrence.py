@@ -27,19 +27,14 @@ def trend_report(spark: SparkSession, sf: str) -> DataFrame:
     return C.trend_report(rows, "paper", "value", "status", "title")
 
 
-GAP_DAYS = ("1995-01-01", "1995-01-20")
-
-
-@query("find_gaps", f"""WITH {FACTS_SQL}, x AS (SELECT paper, value, n_name FROM facts JOIN supplier ON supp = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE shipped >= DATE '{GAP_DAYS[0]}' AND shipped < DATE '{GAP_DAYS[1]}'),
-l AS (SELECT DISTINCT paper, value AS a FROM x), r AS (SELECT DISTINCT paper, n_name AS b FROM x), c AS (SELECT a, b, count(*) AS papers FROM l JOIN r USING (paper) GROUP BY a, b),
-m AS (SELECT a, b, coalesce(papers, 0) AS papers FROM (SELECT DISTINCT a FROM l) CROSS JOIN (SELECT DISTINCT b FROM r) LEFT JOIN c USING (a, b))
-SELECT a, b, papers, CASE WHEN papers = 0 THEN 'unexplored' ELSE 'underexplored' END AS kind, (SELECT o.a FROM m o WHERE o.b = m.b AND o.a <> m.a ORDER BY o.papers DESC, o.a LIMIT 1) AS nearest
-FROM m WHERE papers <= 2 ORDER BY papers, a, b LIMIT 30""")
+@query("find_gaps", """WITH x AS (SELECT p_partkey AS paper, p_brand || ' ' || p_type AS a, 'size ' || p_size AS b FROM part), c AS (SELECT a, b, count(DISTINCT paper) AS papers FROM x GROUP BY a, b),
+m AS (SELECT a, b, coalesce(papers, 0) AS papers FROM (SELECT DISTINCT a FROM x) CROSS JOIN (SELECT DISTINCT b FROM x) LEFT JOIN c USING (a, b)),
+r AS (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY papers DESC, a) AS i FROM m), n AS (SELECT b, min(a) FILTER (i = 1) AS a1, min(a) FILTER (i = 2) AS a2 FROM r GROUP BY b)
+SELECT a, b, papers, CASE WHEN papers = 0 THEN 'unexplored' ELSE 'underexplored' END AS kind, CASE WHEN a = a1 THEN a2 ELSE a1 END AS nearest
+FROM m JOIN n USING (b) WHERE papers <= 2 ORDER BY papers, a, b LIMIT 30""")
 def find_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    nations = load(spark, sf, "supplier").select("s_suppkey", "s_nationkey").join(load(spark, sf, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
-    rows = facts(spark, sf).where((F.col("shipped") >= F.lit(GAP_DAYS[0]).cast("timestamp_ntz")) & (F.col("shipped") < F.lit(GAP_DAYS[1]).cast("timestamp_ntz")))
-    rows = rows.join(nations, F.col("supp") == F.col("s_suppkey"))
-    return C.find_gaps(rows, rows, "paper", "value", "n_name")
+    rows = load(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("kind"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("size"))
+    return C.find_gaps(rows, rows, "p_partkey", "kind", "size")
 
 
 @query("workflow_comparison", """WITH v AS (SELECT DISTINCT c_mktsegment AS w, n_name || ' ' || CAST(floor(c_acctbal / 1000) AS INTEGER) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey),

@@ -11,11 +11,11 @@ from scholia.registry import query
 from scholia.sources import readers as R
 
 
-@query("connector_union", """SELECT doc_id AS id, lang AS title, NULL AS url, 'documents' AS connector FROM documents UNION ALL SELECT page_id, NULL, url, 'pages' FROM pages UNION ALL SELECT item_id, substr(text, 1, 10), NULL, 'benchmark' FROM benchmark""")
+@query("connector_union", """SELECT doc_id AS id, lang AS title, NULL AS url, 'documents' AS connector FROM documents UNION ALL SELECT page_id, NULL, url, 'pages' FROM pages UNION ALL SELECT item_id, text, NULL, 'benchmark' FROM benchmark""")
 def connector_union(spark: SparkSession, sf: str) -> DataFrame:
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.lit("documents").alias("connector"))
     p = load(spark, sf, "pages").select(F.col("page_id").alias("id"), "url", F.lit("pages").alias("connector"))
-    b = load(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 10).alias("title"), F.lit("benchmark").alias("connector"))
+    b = load(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"), F.lit("benchmark").alias("connector"))
     return R.connectors(d, p, b).select("id", "title", "url", "connector")
 
 

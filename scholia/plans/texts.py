@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholia.catalog import load
 from scholia.functions import lexicons as L
 from scholia.functions import text as T
+from scholia.operators import joining as J
 from scholia.registry import query
 
 _CLEAN_SQL = "text"
@@ -45,23 +46,23 @@ def sentence_facts(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("doc_id", F.inline(T.sentence_facts(F.col("s"), F.col("low")))).groupBy("category", "value").agg(F.count("*").alias("facts"), F.countDistinct("doc_id").alias("papers"))
 
 
-_LABELS_SQL = ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{v}' END" for k, v in L.CHARACTERIZATION[:30])
+_LABELS_SQL = ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{v}' END" for k, v in L.CHARACTERIZATION)
 
 
 @query("lexicon_labels", f"""SELECT doc_id, coalesce({_LABELS_SQL}) AS label FROM documents""")
 def lexicon_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select("doc_id", T.first_label(F.col("text"), L.CHARACTERIZATION[:30]).alias("label"))
+    return load(spark, sf, "documents").select("doc_id", T.first_label(F.col("text"), L.CHARACTERIZATION).alias("label"))
 
 
-@query("jaccard_relevance", """WITH q AS (SELECT list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM benchmark ORDER BY item_id LIMIT 1),
-d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)
-SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_intersect(w, t)) / (len(w) + len(t) - len(list_intersect(w, t))) END AS jaccard FROM d, q""")
+@query("jaccard_relevance", """WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM benchmark),
+d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
+c AS (SELECT doc_id, item_id, count(*) AS c, any_value(n) AS n, any_value(m) AS m FROM (SELECT doc_id, len(w) AS n, unnest(w) AS x FROM d) JOIN (SELECT item_id, len(t) AS m, unnest(t) AS x FROM q) USING (x) GROUP BY doc_id, item_id),
+b AS (SELECT doc_id, item_id, c / (n + m - c) AS jaccard FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c / (n + m - c) DESC, item_id) = 1)
+SELECT doc_id, item_id, coalesce(jaccard, 0.0) AS jaccard FROM documents LEFT JOIN b USING (doc_id)""")
 def jaccard_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    terms = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    q = load(spark, sf, "benchmark").orderBy("item_id").limit(1).select(terms("text").alias("t"))
-    d = load(spark, sf, "documents").select("doc_id", terms("text").alias("w")).crossJoin(F.broadcast(q))
-    common = F.size(F.array_intersect("w", "t"))
-    return d.select("doc_id", F.when(F.size("w") == 0, 0.0).otherwise(common / (F.size("w") + F.size("t") - common)).alias("jaccard"))
+    """For each document the benchmark item with the most similar set of words."""
+    terms = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return J.best_overlap(load(spark, sf, "documents"), "doc_id", terms, load(spark, sf, "benchmark"), "item_id", terms)
 
 
 @query("relevance_scores", """WITH d AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS t, lower(text) AS a FROM documents),
@@ -96,21 +97,19 @@ def plain_urls(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pages").select("page_id", T.plain_url(F.col("url")).alias("url"))
 
 
-@query("paper_digests", """WITH d AS (SELECT source, doc_id, lang, substr(text, 1, 60) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents)
-SELECT source, string_agg('Paper ' || doc_id || ': ' || t, chr(10) ORDER BY i) AS digest FROM d WHERE i <= 15 GROUP BY source""")
+@query("paper_digests", """SELECT source, doc_id // 200 AS page, string_agg('Paper ' || doc_id || ': ' || substr(text, 1, 300), chr(10) ORDER BY doc_id) AS digest FROM documents GROUP BY ALL""")
 def paper_digests(spark: SparkSession, sf: str) -> DataFrame:
-    from scholia.operators.ranking import top_per_group
+    """All documents of each source with an abstract of 300 characters, in pages by ranges of ids, so a page is bounded whatever its source holds."""
+    line = F.concat(F.lit("Paper "), F.col("doc_id").cast("string"), F.lit(": "), F.substring("text", 1, 300))
+    rows = load(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / 200).alias("page"), "doc_id", line.alias("l"))
+    listed = F.array_sort(F.collect_list(F.struct("doc_id", "l")))
+    return rows.groupBy("source", "page").agg(F.array_join(F.transform(listed, lambda x: x["l"]), "\n").alias("digest"))
 
-    docs = load(spark, sf, "documents").select("source", "doc_id", F.substring("text", 1, 60).alias("t"))
-    first = top_per_group(docs, "source", [F.asc("doc_id")], 15)
-    line = F.concat(F.lit("Paper "), F.col("doc_id").cast("string"), F.lit(": "), F.col("t"))
-    return first.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("digest"))
 
-
-@query("inverted_abstracts", """SELECT doc_id, array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:20], ' ') AS abstract FROM documents WHERE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) > 0""")
+@query("inverted_abstracts", """SELECT doc_id, array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), ' ') AS abstract FROM documents WHERE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) > 0""")
 def inverted_abstracts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts rebuilt from maps of words to places."""
-    w = load(spark, sf, "documents").select("doc_id", F.posexplode(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 20)).alias("p", "w"))
+    w = load(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("p", "w"))
     index = w.groupBy("doc_id", "w").agg(F.collect_list("p").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "places"))).alias("index"))
     return index.select("doc_id", T.from_inverted_index(F.col("index")).alias("abstract"))
 

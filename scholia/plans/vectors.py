@@ -16,16 +16,16 @@ def _scored(found: DataFrame) -> DataFrame:
     return found.select("query", "vec_id", F.round(V.similarity(F.col("distance")), 5).alias("score"), "rank")
 
 
-@query("vector_topk", f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), x AS (SELECT q.vec_id AS query, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v q, v WHERE q.vec_id < 5) {_TOP}""")
+@query("vector_topk", f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), x AS (SELECT q.vec_id AS query, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v q, v WHERE q.vec_id % 20 = 0) {_TOP}""")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "embeddings")
-    return _scored(V.top_k(e, e.where("vec_id < 5"), "vec_id", "embedding", 10))
+    return _scored(V.top_k(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10))
 
 
-@query("vector_topk_filtered", f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), x AS (SELECT q.vec_id AS query, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v q, v WHERE q.vec_id < 5 AND v.label = 3) {_TOP}""")
+@query("vector_topk_filtered", f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), x AS (SELECT q.vec_id AS query, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v q, v WHERE q.vec_id % 20 = 0 AND v.label = 3) {_TOP}""")
 def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "embeddings")
-    return _scored(V.top_k(e.where("label = 3"), e.where("vec_id < 5"), "vec_id", "embedding", 10))
+    return _scored(V.top_k(e.where("label = 3"), e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10))
 
 
 @query("vector_norms", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, round(e[1] / (sqrt(list_sum(list_transform(e, lambda x: x * x))) + 1e-10), 6) AS first, len(e) AS dimensions FROM v""")

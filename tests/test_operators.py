@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -144,6 +145,50 @@ def test_nearest_vectors_with_ties_and_nulls(spark):
     assert got == [(2, 0.0), (1, 1.0)]
 
 
+def test_nearest_vectors_over_many_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, [float(r.randint(0, 3)) for _ in range(3 if i % 7 else 2)]) for i in range(300)] + [(300 + i, [0.0, 1.0, 2.0]) for i in range(9)]
+    v = spark.createDataFrame(rows, "id INT, e ARRAY<FLOAT>").repartition(5)
+    want = {}
+    for q, a in rows:
+        if q % 20 == 0:
+            near = sorted((sum((x - y) ** 2 for x, y in zip(a, b)), i) for i, b in rows if len(a) == len(b))[:7]
+            want |= {(q, n + 1): (i, d) for n, (d, i) in enumerate(near)}
+    for limit in (V.SMALL_BYTES, 0):  # broadcast, and dealt out in pairs of partitions
+        monkeypatch.setattr(V, "SMALL_BYTES", limit)
+        got = V.top_k(v, v.where("id % 20 = 0"), "id", "e", 7, block=4, chunk=16).collect()
+        assert {(r["query"], r["rank"]): (r["id"], r["distance"]) for r in got} == want
+    assert V.top_k(v.limit(0), v, "id", "e", 2).count() == 0 == V.top_k(v, v.limit(0), "id", "e", 2).count()
+
+
+def test_levels_of_a_deep_chain_and_of_nothing(spark):
+    nodes = spark.createDataFrame([(i, [i - 1] if i else []) for i in range(25)], "n INT, d ARRAY<INT>")
+    assert {r["n"]: r["level"] for r in G.levels(nodes, "n", "d").collect()} == {i: i + 1 for i in range(25)}
+    assert G.levels(nodes.limit(0), "n", "d").count() == 0
+
+
+def test_names_in_texts_by_either_route(spark, monkeypatch):
+    names = spark.createDataFrame([("Brand#11", 3), ("Brand#1", 9), ("zinc", 1), ("", 20)], "n STRING, o INT")
+    rows = spark.createDataFrame([(1, "see BRAND#11 here"), (2, "brand#1"), (3, "ZINC oxide brand#11"), (4, ""), (5, "zin"), (6, None)], "k INT, t STRING")
+    for many in (J.MANY, 0):
+        monkeypatch.setattr(J, "MANY", many)
+        assert {r["k"]: r["n"] for r in J.first_containing(rows, "t", names, "n", "o", 8).collect()} == {1: "Brand#11", 2: "Brand#1", 3: "zinc", 4: "", 5: "", 6: None}
+
+
+def test_best_overlaps(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["x"]), (3, []), (4, ["b", "c"])], "k INT, w ARRAY<STRING>")
+    items = spark.createDataFrame([(7, ["a", "b", "c"]), (6, ["b", "c", "a"]), (9, ["c"])], "i INT, w ARRAY<STRING>")
+    got = {r["k"]: (r["i"], r["jaccard"]) for r in J.best_overlap(docs, "k", F.col("w"), items, "i", F.col("w")).collect()}
+    assert got == {1: (6, 2 / 3), 2: (None, 0.0), 3: (None, 0.0), 4: (6, 2 / 3)}
+
+
+def test_sums_by_status_over_no_rows_are_null(spark, tmp_path):
+    from scholia.plans.aggregates import section_status
+
+    spark.createDataFrame([], "o_orderstatus STRING").write.parquet(f"{tmp_path}/orders.parquet")
+    assert tuple(section_status(spark, str(tmp_path)).first()) == (None, None)
+
+
 def test_levels_leave_cycles_out(spark):
     nodes = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["a", "b"]), ("x", ["y"]), ("y", ["x"]), ("m", ["missing"])], "n STRING, d ARRAY<STRING>")
     assert {r["n"]: r["level"] for r in G.levels(nodes, "n", "d").collect()} == {"a": 1, "b": 2, "c": 3}
