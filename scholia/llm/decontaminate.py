@@ -2,12 +2,16 @@
 
 Texts are compared as lower-case words joined by single spaces. An item of m characters may be found with up to
 m // BUDGET edits; cut into one piece more than that, at least one piece must be unharmed wherever the item is found. All
-pieces are searched at once by an Aho-Corasick automaton, and each hit is verified by Myers' bit-parallel distance over the
-stretch of text around it, hits of one item on close diagonals together.
+pieces are searched at once by an Aho-Corasick automaton, and the hits are verified by Myers' bit-parallel distance over the
+stretch of text around them; hits of one item that put its start at places within its budget of each other share a stretch.
 
-The benchmark is the query set, in blocks of bounded size; documents are searched where they are read, whole, and nothing is
-shuffled. Null and empty texts match nothing. Items of under MIN_CHARS characters are matched without edits, as whole words;
-null and wordless items are ignored. Rows repeated are searched row by row; only doc_id and text are read.
+The benchmark is the query set, in blocks of BLOCK_BYTES on average. A benchmark of one block is searched where documents are
+read, and nothing is shuffled. Of a larger one, one block at a time is read by the driver and searched in a job of its own, whose
+hits are written to the shared folder; so no more than a block is held by the driver or by a task, and only hits are shuffled.
+
+Documents are searched whole. Null and empty texts match nothing. Items of under MIN_CHARS characters are matched without edits,
+as whole words; wordless items are ignored, and so are items without an id, but for `clean`, which has no use for ids. Rows
+repeated are searched row by row; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -15,16 +19,17 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import table
+from scholia.llm.common import stored, table
 
 BUDGET, MIN_CHARS = 20, 30
-#: The items of a block are sent to the executors with the search; so many bytes of text are in one at most, on average.
+#: The items of a block are sent to the executors with its search; a block has so many bytes of text at most, on average.
 BLOCK_BYTES = 4 << 20
 HITS = "array<struct<item_id:bigint,distance:int>>"
 _GAP = re.compile(r"[\W_]+")
@@ -82,27 +87,34 @@ class Matcher:
 
     def find(self, text: str | None) -> list[dict]:
         """The items found and their least distances, by item_id."""
-        text, found, seen = f" {normal(text)} ", {}, {}
+        text, found, starts = f" {normal(text)} ", {}, {}
         for end, (length, at) in self.automaton.iter(text) if len(self.items) and len(text) > 2 else ():
             for n, offset in at:
-                number, item = self.items[n]
-                k, start = budget(item), end - length + 1 - offset
-                if found.get(number, k + 1) == 0:
-                    continue
-                if k == 0:
-                    found[number] = 0
-                    continue
-                lanes = seen.setdefault(n, set())
-                if start in lanes:
-                    continue
-                lanes.add(start)
-                stretch = text[max(0, start - k) : start + len(item) + k]
-                d = 0 if item in stretch else myers(item, stretch, k)
+                starts.setdefault(n, []).append(end - length + 1 - offset)
+        for n, places in starts.items():
+            number, item = self.items[n]
+            k = budget(item)
+            for first, last in _close(places, k) if k else [(places[0], places[0])]:
+                if found.get(number) == 0:
+                    break
+                stretch = text[max(0, first - k) : last + len(item) + k]
+                d = 0 if k == 0 or item in stretch else myers(item, stretch, k)
                 if d <= k and d < found.get(number, k + 1):
                     found[number] = d
         return [{"item_id": i, "distance": d} for i, d in sorted(found.items())]
 
 
+def _close(places: list[int], k: int) -> list[tuple[int, int]]:
+    """The first and last of each run of places that are at most k apart."""
+    runs: list[tuple[int, int]] = []
+    for p in sorted(set(places)):
+        if runs and p - runs[-1][1] <= k:
+            runs[-1] = runs[-1][0], p
+        else:
+            runs.append((p, p))
+    return runs
+
+
 def _search(items: list[tuple[int, str]]):
     @F.pandas_udf(HITS)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -113,28 +125,37 @@ def _search(items: list[tuple[int, str]]):
     return search
 
 
-def matches(benchmark: DataFrame, text: Column) -> Column:
-    """A column with the items found in a text: array of (item_id, distance)."""
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    found = []
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        found.append(_search(sorted({(i, w) for i, t in part if (w := normal(t))}))(text))
-    return F.concat(*found) if len(found) > 1 else found[0]
+def _block(items: DataFrame, number: int, blocks: int) -> list[tuple[int, str]]:
+    part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == number).collect()
+    return sorted({(i, w) for i, t in part if (w := normal(t))})
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, nameless: bool = False) -> DataFrame:
+    """row (the documents' columns) and m, the items found in its text: array of (item_id, distance). Items without an id count as -1, if at all."""
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = items.fillna(-1, ["item_id"]) if nameless else items.where(F.col("item_id").isNotNull())
+    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    if blocks == 1:
+        return rows.select("row", _search(_block(items, 0, 1))(F.col("t")).alias("m"))
+    keyed = rows.select("id", F.xxhash64("t").alias("key"), "t")
+    hits = [stored(keyed.select("id", "key", _search(_block(items, n, blocks))(F.col("t")).alias("m")).where(F.size("m") > 0)) for n in range(blocks)]
+    hits = reduce(DataFrame.unionByName, hits).groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.flatten(F.collect_list("m")).alias("m"))
+    found = rows.join(hits, F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_key")), "left")
+    return found.select("row", F.coalesce("m", F.expr(f"CAST(array() AS {HITS})")).alias("m"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (array), distance (the least, null if clean): one row per input row."""
-    rows = docs.select("doc_id", matches(benchmark, F.col("text")).alias("m"))
+    rows = matched(docs.select("doc_id", "text"), benchmark).select(F.col("row.doc_id").alias("doc_id"), "m")
     ids = F.array_sort(F.array_distinct(F.transform("m", lambda x: x["item_id"])))
     return rows.select("doc_id", (F.size("m") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.array_min(F.transform("m", lambda x: x["distance"])).alias("distance"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, whole rows, in which no item is found."""
-    return docs.where(F.size(matches(benchmark, F.col("text"))) == 0)
+    rows = matched(docs, benchmark, nameless=True).where(F.size("m") == 0)
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
