@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholia.durable import cut, stored  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of everything that is not ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -22,12 +23,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the shared folder that the session names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scholia-checkpoint-"))
-    return df.checkpoint()
+def anew(key: str) -> Column:
+    """The key as a number by which Spark doesn't know the rows to be dealt out already.
+
+    A join of an aggregate by this key deals out both of its sides, and Spark can then split a hot key on the other side.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0))
+
+
+#: Pairs that a task of a round of `components` writes, on average, at most.
+ROUND_ROWS = 200_000
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -43,26 +48,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = count(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(anew("u").alias("_u"), "m")
         # large star: every greater neighbour of u goes to the least of u and its neighbours
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        pairs = cut(small)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(anew("u").alias("_u"), "m")
+        small = large.join(low, F.col("u") == F.col("_u")).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        pairs = cut(small.coalesce(max(1, math.ceil(before[0] / ROUND_ROWS))))  # pairs never become more
         now = count(pairs)
         if now == before:
             break
         before = now
     roots = pairs.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet into the shared folder that cut() uses and read again."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scholia-checkpoint-"))
-    path = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -1,11 +1,11 @@
 """SimHash near-duplicates: vantage-point trees over 64-bit fingerprints, exact within a Hamming radius.
 
 Fingerprints are computed where texts are read, and equal ones are merged before anything else. A tree of vantage points,
-built from a bounded sample of SAMPLE fingerprints, parts the space into shards: at each point, what lies within the median
-distance goes inside, the rest outside. A fingerprint is held by one shard; by the triangle inequality it can have links only
+built from a sample of SAMPLE fingerprints (or eight a shard, of which there are as many as the root of their number), parts the
+space into shards: at each point, what lies within the median distance goes inside, the rest outside. A fingerprint is held by one shard; by the triangle inequality it can have links only
 in shards whose side it reaches with RADIUS to spare, and is sent to those of them that come after its own as a query. Each
-shard searches its fingerprints by a vantage-point tree of its own. Only a spanning forest of a shard's links leaves it, at
-most a row per fingerprint, so a dense group never emits its pairs, and no link between different texts is lost: the
+shard searches its fingerprints by a vantage-point tree of its own: a task holds those, and streams the queries by in chunks of
+CHUNK. Only a spanning forest of a chunk's links leaves it, at most a row per fingerprint, so a dense group never emits its pairs, and no link between different texts is lost: the
 components are those of all pairs. They are joined up by Spark (`common.components`).
 
 Texts: null counts as empty; the fingerprint of a text without words is zero, linked like any other. Rows repeated, or with
@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from scholia.llm.common import components, cut, table
+from scholia.llm.common import anew, components, cut, table
 
 SEED, WORDS, RADIUS = 42, 3, 3
-SAMPLE, SPREAD, LEAF, BLOCK = 16_384, 16, 48, 1 << 21
+SAMPLE, SPREAD, LEAF, BLOCK, CHUNK = 16_384, 16, 48, 1 << 21, 1 << 19
 
 
 def fingerprint(text: str | None) -> int:
@@ -88,7 +88,7 @@ def build(sample: np.ndarray, leaf: float, radius: int = RADIUS):
 
     def grow(x: np.ndarray):
         nonlocal count
-        found = _split(x, rng, radius) if len(x) > max(leaf, 4) else None
+        found = _split(x, rng, radius) if len(x) > leaf else None
         if not found:
             count += 1
             return count - 1
@@ -115,7 +115,7 @@ def route(tree, x: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, np.n
         todo += [(inner, at[i], own[i] & (d[i] <= mu)), (outer, at[o], own[o] & (d[o] > mu))]
 
 
-class _Forest:
+class Forest:
     """Union-find over numbers below n, fed with arrays of pairs."""
 
     def __init__(self, n: int) -> None:
@@ -137,11 +137,11 @@ class _Forest:
                 self.root = up
 
 
-def link(held: np.ndarray, asked: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of all links among held, and between asked and held: pairs of fingerprints."""
+def link(held: np.ndarray, asked: np.ndarray, radius: int = RADIUS, among: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all links between asked and held, and among held, if those are asked for: pairs of fingerprints."""
     x = np.concatenate([held, asked])
-    forest, rng = _Forest(len(x)), np.random.default_rng(7)
-    todo = [(np.arange(len(held)), np.arange(len(x)))]
+    forest, rng = Forest(len(x)), np.random.default_rng(7)
+    todo = [(np.arange(len(held)), np.arange(0 if among else len(held), len(x)))]
     while todo:
         own, ask = todo.pop()
         if not len(own) or not len(ask):
@@ -172,8 +172,8 @@ def link(held: np.ndarray, asked: np.ndarray, radius: int = RADIUS) -> tuple[np.
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints (column fp, long) within the radius."""
     n = distinct.count()
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     shards = max(1, math.ceil(math.sqrt(n) / SPREAD))  # a fingerprint is sent to more shards the more there are: few large ones
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, 8 * shards)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree, _ = build(sample, len(sample) / shards, radius)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +188,36 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 at, own = at[keep], own[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int32)), pa.array(x[at].view(np.int64)), pa.array(own)], ["shard", "fp", "own"])
 
-    def search(group: pa.Table) -> pa.Table:
-        x = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        own = group.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        a, b = link(x[own], x[~own], radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, asked, among = None, [], [], True
 
-    return distinct.select("fp").mapInArrow(send, "shard int, fp long, own boolean").groupBy("shard").applyInArrow(search, "a long, b long")
+        def linked() -> pa.RecordBatch:
+            nonlocal held, asked, among
+            held = [np.concatenate([*held, np.empty(0, np.uint64)])]
+            a, b = link(held[0], np.concatenate([*asked, np.empty(0, np.uint64)]), radius, among)
+            asked, among = [], False
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
+
+        for batch in batches:
+            names, x, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            x, own = x.astype(np.int64).view(np.uint64), own.astype(bool)
+            cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(names)]):
+                if i == j:
+                    continue
+                if names[i] != shard:
+                    if shard is not None:
+                        yield linked()
+                    shard, held, asked, among = names[i], [], [], True
+                held.append(x[i:j][own[i:j]])  # all of a shard's own come before its queries
+                asked.append(x[i:j][~own[i:j]])
+                if sum(map(len, asked)) >= CHUNK:
+                    yield linked()
+        if shard is not None:
+            yield linked()
+
+    dealt = distinct.select("fp").mapInArrow(send, "shard int, fp long, own boolean").repartition("shard").sortWithinPartitions("shard", F.desc("own"))
+    return dealt.mapInArrow(search, "a long, b long")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -205,9 +228,9 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "low", "root")
     low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = linked.join(low, "root").select(F.col("fp").alias("_fp"), "component_id")
-    of = distinct.join(linked, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "low").alias("component_id"))
-    # cut, so that both sides of the join have exchanges of their own and a fingerprint that many rows share can be split
-    return prints.join(cut(of), F.col("fp") == F.col("_fp"), "left").drop("_fp")
+    # anew, so that both sides of the join have exchanges of their own and a fingerprint that many rows share can be split
+    of = distinct.join(linked, F.col("fp") == F.col("_fp"), "left").select(anew("fp").alias("_fp"), F.coalesce("component_id", "low").alias("component_id"))
+    return prints.join(of, F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -138,8 +139,10 @@ def test_classes_equal_all_pairs(spark, docs, rows, none):
     assert simhash.classes(none).count() == 0 and simhash.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [simhash.CHUNK, 20])
 @pytest.mark.parametrize("shards", [1, 7])
-def test_links_across_shards_equal_all_pairs(spark, monkeypatch, shards):
+def test_links_across_shards_equal_all_pairs(spark, monkeypatch, shards, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     r = random.Random(5)
     base = [r.getrandbits(64) for _ in range(150)]
     prints = set(base)
@@ -153,7 +156,7 @@ def test_links_across_shards_equal_all_pairs(spark, monkeypatch, shards):
     monkeypatch.setattr(simhash, "SPREAD", len(prints) ** 0.5 / shards)
     table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in prints], "fp BIGINT")
     edges = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(table).collect()]
-    assert len(edges) <= shards * len(prints)
+    assert len(edges) <= (shards if chunk > 20 else len(prints)) * len(prints)
 
     def parts(pairs):
         root = {f: f for f in prints}
@@ -229,6 +232,23 @@ def test_benchmark_in_blocks(spark, docs, monkeypatch):
     whole = Counter(map(str, decontaminate.scan(docs, items).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
     assert Counter(map(str, decontaminate.scan(docs, items).collect())) == whole
+    assert decontaminate.clean(docs, items).columns == docs.columns and decontaminate.clean(docs, items).count() < docs.count()
+
+
+def test_items_without_an_id_are_cleaned_away(spark, docs, rows):
+    item = " ".join(decontaminate.normal(rows[7][1]).split()[5:30])
+    table = spark.createDataFrame([(None, item), (None, None)], "item_id BIGINT, text STRING")
+    left = decontaminate.clean(docs, table)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {r[0] for r in rows} - {7}
+    assert not decontaminate.scan(docs, table).where("contaminated").count()
+
+
+def test_a_piece_that_stands_everywhere(spark):
+    item = "the very common piece of text and then something of its own"
+    text = "the very common piece of text " * 3000 + item.replace("own", "owm")
+    matcher = decontaminate.Matcher([(1, item)])
+    began = time.time()
+    assert matcher.find(text) == [{"item_id": 1, "distance": 1}] and time.time() - began < 30
 
 
 def brute_repeats(texts, length=repeats.LENGTH):
