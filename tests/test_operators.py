@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -322,3 +323,27 @@ def test_counters_over_several_batches_equal_one(spark, tmp_path):
         s, a, n = want.get(u, (0, 0, 0))
         want[u] = (0, a + 1, n) if kind == "purchase" else (0, a, n + 1) if s == 2 else (s + 1, a, n)
     assert {r["user_id"]: (r["skips"], r["answers"], r["auto_skips"]) for r in got.collect()} == want
+
+
+def test_raw_sections_at_their_edges(spark):
+    from scholia.functions import papers as P
+
+    def slow(text):
+        lines, out, name, held = text.split("\n"), {}, "body", []
+        for line in lines:
+            if re.fullmatch(rf"(?i)(?:{P.HEADERS})\s*", line.strip()):
+                if held:
+                    out[name] = "\n".join(held).strip()
+                name, held = line.strip().lower().replace(" ", "_"), []
+            else:
+                held.append(line)
+        if held:
+            out[name] = "\n".join(held).strip()
+        return {"body": text} if not out or list(out) == ["body"] else out
+
+    texts = ["", "plain", " plain \n text ", "Abstract", "Abstract\nMethods", "Abstract\n\nMethods\nx", "x\nAbstract\ny\nabstract\nz", "\n Results and  discussion \n a\n b\n\nSummary\n", "abstracts\nAbstract of\nOUTLOOK\nend", "Abstract\nbody text\nbody", "a\nOutlook\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = {r["t"]: {s["name"]: s["content"] for s in r["s"]} for r in rows.select("t", P.raw_sections(F.col("t")).alias("s")).collect()}
+    for t in texts:
+        assert got[t] == slow(t), t
+    assert spark.createDataFrame([(None,)], "t STRING").select(P.raw_sections(F.col("t"))).first()[0] is None
