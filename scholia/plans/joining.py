@@ -121,10 +121,9 @@ def slot_overwrite(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fuzzy_dedup")
 def fuzzy_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy near-title removal; the title is a text's first line, blocks are source, language and the title's first three words."""
+    """Greedy near-title removal over all documents; the title is a text's first line, whole."""
     docs = load(spark, sf, "documents").select("doc_id", "source", "lang", F.substring_index("text", "\n", 1).alias("title"))
-    docs = docs.withColumn("title", F.substring("title", 1, 300))
-    return J.fuzzy_keep_first(docs, F.concat_ws(":", "source", "lang", F.lower(F.substring_index("title", " ", 3))), "doc_id", "title").drop("title")
+    return J.fuzzy_keep_first(docs, None, "doc_id", "title").drop("title")
 
 
 @query("suspect_documents", """WITH s AS (SELECT d.doc_id, list_filter([CASE WHEN l.doc_id IS NULL THEN 'missing_label' END, CASE WHEN text IS NULL OR length(trim(text)) = 0 THEN 'no_content' END, CASE WHEN length(trim(text)) BETWEEN 1 AND 79 THEN 'short_text' END, CASE WHEN lang IS NULL THEN 'missing_lang' END], lambda x: x IS NOT NULL) AS issues

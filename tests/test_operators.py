@@ -347,3 +347,27 @@ def test_raw_sections_at_their_edges(spark):
     for t in texts:
         assert got[t] == slow(t), t
     assert spark.createDataFrame([(None,)], "t STRING").select(P.raw_sections(F.col("t"))).first()[0] is None
+
+
+def test_fuzzy_titles_across_all_rows(spark):
+    r = random.Random(6)
+    words = ["growth", "of", "zinc", "selenide", "films", "on", "quartz", "by", "vapour", "deposition", "and", "their", "optical", "response", "defects", "in"]
+    titles = [" ".join(r.choice(words) for _ in range(r.randint(1, 9))) for _ in range(60)]
+    for t in titles[:40]:  # one or two letters changed, put in or left out
+        for _ in range(2):
+            new = list(t)
+            for _ in range(r.randint(1, 2)):
+                i = r.randrange(len(new))
+                new[i : i + 1] = r.choice([[], ["x"], [new[i], "y"]])
+            titles.append("".join(new).title())
+    titles += ["", None, "ab", "abc", "abcde", "abxcde", "abcdef", titles[3]]
+    r.shuffle(titles)
+    kept: list[tuple[int, str]] = []
+    for i, t in enumerate(titles):
+        low = (t or "").lower()
+        if not any(low == k or SequenceMatcher(None, low, k).ratio() > 0.9 for _, k in kept):
+            kept.append((i, low))
+    rows = spark.createDataFrame(list(enumerate(titles)), "i INT, t STRING").withColumn("block", F.lit("extra")).repartition(3)
+    got = J.fuzzy_keep_first(rows, None, "i", "t")
+    assert got.columns == rows.columns and sorted(r["i"] for r in got.collect()) == [i for i, _ in kept]
+    assert J.fuzzy_keep_first(rows.limit(0), None, "i", "t").count() == 0
