@@ -2,219 +2,212 @@
 
 from __future__ import annotations
 
-
-def _entries(text: str) -> list[tuple[str, str]]:
-    """Lines `keyword = label`, in order. A keyword in quotes keeps its spaces."""
-    pairs = (line.split(" = ", 1) for line in text.strip().split("\n"))
-    return [(k.strip().strip('"') if '"' in k else k.strip(), v.strip()) for k, v in pairs]
-
-
 # Phrases of characterisation methods, first match wins.
-CHARACTERIZATION = _entries("""
-xrd = XRD
-x-ray diffraction = XRD
-gixrd = GIXRD
-grazing incidence x-ray = GIXRD
-saxs = SAXS
-waxs = WAXS
-rheed = RHEED
-leed = LEED
-xrf = XRF
-sem = SEM
-scanning electron = SEM
-fesem = FE-SEM
-field emission sem = FE-SEM
-tem = TEM
-transmission electron = TEM
-hrtem = HRTEM
-high-resolution tem = HRTEM
-stem = STEM
-haadf = HAADF-STEM
-eels = EELS
-electron energy loss = EELS
-ebsd = EBSD
-electron backscatter = EBSD
-fib = FIB
-focused ion beam = FIB
-afm = AFM
-atomic force = AFM
-stm = STM
-scanning tunneling = STM
-kpfm = KPFM
-kelvin probe = KPFM
-pfm = PFM
-piezoresponse force = PFM
-xps = XPS
-x-ray photoelectron = XPS
-esca = XPS
-ups = UPS
-ultraviolet photoelectron = UPS
-aes = AES
-auger electron = AES
-arpes = ARPES
-angle-resolved photoemission = ARPES
-exafs = EXAFS
-extended x-ray absorption = EXAFS
-xanes = XANES
-near-edge x-ray = XANES
-ftir = FTIR
-infrared spectroscop = FTIR
-atr = ATR-FTIR
-attenuated total reflectance = ATR-FTIR
-raman = Raman spectroscopy
-photoluminescence = PL spectroscopy
-cathodoluminescence = CL
-electroluminescence = EL
-time-resolved photoluminescence = TRPL
-time resolved photoluminescence = TRPL
-trpl = TRPL
-tcspc = TCSPC
-shg = SHG
-second harmonic generation = SHG
-uv-vis = UV-Vis
-uv–vis = UV-Vis
-uv-vis-nir = UV-Vis-NIR
-ellipsomet = ellipsometry
-reflectance spectroscop = reflectance spectroscopy
-eis = EIS
-electrochemical impedance = EIS
-cyclic voltammetry = CV
-" cv " = CV
-lsv = LSV
-linear sweep voltammetry = LSV
-tga = TGA
-thermogravimetric = TGA
-dsc = DSC
-differential scanning calorimetry = DSC
-dta = DTA
-differential thermal analysis = DTA
-bet = BET
-brunauer = BET
-dls = DLS
-dynamic light scattering = DLS
-sims = SIMS
-secondary ion mass = SIMS
-rbs = RBS
-rutherford backscattering = RBS
-pixe = PIXE
-inductively coupled plasma = ICP
-gdms = GDMS
-gdoes = GDOES
-libs = LIBS
-dlts = DLTS
-deep level transient = DLTS
-dlos = DLOS
-picts = PICTS
-hall effect = Hall effect
-four-point probe = four-point probe
-four point probe = four-point probe
-photoconductivity = photoconductivity measurement
-edx = EDX
-energy dispersive = EDX
-eds = EDS
-edax = EDX
-wds = WDS
-profilometr = profilometry
-absorption spectroscop = absorption spectroscopy
-""")
+CHARACTERIZATION = (
+    ("xrd", "XRD"),
+    ("x-ray diffraction", "XRD"),
+    ("gixrd", "GIXRD"),
+    ("grazing incidence x-ray", "GIXRD"),
+    ("saxs", "SAXS"),
+    ("waxs", "WAXS"),
+    ("rheed", "RHEED"),
+    ("leed", "LEED"),
+    ("xrf", "XRF"),
+    ("sem", "SEM"),
+    ("scanning electron", "SEM"),
+    ("fesem", "FE-SEM"),
+    ("field emission sem", "FE-SEM"),
+    ("tem", "TEM"),
+    ("transmission electron", "TEM"),
+    ("hrtem", "HRTEM"),
+    ("high-resolution tem", "HRTEM"),
+    ("stem", "STEM"),
+    ("haadf", "HAADF-STEM"),
+    ("eels", "EELS"),
+    ("electron energy loss", "EELS"),
+    ("ebsd", "EBSD"),
+    ("electron backscatter", "EBSD"),
+    ("fib", "FIB"),
+    ("focused ion beam", "FIB"),
+    ("afm", "AFM"),
+    ("atomic force", "AFM"),
+    ("stm", "STM"),
+    ("scanning tunneling", "STM"),
+    ("kpfm", "KPFM"),
+    ("kelvin probe", "KPFM"),
+    ("pfm", "PFM"),
+    ("piezoresponse force", "PFM"),
+    ("xps", "XPS"),
+    ("x-ray photoelectron", "XPS"),
+    ("esca", "XPS"),
+    ("ups", "UPS"),
+    ("ultraviolet photoelectron", "UPS"),
+    ("aes", "AES"),
+    ("auger electron", "AES"),
+    ("arpes", "ARPES"),
+    ("angle-resolved photoemission", "ARPES"),
+    ("exafs", "EXAFS"),
+    ("extended x-ray absorption", "EXAFS"),
+    ("xanes", "XANES"),
+    ("near-edge x-ray", "XANES"),
+    ("ftir", "FTIR"),
+    ("infrared spectroscop", "FTIR"),
+    ("atr", "ATR-FTIR"),
+    ("attenuated total reflectance", "ATR-FTIR"),
+    ("raman", "Raman spectroscopy"),
+    ("photoluminescence", "PL spectroscopy"),
+    ("cathodoluminescence", "CL"),
+    ("electroluminescence", "EL"),
+    ("time-resolved photoluminescence", "TRPL"),
+    ("time resolved photoluminescence", "TRPL"),
+    ("trpl", "TRPL"),
+    ("tcspc", "TCSPC"),
+    ("shg", "SHG"),
+    ("second harmonic generation", "SHG"),
+    ("uv-vis", "UV-Vis"),
+    ("uv–vis", "UV-Vis"),
+    ("uv-vis-nir", "UV-Vis-NIR"),
+    ("ellipsomet", "ellipsometry"),
+    ("reflectance spectroscop", "reflectance spectroscopy"),
+    ("eis", "EIS"),
+    ("electrochemical impedance", "EIS"),
+    ("cyclic voltammetry", "CV"),
+    (" cv ", "CV"),
+    ("lsv", "LSV"),
+    ("linear sweep voltammetry", "LSV"),
+    ("tga", "TGA"),
+    ("thermogravimetric", "TGA"),
+    ("dsc", "DSC"),
+    ("differential scanning calorimetry", "DSC"),
+    ("dta", "DTA"),
+    ("differential thermal analysis", "DTA"),
+    ("bet", "BET"),
+    ("brunauer", "BET"),
+    ("dls", "DLS"),
+    ("dynamic light scattering", "DLS"),
+    ("sims", "SIMS"),
+    ("secondary ion mass", "SIMS"),
+    ("rbs", "RBS"),
+    ("rutherford backscattering", "RBS"),
+    ("pixe", "PIXE"),
+    ("inductively coupled plasma", "ICP"),
+    ("gdms", "GDMS"),
+    ("gdoes", "GDOES"),
+    ("libs", "LIBS"),
+    ("dlts", "DLTS"),
+    ("deep level transient", "DLTS"),
+    ("dlos", "DLOS"),
+    ("picts", "PICTS"),
+    ("hall effect", "Hall effect"),
+    ("four-point probe", "four-point probe"),
+    ("four point probe", "four-point probe"),
+    ("photoconductivity", "photoconductivity measurement"),
+    ("edx", "EDX"),
+    ("energy dispersive", "EDX"),
+    ("eds", "EDS"),
+    ("edax", "EDX"),
+    ("wds", "WDS"),
+    ("profilometr", "profilometry"),
+    ("absorption spectroscop", "absorption spectroscopy"),
+)
 
 # Phrases of synthesis methods.
-SYNTHESIS = _entries("""
-molecular beam epitaxy = MBE
-chemical vapor deposition = CVD
-chemical vapour deposition = CVD
-metalorganic chemical vapor = MOCVD
-metalorganic cvd = MOCVD
-metal-organic cvd = MOCVD
-plasma-enhanced cvd = PECVD
-plasma enhanced cvd = PECVD
-low-pressure cvd = LPCVD
-atmospheric pressure cvd = APCVD
-atomic layer deposition = ALD
-plasma-enhanced ald = PEALD
-pulsed laser deposition = PLD
-physical vapor deposition = PVD
-physical vapour deposition = PVD
-rf sputtering = RF sputtering
-dc sputtering = DC sputtering
-magnetron sputtering = magnetron sputtering
-reactive sputtering = reactive sputtering
-thermal evaporation = thermal evaporation
-electron beam evaporation = e-beam evaporation
-e-beam evaporation = e-beam evaporation
-metal organic vapor phase = MOVPE
-metalorganic vapor phase = MOVPE
-halide vapor phase = HVPE
-spin coating = spin coating
-sol-gel = sol-gel
-spray pyrolysis = spray pyrolysis
-chemical bath deposition = CBD
-successive ionic layer = SILAR
-silar = SILAR
-electrodeposition = electrodeposition
-electroplating = electroplating
-hydrothermal = hydrothermal synthesis
-solvothermal = solvothermal synthesis
-close space sublimation = CSS
-close-space sublimation = CSS
-""")
+SYNTHESIS = (
+    ("molecular beam epitaxy", "MBE"),
+    ("chemical vapor deposition", "CVD"),
+    ("chemical vapour deposition", "CVD"),
+    ("metalorganic chemical vapor", "MOCVD"),
+    ("metalorganic cvd", "MOCVD"),
+    ("metal-organic cvd", "MOCVD"),
+    ("plasma-enhanced cvd", "PECVD"),
+    ("plasma enhanced cvd", "PECVD"),
+    ("low-pressure cvd", "LPCVD"),
+    ("atmospheric pressure cvd", "APCVD"),
+    ("atomic layer deposition", "ALD"),
+    ("plasma-enhanced ald", "PEALD"),
+    ("pulsed laser deposition", "PLD"),
+    ("physical vapor deposition", "PVD"),
+    ("physical vapour deposition", "PVD"),
+    ("rf sputtering", "RF sputtering"),
+    ("dc sputtering", "DC sputtering"),
+    ("magnetron sputtering", "magnetron sputtering"),
+    ("reactive sputtering", "reactive sputtering"),
+    ("thermal evaporation", "thermal evaporation"),
+    ("electron beam evaporation", "e-beam evaporation"),
+    ("e-beam evaporation", "e-beam evaporation"),
+    ("metal organic vapor phase", "MOVPE"),
+    ("metalorganic vapor phase", "MOVPE"),
+    ("halide vapor phase", "HVPE"),
+    ("spin coating", "spin coating"),
+    ("sol-gel", "sol-gel"),
+    ("spray pyrolysis", "spray pyrolysis"),
+    ("chemical bath deposition", "CBD"),
+    ("successive ionic layer", "SILAR"),
+    ("silar", "SILAR"),
+    ("electrodeposition", "electrodeposition"),
+    ("electroplating", "electroplating"),
+    ("hydrothermal", "hydrothermal synthesis"),
+    ("solvothermal", "solvothermal synthesis"),
+    ("close space sublimation", "CSS"),
+    ("close-space sublimation", "CSS"),
+)
 
 # Phrases of defects.
-DEFECTS = _entries("""
-selenium vacancy = Se vacancy (V_Se)
-se vacancy = Se vacancy (V_Se)
-v_se = Se vacancy (V_Se)
-vse = Se vacancy (V_Se)
-s vacancy = S vacancy (V_S)
-sulfur vacancy = S vacancy (V_S)
-zinc vacancy = Zn vacancy (V_Zn)
-zn vacancy = Zn vacancy (V_Zn)
-v_zn = Zn vacancy (V_Zn)
-zinc interstitial = Zn interstitial (Zn_i)
-zn interstitial = Zn interstitial (Zn_i)
-zni = Zn interstitial (Zn_i)
-antisite = antisite defect
-se_zn = Se antisite (Se_Zn)
-zn_se = Zn antisite (Zn_Se)
-deep level = deep-level defect
-deep trap = deep-level trap
-shallow donor = shallow donor
-shallow acceptor = shallow acceptor
-donor level = donor level
-acceptor level = acceptor level
-native defect = native point defect
-point defect = point defect
-stacking fault = stacking fault
-dislocation = dislocation
-grain boundary = grain boundary defect
-""")
+DEFECTS = (
+    ("selenium vacancy", "Se vacancy (V_Se)"),
+    ("se vacancy", "Se vacancy (V_Se)"),
+    ("v_se", "Se vacancy (V_Se)"),
+    ("vse", "Se vacancy (V_Se)"),
+    ("s vacancy", "S vacancy (V_S)"),
+    ("sulfur vacancy", "S vacancy (V_S)"),
+    ("zinc vacancy", "Zn vacancy (V_Zn)"),
+    ("zn vacancy", "Zn vacancy (V_Zn)"),
+    ("v_zn", "Zn vacancy (V_Zn)"),
+    ("zinc interstitial", "Zn interstitial (Zn_i)"),
+    ("zn interstitial", "Zn interstitial (Zn_i)"),
+    ("zni", "Zn interstitial (Zn_i)"),
+    ("antisite", "antisite defect"),
+    ("se_zn", "Se antisite (Se_Zn)"),
+    ("zn_se", "Zn antisite (Zn_Se)"),
+    ("deep level", "deep-level defect"),
+    ("deep trap", "deep-level trap"),
+    ("shallow donor", "shallow donor"),
+    ("shallow acceptor", "shallow acceptor"),
+    ("donor level", "donor level"),
+    ("acceptor level", "acceptor level"),
+    ("native defect", "native point defect"),
+    ("point defect", "point defect"),
+    ("stacking fault", "stacking fault"),
+    ("dislocation", "dislocation"),
+    ("grain boundary", "grain boundary defect"),
+)
 
 # Acronyms that name a method other than by themselves; all others of the two lists stand for themselves.
-RENAMED_ACRONYMS = _entries("""
-FESEM = FE-SEM
-HRSEM = HR-SEM
-HAADF = HAADF-STEM
-SKPM = KPFM
-CAFM = C-AFM
-FIBSEM = FIB-SEM
-GIXD = GIXRD
-ESCA = XPS
-EDAX = EDX
-ATR = ATR-FTIR
-PL = PL spectroscopy
-UVVIS = UV-Vis
-UVVISNIR = UV-Vis-NIR
-GEIS = EIS
-PEIS = EIS
-DTGA = TGA
-TOFSIMS = ToF-SIMS
-ICPMS = ICP-MS
-ICPAES = ICP-AES
-HALL = Hall effect
-ALCVD = ALD
-PAMBE = PA-MBE
-RFMBE = RF-MBE
-""")
+RENAMED_ACRONYMS = (
+    ("FESEM", "FE-SEM"),
+    ("HRSEM", "HR-SEM"),
+    ("HAADF", "HAADF-STEM"),
+    ("SKPM", "KPFM"),
+    ("CAFM", "C-AFM"),
+    ("FIBSEM", "FIB-SEM"),
+    ("GIXD", "GIXRD"),
+    ("ESCA", "XPS"),
+    ("EDAX", "EDX"),
+    ("ATR", "ATR-FTIR"),
+    ("PL", "PL spectroscopy"),
+    ("UVVIS", "UV-Vis"),
+    ("UVVISNIR", "UV-Vis-NIR"),
+    ("GEIS", "EIS"),
+    ("PEIS", "EIS"),
+    ("DTGA", "TGA"),
+    ("TOFSIMS", "ToF-SIMS"),
+    ("ICPMS", "ICP-MS"),
+    ("ICPAES", "ICP-AES"),
+    ("HALL", "Hall effect"),
+    ("ALCVD", "ALD"),
+    ("PAMBE", "PA-MBE"),
+    ("RFMBE", "RF-MBE"),
+)
 CHARACTERIZATION_ACRONYMS = (
     "SEM FESEM HRSEM ESEM TEM HRTEM STEM HAADF ETEM AFM STM MFM KPFM SKPM EFM CAFM PFM FIB FIBSEM XRD HRXRD GIXRD GIXD SAXS WAXS GISAXS GIWAXS RHEED LEED SAED CBED "
     "EBSD XRF SXRD XRR XPS ESCA HAXPES UPS AES ARPES ARUPS EXAFS XANES NEXAFS XAS EDS EDX EDAX WDS EPMA EELS HREELS EFTEM FTIR ATR DRIFTS PL TRPL TCSPC CL EL SHG THG "
@@ -245,41 +238,41 @@ TECHNIQUE_LABELS = (
 )
 
 # Units as written, folded, and as kept.
-UNITS = _entries("""
-°c = °C
-deg c = °C
-degrees c = °C
-celsius = °C
-°f = °F
-k = K
-kelvin = K
-ev = eV
-at.% = at.%
-at% = at.%
-mol.% = mol.%
-mol% = mol.%
-wt.% = wt.%
-wt% = wt.%
-cm-3 = cm⁻³
-cm^-3 = cm⁻³
-cm⁻3 = cm⁻³
-nm = nm
-um = μm
-μm = μm
-ns = ns
-us = μs
-μs = μs
-ps = ps
-ms = ms
-ω·cm = Ω·cm
-ohm·cm = Ω·cm
-s/cm = S/cm
-μa = μA
-ma = mA
-na = nA
-a/w = A/W
-ma/w = mA/W
-""")
+UNITS = (
+    ("°c", "°C"),
+    ("deg c", "°C"),
+    ("degrees c", "°C"),
+    ("celsius", "°C"),
+    ("°f", "°F"),
+    ("k", "K"),
+    ("kelvin", "K"),
+    ("ev", "eV"),
+    ("at.%", "at.%"),
+    ("at%", "at.%"),
+    ("mol.%", "mol.%"),
+    ("mol%", "mol.%"),
+    ("wt.%", "wt.%"),
+    ("wt%", "wt.%"),
+    ("cm-3", "cm⁻³"),
+    ("cm^-3", "cm⁻³"),
+    ("cm⁻3", "cm⁻³"),
+    ("nm", "nm"),
+    ("um", "μm"),
+    ("μm", "μm"),
+    ("ns", "ns"),
+    ("us", "μs"),
+    ("μs", "μs"),
+    ("ps", "ps"),
+    ("ms", "ms"),
+    ("ω·cm", "Ω·cm"),
+    ("ohm·cm", "Ω·cm"),
+    ("s/cm", "S/cm"),
+    ("μa", "μA"),
+    ("ma", "mA"),
+    ("na", "nA"),
+    ("a/w", "A/W"),
+    ("ma/w", "mA/W"),
+)
 
 # Words that top keywords leave out.
 STOP_WORDS = (
@@ -299,55 +292,55 @@ NOISE_PREFIXES = (
     "declaration_of_competing_interest_", "author_contributions_", "figure_", "eq_",
 )
 NOISE_SUFFIXES = ("_references", "_acknowledgements", "_acknowledgments", "_acknowledgement")
-SECTION_NAMES = _entries("""
-i_introduction = introduction
-ii_introduction = introduction
-1_introduction = introduction
-experimental = methods
-experimental_section = methods
-experimental_methods = methods
-experimental_procedure = methods
-experimental_details = methods
-materials_and_methods = methods
-result_and_discussion = results_and_discussion
-results_and_discussions = results_and_discussion
-final_remarks = conclusion
-conclusions_and_outlook = conclusion
-summary_and_outlook = conclusion
-crystal_growth = synthesis
-sample_preparation = synthesis
-material_preparation = synthesis
-characterizations = characterization
-structural_characterization = characterization
-raman_spectroscopy = characterization
-optical_analysis = optical_properties
-computational_details = computational_methods
-theoretical_calculations = computational_methods
-electrical_measurements = electrical_properties
-transport_properties = electrical_properties
-""")
-SECTION_PREFIXES = _entries("""
-chapter_1_introduction = introduction
-chapter_2_literature = introduction
-chapter_3_experimental = methods
-chapter_4_ = results
-chapter_5_ = results
-chapter_6_ = discussion
-chapter_7_conclusion = conclusion
-growth_of_ = synthesis
-synthesis_of_ = synthesis
-fabrication_of_ = device_fabrication
-device_fabrication_and = device_fabrication
-""")
-SECTION_PARTS = _entries("""
-results_and_discussions = results_and_discussion
-results_and_discussion = results_and_discussion
-synthesis_and = synthesis
-device_fabrication = device_fabrication
-computational_method = computational_methods
-dft_calculation = computational_methods
-first_principles = computational_methods
-""")
+SECTION_NAMES = (
+    ("i_introduction", "introduction"),
+    ("ii_introduction", "introduction"),
+    ("1_introduction", "introduction"),
+    ("experimental", "methods"),
+    ("experimental_section", "methods"),
+    ("experimental_methods", "methods"),
+    ("experimental_procedure", "methods"),
+    ("experimental_details", "methods"),
+    ("materials_and_methods", "methods"),
+    ("result_and_discussion", "results_and_discussion"),
+    ("results_and_discussions", "results_and_discussion"),
+    ("final_remarks", "conclusion"),
+    ("conclusions_and_outlook", "conclusion"),
+    ("summary_and_outlook", "conclusion"),
+    ("crystal_growth", "synthesis"),
+    ("sample_preparation", "synthesis"),
+    ("material_preparation", "synthesis"),
+    ("characterizations", "characterization"),
+    ("structural_characterization", "characterization"),
+    ("raman_spectroscopy", "characterization"),
+    ("optical_analysis", "optical_properties"),
+    ("computational_details", "computational_methods"),
+    ("theoretical_calculations", "computational_methods"),
+    ("electrical_measurements", "electrical_properties"),
+    ("transport_properties", "electrical_properties"),
+)
+SECTION_PREFIXES = (
+    ("chapter_1_introduction", "introduction"),
+    ("chapter_2_literature", "introduction"),
+    ("chapter_3_experimental", "methods"),
+    ("chapter_4_", "results"),
+    ("chapter_5_", "results"),
+    ("chapter_6_", "discussion"),
+    ("chapter_7_conclusion", "conclusion"),
+    ("growth_of_", "synthesis"),
+    ("synthesis_of_", "synthesis"),
+    ("fabrication_of_", "device_fabrication"),
+    ("device_fabrication_and", "device_fabrication"),
+)
+SECTION_PARTS = (
+    ("results_and_discussions", "results_and_discussion"),
+    ("results_and_discussion", "results_and_discussion"),
+    ("synthesis_and", "synthesis"),
+    ("device_fabrication", "device_fabrication"),
+    ("computational_method", "computational_methods"),
+    ("dft_calculation", "computational_methods"),
+    ("first_principles", "computational_methods"),
+)
 SECTION_WORDS = (
     "results discussion conclusion introduction methods synthesis characterization computational optical electrical device abstract summary theory experimental "
     "fabrication measurement analysis"

@@ -52,14 +52,25 @@ def preview(text: Column, n: int) -> Column:
 # Cleaning and splitting
 
 
+# Patterns and what replaces them, in order; i ignores case, s lets a dot stand for line breaks.
+CLEANUP = (
+    (r"\S+@\S+", " ", ""),
+    (r"http\S+", " ", ""),
+    (r"Fig\.\s*\d+", " ", ""),
+    (r"Figure\s*\d+", " ", ""),
+    (r"\[\d+(,\s*\d+)*\]", " ", ""),
+    (r"\([A-Za-z]+,\s*\d{4}\)", " ", ""),
+    (r"Keywords?:.*?(Introduction|1\.)", " ", "is"),
+    (r"References.*", " ", "is"),
+    (r"\n\s*\d+\s*\n", "\n", ""),
+    (r"\s+", " ", ""),
+)
+
+
 def clean_scientific_text(text: Column) -> Column:
     """Removes e-mails, addresses, figure references, citations, the keyword block, the reference list and page numbers."""
-    # Patterns and what replaces them, in order.
-    for pattern, by in (
-        (r"\S+@\S+", " "), (r"http\S+", " "), (r"Fig\.\s*\d+", " "), (r"Figure\s*\d+", " "), (r"\[\d+(,\s*\d+)*\]", " "), (r"\([A-Za-z]+,\s*\d{4}\)", " "),
-        (r"(?is)Keywords?:.*?(Introduction|1\.)", " "), (r"(?is)References.*", " "), (r"\n\s*\d+\s*\n", "\n"), (r"\s+", " "),
-    ):
-        text = F.regexp_replace(text, pattern, by)
+    for pattern, by, flags in CLEANUP:
+        text = F.regexp_replace(text, f"(?{flags}){pattern}" if flags else pattern, by)
     return F.trim(F.replace(text, F.lit("- "), F.lit("")))
 
 
@@ -180,11 +191,16 @@ def keywords(text: Column, least: int = 4) -> Column:
 # Facts
 
 
+# Patterns of addresses and of lists of authors in a sentence.
+ADDRESS = (r"\d[A-Z][a-z]", r"Department|Institute|University|College|Laboratory|Lab")
+AUTHORS = r"[A-Z][a-z]+\d,\s+[A-Z][a-z]+\d"
+
+
 def is_noise_sentence(sentence: Column, low: Column | None = None) -> Column:
     low = F.lower(sentence) if low is None else low
     found = F.exists(F.array(*map(F.lit, L.NOISE_PHRASES)), lambda p: F.contains(low, p))
-    address = sentence.rlike(r"\d[A-Z][a-z]") & sentence.rlike(r"Department|Institute|University|College|Laboratory|Lab")
-    authors = sentence.rlike(r"[A-Z][a-z]+\d,\s+[A-Z][a-z]+\d")
+    address = sentence.rlike(ADDRESS[0]) & sentence.rlike(ADDRESS[1])
+    authors = sentence.rlike(AUTHORS)
     w, commas = words(sentence), F.length(sentence) - F.length(F.replace(sentence, F.lit(","), F.lit("")))
     alpha, digits = F.size(F.filter(w, lambda x: x.rlike(r"^\p{L}{2,}$"))), F.size(F.filter(w, lambda x: x.rlike(r"\d")))
     lists = (F.size(w) < 20) & (commas >= 3) & (digits >= 2) & (alpha <= F.size(w) * 0.7)
@@ -200,22 +216,30 @@ def is_valid_value(value: Column, query_terms: Column) -> Column:
     return F.coalesce((F.length(v) >= 3) & (F.length(v) <= 120) & ~F.lower(v).isin(L.VALUE_BLOCKLIST) & good, F.lit(False))
 
 
+# The units and forms that values of each category need, and what makes a value of it unfit.
+OPTICAL = r"\d\s*(?:eV|nm|cm[⁻\-]1|A\s*W[⁻\-]1|AW[⁻\-]1|meV|μm)"
+ELECTRICAL = r"\d\s*(?:ns|μs|ps|ms|cm[⁻\-]?[23]|Ω|ohm|A\s*/\s*W|A/W|Jones|cm2|V\b|nA|μA|mA\b|S\s*cm|S/cm|m\*)|\bJones\b"
+ANNEALING, NO_ANNEALING = "\\d+\\s*(?:°C|K\\b)", "not specified|might be|possibly"
+DOPING = "\\d\\s*(?:at\\.?%|wt\\.?%|mol%|cm[⁻\\-]3|×10)"
+NO_MATERIAL, NO_DEFECT = "not specified|not reported", r"[.]{2,}|equation|table|figure"
+
+
 def is_valid_fact(category: Column, value: Column) -> Column:
     """Whether a value is fit for its category: its units, its length, and known garbage."""
     v = F.trim(value)
     low, plain = F.lower(v), F.translate(v, "⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-")
     formula_and_number = v.rlike(r"^(?:[A-Z][a-z]?\d{0,2}){2,6}\d{3}$")
     short_code = v.rlike(r"^[A-Za-z]{2,4}\d{1,3}$") & (F.length(v) <= 7) & ~v.rlike(r"[a-z][A-Z]")
-    material = (F.length(v) <= 40) & ~low.isin(*L.GARBLED_MATERIALS, *L.GENERIC_MATERIALS) & ~short_code & ~formula_and_number & ~low.rlike("not specified|not reported")
+    material = (F.length(v) <= 40) & ~low.isin(*L.GARBLED_MATERIALS, *L.GENERIC_MATERIALS) & ~short_code & ~formula_and_number & ~low.rlike(NO_MATERIAL)
     label = low.isin(*L.TECHNIQUE_LABELS)
     begins = F.lit(False)
     for t in L.TECHNIQUE_LABELS:
         begins = begins | low.startswith(t)
-    optical = ~label & ~begins & plain.rlike(r"\d\s*(?:eV|nm|cm[⁻\-]1|A\s*W[⁻\-]1|AW[⁻\-]1|meV|μm)")
-    electrical = ~label & plain.rlike(r"\d\s*(?:ns|μs|ps|ms|cm[⁻\-]?[23]|Ω|ohm|A\s*/\s*W|A/W|Jones|cm2|V\b|nA|μA|mA\b|S\s*cm|S/cm|m\*)|\bJones\b")
-    annealing = plain.rlike("\\d+\\s*(?:°C|K\\b)") & (F.length(v) <= 80) & ~low.rlike("not specified|might be|possibly")
-    doping = plain.rlike("\\d\\s*(?:at\\.?%|wt\\.?%|mol%|cm[⁻\\-]3|×10)")
-    defect = (F.length(v) <= 60) & ~low.rlike(r"[.]{2,}|equation|table|figure")
+    optical = ~label & ~begins & plain.rlike(OPTICAL)
+    electrical = ~label & plain.rlike(ELECTRICAL)
+    annealing = plain.rlike(ANNEALING) & (F.length(v) <= 80) & ~low.rlike(NO_ANNEALING)
+    doping = plain.rlike(DOPING)
+    defect = (F.length(v) <= 60) & ~low.rlike(NO_DEFECT)
     of = F.when(category == "material", material).when(category == "optical_property", optical).when(category == "electrical_property", electrical)
     of = of.when(category == "annealing_condition", annealing).when(category == "doping_parameter", doping).when(category == "defect_type", defect).otherwise(F.lit(True))
     return F.coalesce((v != "") & of, F.lit(False))

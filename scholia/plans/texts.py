@@ -12,10 +12,7 @@ from scholia.operators import joining as J
 from scholia.registry import query
 
 _CLEAN_SQL = "text"
-for _p, _b, _o in (
-    (r"\S+@\S+", " ", ""), (r"http\S+", " ", ""), (r"Fig\.\s*\d+", " ", ""), (r"Figure\s*\d+", " ", ""), (r"\[\d+(,\s*\d+)*\]", " ", ""), (r"\([A-Za-z]+,\s*\d{4}\)", " ", ""),
-    (r"Keywords?:.*?(Introduction|1\.)", " ", "is"), (r"References.*", " ", "is"), (r"\n\s*\d+\s*\n", chr(10), ""), (r"\s+", " ", ""),
-):
+for _p, _b, _o in T.CLEANUP:
     _CLEAN_SQL = f"regexp_replace({_CLEAN_SQL}, '{_p}', '{_b}', 'g{_o}')"
 _CLEAN_SQL = f"trim(replace({_CLEAN_SQL}, '- ', ''))"
 
@@ -31,11 +28,18 @@ def chunk_text(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk", "text")).select("doc_id", "chunk", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
-@query("noise_sentences", """WITH s AS (SELECT doc_id, unnest(string_split_regex(replace(replace(replace(text, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), chr(1))) AS s FROM documents WHERE doc_id >= 0)
-SELECT doc_id, count(*) AS sentences, count(*) FILTER (contains(lower(s), 'copyright') OR contains(lower(s), 'http://') OR contains(lower(s), 'https://')) AS marked FROM s WHERE length(trim(s)) > 0 GROUP BY doc_id""")
+_NOISE_SQL = " OR ".join(f"contains(lower(s), '{p}')" for p in L.NOISE_PHRASES)
+
+
+@query("noise_sentences", rf"""WITH s AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents),
+w AS (SELECT doc_id, s, list_filter(string_split_regex(s, '\s+'), lambda x: x <> '') AS w, length(s) - length(replace(s, ',', '')) AS commas FROM s WHERE length(trim(s)) > 0),
+m AS (SELECT doc_id, {_NOISE_SQL} OR (regexp_matches(s, '{T.ADDRESS[0]}') AND regexp_matches(s, '{T.ADDRESS[1]}')) OR regexp_matches(s, '{T.AUTHORS}')
+  OR (len(w) < 20 AND commas >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '\d'))) >= 2 AND len(list_filter(w, lambda x: regexp_matches(x, '^\p{{L}}{{2,}}$'))) <= len(w) * 0.7)
+  OR (length(trim(s)) < 40 AND regexp_matches(s, '\d') AND regexp_matches(s, '[,()]')) AS noise FROM w)
+SELECT doc_id, count(*) AS sentences, count(*) FILTER (noise) AS noise FROM m GROUP BY doc_id""")
 def noise_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    s = load(spark, sf, "documents").select("doc_id", F.explode(F.filter(F.split("text", r"(?<=[.!?]) "), lambda x: F.length(F.trim(x)) > 0)).alias("s"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(T.any_keyword(F.col("s"), ("copyright", "http://", "https://"))).alias("marked"))
+    s = load(spark, sf, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(T.is_noise_sentence(F.col("s"))).alias("noise"))
 
 
 @query("sentence_facts")
