@@ -226,3 +226,12 @@ def sanitize_escapes(text: Column) -> Column:
 
 def default_bands(atoms: Column) -> Column:
     return F.greatest(F.lit(8), F.floor(atoms * 4 * 1.2).cast("int"))
+
+
+def dense_mesh(mesh: Column) -> Column:
+    """Twice the points of a mesh in each direction."""
+    return F.transform(mesh, lambda n: n * 2)
+
+
+# The path Γ-X-M-Γ-R of cubic cells, with the points to the next.
+K_PATH = ((0.0, 0.0, 0.0, 20), (0.5, 0.0, 0.0, 20), (0.5, 0.5, 0.0, 20), (0.0, 0.0, 0.0, 20), (0.5, 0.5, 0.5, 1))

@@ -319,6 +319,18 @@ def overlap(text: Column, terms: Column) -> Column:
     return F.when(F.size(terms) == 0, 0.0).otherwise(F.size(F.array_intersect(F.array_distinct(_terms(text)), terms)) / F.size(terms))
 
 
+def similar_texts(a: Column, b: Column) -> Column:
+    """1 for equal texts, else the share of common words among all words of both; 1 without any words, 0 if one has none."""
+    x, y = F.array_distinct(_terms(a)), F.array_distinct(_terms(b))
+    share = F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    return F.when(a.eqNullSafe(b), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(share)
+
+
+def similar_numbers(a: Column, b: Column) -> Column:
+    """1 less the difference over the greater of both and 1; not below 0."""
+    return F.greatest(F.lit(0.0), 1 - F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)))
+
+
 def relevance(title: Column, sample: Column, terms: Column) -> Column:
     """.4 Jaccard of the title, .35 density of the terms in the sample, .25 share of the terms in the title; 1 at most."""
     return F.least(F.lit(1.0), 0.4 * jaccard(title, terms) + 0.35 * density(sample, terms) + 0.25 * overlap(title, terms))

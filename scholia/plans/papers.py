@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.catalog import load
@@ -199,6 +199,53 @@ def neb_paths(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, "text STRING", (_NEB,)).select(S.neb(F.col("text")).alias("n")).select("n.converged", "n.activation_ev", F.size("n.path").cast("long").alias("images"), "n.reaction_ev")
 
 
+@query("section_keys", """SELECT * FROM (VALUES ('2.1 Results and Discussion', 'results_and_discussion'), ('  Methods (XRD)', 'methods_xrd'), ('3', '')) t(heading, key)""")
+def section_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, "heading STRING", ("2.1 Results and Discussion",), ("  Methods (XRD)",), ("3",)).select("heading", T.section_key(F.col("heading")).alias("key"))
+
+
+_HINTS = (("the ", "results"), ("und", "methods"), ("les ", "discussion"))
+
+
+@query("section_hints", f"""SELECT doc_id, coalesce({", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{v}' END" for k, v in _HINTS)}) AS hint FROM documents""")
+def section_hints(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "documents").select("doc_id", T.first_label(F.col("text"), _HINTS).alias("hint"))
+
+
+@query("abstract_labels", f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{v}' END" for k, v in L.CHARACTERIZATION)}], lambda x: x IS NOT NULL))), '|') AS labels FROM documents""")
+def abstract_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """All labels of a text, in any order of the lexicon."""
+    return load(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(T.all_labels(F.col("text"), L.CHARACTERIZATION)), "|").alias("labels"))
+
+
+@query("similar_answers", r"""WITH d AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations),
+w AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '\w+')) AS x, list_distinct(regexp_extract_all(lower(before), '\w+')) AS y FROM d WHERE before IS NOT NULL AND text IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN text = before OR (len(x) = 0 AND len(y) = 0) THEN 1.0 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END AS similarity FROM w""")
+def similar_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """How alike each turn is to the one before it, by common words."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = load(spark, sf, "conversations").withColumn("before", before).where("before IS NOT NULL AND text IS NOT NULL")
+    return rows.select("conv_id", "turn", T.similar_texts(F.col("text"), F.col("before")).alias("similarity"))
+
+
+@query("similar_prices", """SELECT o_orderkey, greatest(0.0, 1 - abs(o_totalprice - 150000) / greatest(abs(o_totalprice), 150000.0, 1.0)) AS similarity FROM orders""")
+def similar_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "orders").select("o_orderkey", T.similar_numbers(F.col("o_totalprice"), F.lit(150000.0)).alias("similarity"))
+
+
+@query("pseudopotential_ranks", """SELECT * FROM (VALUES ('Zn', 'zn.pbe.us', 'zn.pbe.paw|zn.pz.us', false), ('Se', 'se.pbesol.us', '', false), ('O', NULL, NULL, true)) t(symbol, recommended, alternatives, missing)""")
+def pseudopotential_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    files = _table(spark, "element STRING, functional STRING, type STRING, name STRING", ("Zn", "pz", "us", "zn.pz.us"), ("Zn", "pbe", "paw", "zn.pbe.paw"), ("Zn", "pbe", "us", "zn.pbe.us"), ("Se", "pbesol", "us", "se.pbesol.us"))
+    ranked = readers.ranked_pseudopotentials(files, _table(spark, "symbol STRING", ("Zn",), ("Se",), ("O",)))
+    return ranked.select("symbol", "recommended", F.array_join("alternatives", "|").alias("alternatives"), "missing")
+
+
+@query("meshes", """SELECT * FROM (VALUES (CAST(1 AS BIGINT), '8,8,4'), (2, '2,2,2')) t(id, dense)""")
+def meshes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, "id BIGINT, mesh ARRAY<INT>", (1, [4, 4, 2]), (2, [1, 1, 1]))
+    return rows.select("id", F.array_join(S.dense_mesh(F.col("mesh")).cast("array<string>"), ",").alias("dense"))
+
+
 # Files
 
 

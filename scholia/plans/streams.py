@@ -47,7 +47,9 @@ def stream_closed(spark: SparkSession, sf: str) -> DataFrame:
     return S.settled(S.closed(a, b, "user_id", "12 HOURS", "40 days"), [], "append")
 
 
-@query("stream_state_counter")
+@query("stream_state_counter", """WITH e AS (SELECT user_id, event_type, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS answers FROM events),
+g AS (SELECT user_id, answers, count(*) FILTER (event_type = 'view') AS skips FROM e GROUP BY user_id, answers), l AS (SELECT user_id, max(answers) AS answers, sum(skips // 3) AS auto, arg_max(skips % 3, answers) AS skips FROM g GROUP BY user_id)
+SELECT user_id, CAST(skips AS INTEGER) AS skips, CAST(answers AS INTEGER) AS answers, CAST(auto AS INTEGER) AS auto_skips FROM l""")
 def stream_state_counter(spark: SparkSession, sf: str) -> DataFrame:
     return S.settled(S.skip_counters(S.events(spark, sf), "view", "purchase"), ["user_id"])
 

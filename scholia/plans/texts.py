@@ -23,7 +23,13 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", cleaned.alias("c")).select("doc_id", F.md5("c").alias("cleaned"), F.length("c").cast("long").alias("n"))
 
 
-@query("chunk_text")
+@query("chunk_text", r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, text, n, 0 AS start, 1 AS i, CASE WHEN n <= 3500 THEN n END AS stop FROM d
+  UNION ALL SELECT doc_id, text, n, e - 200, i + 1, CASE WHEN e - 200 + 3500 >= n THEN n END FROM (
+    SELECT *, start + CASE WHEN strpos(reverse(substr(text, start + 3201, 300)), ' .') = 0 THEN 3500 ELSE 3500 - strpos(reverse(substr(text, start + 3201, 300)), ' .') END AS e FROM c WHERE stop IS NULL)),
+p AS (SELECT doc_id, i, start, CASE WHEN stop IS NOT NULL THEN substr(text, start + 1) ELSE regexp_replace(substr(text, start + 1, CASE WHEN strpos(reverse(substr(text, start + 3201, 300)), ' .') = 0 THEN 3500 ELSE 3500 - strpos(reverse(substr(text, start + 3201, 300)), ' .') END), '^\s+|\s+$', '', 'g') END AS chunk FROM c),
+k AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS nr FROM p WHERE regexp_matches(chunk, '\S'))
+SELECT doc_id, CAST(nr AS INTEGER) AS chunk, CAST(length(chunk) AS INTEGER) AS n, md5(chunk) AS digest FROM k""")
 def chunk_text(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk", "text")).select("doc_id", "chunk", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
@@ -118,7 +124,9 @@ def inverted_abstracts(spark: SparkSession, sf: str) -> DataFrame:
     return index.select("doc_id", T.from_inverted_index(F.col("index")).alias("abstract"))
 
 
-@query("query_plans")
+@query("query_plans", """WITH m(x, m) AS (VALUES ('ZnSe', 1), ('MoS2', 2)), a(x, a) AS (VALUES ('CVD', 1), ('MBE', 2)), t(x, t) AS (VALUES ('photoluminescence', 1), ('defects', 2)),
+q AS (SELECT 1 AS kind, m, a, t, m.x || ' ' || a.x || ' ' || t.x AS query FROM m, a, t UNION ALL SELECT 2, m, a, 0, m.x || ' ' || a.x FROM m, a UNION ALL SELECT 3, m, 0, t, m.x || ' ' || t.x FROM m, t)
+SELECT row_number() OVER (ORDER BY kind, m, a, t) - 1 AS place, query FROM q QUALIFY place < 12""")
 def query_plans(spark: SparkSession, sf: str) -> DataFrame:
     made = T.queries(["ZnSe", "MoS2"], ["CVD", "MBE"], ["photoluminescence", "defects"])
     return spark.createDataFrame(list(enumerate(made)), "place BIGINT, query STRING")

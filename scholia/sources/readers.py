@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -56,6 +58,44 @@ def emsa(spark: SparkSession, path: str) -> DataFrame:
     return single.unionByName(pairs.select("file", "x", "y"))
 
 
+# Extension -> bytes ahead of the numbers, the range that good numbers are in (ends exclusive, or not), and the ends of the axis.
+BINARY = {
+    ".raw": (712, 0.0, 1e9, 10.0, 80.0),
+    ".wdf": (512, 0.0, 1e8, 100.0, 3500.0),
+    ".sp": (4096, -10.0, 10.0, 800.0, 200.0),
+}
+
+
+def binary_spectrum(extension: str, content: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+    """Axis and intensity of a file of little-endian 32-bit numbers; None if it holds none. SPC files tell their points, axis and exponent."""
+    if extension == ".spc":
+        if len(content) < 512:
+            return None
+        points, (first, last) = int.from_bytes(content[4:8], "little"), np.frombuffer(content[8:24], "<f8")
+        y = np.frombuffer(content[512 : 512 + 4 * points], "<f4", len(content[512 : 512 + 4 * points]) // 4).astype(float)
+        y = y if content[3] == 128 else y * 2.0 ** (content[3] - 128)
+        return (np.linspace(first, last, points), y) if len(y) == points else None
+    skip, low, high, first, last = BINARY[extension]
+    body = content[skip:]
+    y = np.frombuffer(body, "<f4", len(body) // 4).astype(float)
+    y = y[np.isfinite(y) & ((y >= low) if low == 0 else (y > low)) & (y < high)]
+    return (np.linspace(first, last, len(y)), y) if len(y) else None
+
+
+def binary_spectra(spark: SparkSession, path: str) -> DataFrame:
+    """file, axis, intensity of the binary spectra below a folder, one row per file that isn't empty; files without numbers have nulls."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{raw,RAW,wdf,WDF,sp,SP,spc,SPC}").load(path)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).to_pylist()
+            found = [binary_spectrum("." + n.rpartition(".")[2].lower(), c) for n, c in zip(names, b.column(1).to_pylist())]
+            axis, intensity = (pa.array([f and f[i] for f in found], pa.list_(pa.float64())) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), axis, intensity], ["file", "axis", "intensity"])
+
+    return files.select("path", "content").mapInArrow(decode, "file string, axis array<double>, intensity array<double>")
+
+
 JOB = "job_id STRING, label STRING, code STRING, status STRING, created_at TIMESTAMP, started_at TIMESTAMP, ended_at TIMESTAMP, exit_code INT, error STRING, mpi_np INT, extra_args ARRAY<STRING>, workdir STRING"
 
 

@@ -7,6 +7,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -371,3 +372,14 @@ def test_fuzzy_titles_across_all_rows(spark):
     got = J.fuzzy_keep_first(rows, None, "i", "t")
     assert got.columns == rows.columns and sorted(r["i"] for r in got.collect()) == [i for i, _ in kept]
     assert J.fuzzy_keep_first(rows.limit(0), None, "i", "t").count() == 0
+
+
+def test_binary_spectra(spark, tmp_path):
+    numbers = np.array([1.0, 2.5, np.nan, -3.0, 2e9], "<f4").tobytes()
+    spc = bytes([0, 0, 0, 130]) + (2).to_bytes(4, "little") + np.array([5.0, 6.0], "<f8").tobytes()
+    spc = spc + b"\0" * (512 - len(spc)) + np.array([1.0, 2.0], "<f4").tobytes()
+    files = {"a.raw": b"\0" * 712 + numbers + b"x", "b.WDF": b"\0" * 512 + numbers, "c.sp": b"\0" * 4096 + numbers, "d.spc": spc, "e.spc": b"short", "f.wdf": b"", "g.txt": b"1"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["file"].rpartition("/")[2]: (r["axis"], r["intensity"]) for r in readers.binary_spectra(spark, str(tmp_path)).collect()}
+    assert got == {"a.raw": ([10.0, 80.0], [1.0, 2.5]), "b.WDF": ([100.0, 3500.0], [1.0, 2.5]), "c.sp": ([800.0, 500.0, 200.0], [1.0, 2.5, -3.0]), "d.spc": ([5.0, 6.0], [4.0, 8.0]), "e.spc": (None, None)}
