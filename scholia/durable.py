@@ -16,10 +16,12 @@ SMALL_ROWS = 100_000
 
 def folder(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir; a temporary one in local mode, where nothing else is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named or spark.sparkContext.getCheckpointDir():
-        return spark.sparkContext.getCheckpointDir() or named
-    if not spark.sparkContext.master.startswith("local["):
+    if at := spark.sparkContext.getCheckpointDir():
+        return at
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(named)
+        return spark.sparkContext.getCheckpointDir()
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.TemporaryDirectory(prefix="scholia-checkpoint-", ignore_cleanup_errors=True)
     atexit.register(own.cleanup)

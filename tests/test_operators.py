@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 import re
 from difflib import SequenceMatcher
@@ -383,3 +384,14 @@ def test_binary_spectra(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     got = {r["file"].rpartition("/")[2]: (r["axis"], r["intensity"]) for r in readers.binary_spectra(spark, str(tmp_path)).collect()}
     assert got == {"a.raw": ([10.0, 80.0], [1.0, 2.5]), "b.WDF": ([100.0, 3500.0], [1.0, 2.5]), "c.sp": ([800.0, 500.0, 200.0], [1.0, 2.5, -3.0]), "d.spc": ([5.0, 6.0], [4.0, 8.0]), "e.spc": (None, None)}
+
+
+def test_what_is_stored_is_deleted_when_asked(spark):
+    from scholia import durable
+
+    rows = durable.stored(spark.range(5))
+    path = rows.inputFiles()[0].rpartition("/")[0]
+    assert rows.count() == 5 and os.path.dirname(path).rpartition("/")[2] == durable.folder(spark).rpartition("/")[2] and durable.cut(rows).count() == 5
+    durable.discard(spark, path)
+    assert not os.path.exists("/" + path.removeprefix("file:").lstrip("/"))
+    assert durable.is_small(spark.range(3), 3) and not durable.is_small(spark.range(4), 3) and durable.is_small(spark.range(0), 0)
