@@ -67,7 +67,7 @@ def test_stages_in_order(spark):
     assert out.columns == [*columns, *sharding.SHARD_COLUMNS] and Counter(rows) == Counter(map(tuple, kept.collect()))
 
 
-@pytest.mark.parametrize("limit", [sharding.LIMIT, 20_000])
+@pytest.mark.parametrize("limit", [sharding.LIMIT, 5000])
 def test_last_stage_splits_like_one_bucket_at_a_time(spark, monkeypatch, limit):
     monkeypatch.setattr(sharding.assign, "__defaults__", (limit,))
     docs = table(spark, SF, "documents")
@@ -76,7 +76,7 @@ def test_last_stage_splits_like_one_bucket_at_a_time(spark, monkeypatch, limit):
     sizes = {r["doc_id"]: len((r["text"] or "").encode()) for r in docs.collect()}
     want = shard_of(hashes, sizes, limit)
     assert {r["doc_id"]: r["shard"] for r in got} == want and len(got) == len(want)
-    assert limit > 20_000 or len(set(want.values())) > 20 and any(not r["fits"] for r in got)
+    assert limit > 5000 or len(set(want.values())) > 20 and any(not r["fits"] for r in got)
 
 
 def _queries():
