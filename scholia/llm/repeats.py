@@ -5,14 +5,16 @@ window has an anchor, the least hash of its SEED_BYTES-byte strings; the anchor
 windows have equal anchors. Windows with the same anchor in a row form a segment, of under 2 * LENGTH bytes. From there on:
 
 * anchors that occur once can hold no repeat and are dropped; they are counted by a map-side combined aggregate;
-* segments that are equal as a whole (128-bit digest) are repeats as a whole, and are joined back, never gathered;
-* distinct segments that share an anchor are dealt by it to buckets of about BUCKET_BYTES. Each bucket's text gets a run-compressed
-  Burrows-Wheeler transform with the suffix positions sampled at run ends. Matching statistics are streamed from those samples:
-  the longest match of a position is that of the sample before it, less the distance to it, so only one common prefix per run is
-  ever compared, and a sample of l >= LENGTH marks l - LENGTH + 1 window starts, there and at its neighbour in suffix order;
+* segments that are equal as a whole (128-bit digest) are one text of the index, told to have copies: their suffixes would stand side
+  by side with equal symbols before them, in one run. What is found in it is joined back to all of them, never gathered;
+* the distinct segments are dealt by anchor to buckets of about BUCKET_BYTES. Each bucket's text gets a run-compressed
+  Burrows-Wheeler transform with the suffix positions sampled at run ends, and the matching statistics of the text against the
+  rest of itself are streamed from those samples: the longest match of a position is that of the sample before it, less the
+  distance to it, so only one common prefix per run is ever compared. Windows that start at a match of LENGTH or more are repeats;
 * an anchor with over CROWD distinct segments (a passage with thousands of surroundings) would make one bucket too large. Its segments
   are cut into stretches of WIDTHS[0] windows, aligned by the anchor: equal stretches are repeats, and a stretch goes on to be cut finer
-  only if others share its core, the bytes that all its windows have. The last width is one window, so the results are the same.
+  only if others share its core, the bytes that all its windows have. The last width is one window, so the results are the same. This
+  route compares digests and has no index: it is the exact way for anchors that no task could hold.
 
 Texts are UTF-8 bytes; null counts as empty. Matches never cross documents. Rows repeated in id and text are documents of their own,
 and so repeat each other. Only doc_id and text of the input are read.
@@ -30,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from scholia.llm.common import stored, table
+from scholia.llm.common import anew, stored, table
 
-LENGTH, SEED_BYTES = 400, 32
-BUCKET_BYTES, CROWD, WIDTHS = 2 << 20, 1024, (64, 8, 1)
-#: Texts of a batch are hashed together, up to so many bytes.
+LENGTH, SEED_BYTES = 400, 64
+BUCKET_BYTES, CROWD, WIDTHS = 1 << 20, 1024, (64, 8, 1)
+#: Texts of a batch are hashed together, up to so many bytes; longer ones are taken in pieces.
 CHUNK = 4 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -72,32 +74,34 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text of LENGTH bytes or more: its number, and its segments' first window, windows, anchor, and the anchor's distance."""
-    group: list[int] = []
+    """For each text of LENGTH bytes or more: its number, and its segments' first window, windows, anchor, and the anchor's distance.
+
+    A text of over CHUNK bytes comes in pieces, the windows of which follow upon each other.
+    """
+    group: list[tuple[int, int, int]] = []
     size = 0
     for i, t in enumerate(texts):
-        if len(t) >= LENGTH:
-            if group and size + len(t) > CHUNK:
+        for start in range(0, len(t) - LENGTH + 1, CHUNK):
+            end = min(start + CHUNK + LENGTH - 1, len(t))
+            if group and size + end - start > CHUNK:
                 yield from _segments(texts, group)
                 group, size = [], 0
-            group.append(i)
-            size += len(t)
+            group.append((i, start, end))
+            size += end - start
     if group:
         yield from _segments(texts, group)
 
 
-def _segments(texts: list[bytes], group: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    data = np.frombuffer(b"".join(texts[i] for i in group), np.uint8)
-    if len(data) > int(_PLACE):
-        raise ValueError("a text may have up to 2**28 bytes")
+def _segments(texts: list[bytes], group: list[tuple[int, int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    data = np.frombuffer(b"".join([texts[i][a:b] for i, a, b in group]), np.uint8)
     hashes = seed_hashes(data)
     places = (_least((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64), LENGTH - SEED_BYTES + 1) & _PLACE).astype(np.int64)
     start = 0
-    for i in group:
-        own = places[start : start + len(texts[i]) - LENGTH + 1]
+    for i, a, b in group:
+        own = places[start : start + b - a - LENGTH + 1]
         first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
-        yield i, first, np.diff(np.append(first, len(own))), hashes[own[first]], own[first] - start - first
-        start += len(texts[i])
+        yield i, first + a, np.diff(np.append(first, len(own))), hashes[own[first]], own[first] - start - first
+        start += b - a
 
 
 def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,51 +129,73 @@ def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
 
 
+def _order(high: np.ndarray, low: np.ndarray | None, bits: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts rows by high, then low (numbers of `bits` bits): their order, and where it comes to other numbers than before.
+
+    Where number and row fit 64 bits together they are sorted as one number, which is several times faster than an order alone.
+    """
+    key = high if low is None else high << np.uint64(width) | low
+    n = len(key)
+    place = max(n - 1, 1).bit_length()
+    if bits + place <= 64:
+        both = np.sort(key << np.uint64(place) | np.arange(n, dtype=np.uint64))
+        order, key = (both & np.uint64((1 << place) - 1)).astype(np.int64), both >> np.uint64(place)
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    return order, np.concatenate([np.ones(min(n, 1), bool), key[1:] != key[:-1]])
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Sorts all suffixes by doubling; only suffixes that still tie are sorted again."""
-    n = len(data)
-    wide = np.concatenate([data.astype(np.uint64), np.zeros(8, np.uint64)])
+    """Sorts all suffixes of numbers below 256 by doubling; only suffixes that still tie are sorted again."""
+    n, h = len(data), 5
+    wide = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(h, np.uint64)])  # an end sorts first
     key = np.zeros(n, np.uint64)
-    for i in range(7):  # 7 bytes, each one up so that an end sorts first, fit 9 bits each
-        key = (key << np.uint64(9)) | np.where(np.arange(i, n + i) < n, wide[i : n + i] + np.uint64(1), np.uint64(0))
-    order = np.argsort(key, kind="stable")
-    fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if n else np.zeros(0, bool)
-    start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) if n else order
-    rank = np.empty(n, np.int64)
-    rank[order] = start
-    h = 7
+    for i in range(h):
+        key = key * np.uint64(257) + wide[i : n + i]
+    order, apart = _order(key, None, 41, 0)
+    rank = np.zeros(n + 1, np.uint32)  # from 1; 0 for what is past the end
+    todo, at, width = np.arange(n), order, max(n, 1).bit_length()
     while True:
-        single = fresh & np.append(fresh[1:], True)
-        todo = np.flatnonzero(~single)
+        rank[at] = np.maximum.accumulate(np.where(apart, todo, 0)) + 1
+        again = ~(apart & np.append(apart[1:], True))
+        todo, at = todo[again], at[again]
         if not len(todo):
             return order
-        at = order[todo]
-        next_rank = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        both = (rank[at] << 32) | next_rank
-        by = np.argsort(both, kind="stable")
-        order[todo], both = at[by], both[by]
-        fresh[todo] = np.concatenate([[True], both[1:] != both[:-1]])
-        start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        rank[order[todo]] = start[todo]
+        by, apart = _order(rank[at].astype(np.uint64), rank[np.minimum(at + h, n)].astype(np.uint64), 2 * width, width)
+        at = at[by]
+        order[todo] = at
         h *= 2
 
 
 class RunIndex:
-    """The runs of a text's Burrows-Wheeler transform, with suffix positions at their ends.
+    """The runs of a text's Burrows-Wheeler transform, with suffix positions at their ends: three numbers a run, however long the text.
 
     first[i] is the suffix at the start of run i and last[i] the one before it in suffix order, the end of run i - 1; longest[i] is
-    their common prefix. The longest match of any other position with its predecessor follows from these by one less per step.
+    their common prefix, or 0 if that is shorter than LENGTH.
     """
 
     def __init__(self, data: np.ndarray) -> None:
         order = suffix_array(data)
         before = np.where(order > 0, data[order - 1].astype(np.int16), -1)
         heads = np.flatnonzero(before[1:] != before[:-1]) + 1
-        self.runs = len(heads) + bool(len(data))
-        self.symbols = before[np.concatenate([[0], heads])] if len(data) else before
+        self.size = len(data)
         self.first, self.last = order[heads], order[heads - 1]
         self.longest = common_prefixes(data, self.first, self.last)
 
+    def statistics(self) -> np.ndarray:
+        """For each position of the text the longest match that also starts elsewhere, streamed from the samples in the order of the text.
+
+        A position between samples matches its neighbour in suffix order by one less than the position before it: both go on with
+        the same run. So its match ends where that of the sample before it does, towards the suffix before as well as the one behind.
+        """
+        out = np.zeros(self.size, np.int64)
+        for sample in (self.first, self.last):
+            end = np.zeros(self.size, np.int64)
+            end[sample] = sample + self.longest
+            np.maximum(out, np.maximum.accumulate(end) - np.arange(self.size), out=out)
+        return out
+
 
 def common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray, least: int = LENGTH) -> np.ndarray:
     """Lengths of the common prefixes of suffixes; 0 stands for what is shorter than `least`. Only what still agrees is compared on."""
@@ -190,19 +216,16 @@ def common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray, least: int =
     return out
 
 
-def marked(parts: list[bytes], least: int = LENGTH) -> list[np.ndarray]:
-    """For each part whether a string of `least` bytes that starts there also starts elsewhere in the parts."""
+def marked(parts: list[bytes], least: int = LENGTH, copied: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each part whether a string of `least` bytes that starts there also starts elsewhere in the parts, of which some stand for several."""
     data = np.full(sum(map(len, parts)) + len(parts), 0, np.uint16)
     at = np.cumsum([0, *(len(p) + 1 for p in parts)])
     for p, i in zip(parts, at):
         data[i : i + len(p)] = np.frombuffer(p, np.uint8).astype(np.uint16) + 1  # 0 parts the parts
-    index = RunIndex(data)
-    long = index.longest >= least
-    delta = np.zeros(len(data) + 1, np.int64)
-    for start in (index.first[long], index.last[long]):
-        np.add.at(delta, start, 1)
-        np.add.at(delta, start + index.longest[long] - least + 1, -1)
-    found = delta.cumsum()[:-1] > 0
+    match = RunIndex(data).statistics()
+    for n in np.flatnonzero(copied) if copied is not None else ():
+        match[at[n] : at[n + 1] - 1] = np.maximum(match[at[n] : at[n + 1] - 1], np.arange(len(parts[n]), 0, -1))  # to the end of the part, in its copy
+    found = match >= least
     return [found[i : i + max(0, len(p) - least + 1)] for p, i in zip(parts, at)]  # windows that cross a part's end don't count
 
 
@@ -216,18 +239,16 @@ _PLACES = ["doc_id", "key", "lo", "n", "off"]
 
 
 def _search(group: pa.Table) -> pa.Table:
-    texts = group.column("text").to_pylist()
-    found = marked(texts)
-    ids, lo, single = group.column("doc_id"), group.column("lo").to_numpy(), group.column("single").to_numpy(zero_copy_only=False)
+    """The repeated stretches of a bucket's segments."""
+    found = marked(group.column("text").to_pylist(), copied=group.column("twin").to_numpy(zero_copy_only=False).astype(bool))
     rows, starts, sizes = [], [], []
     for i, flags in enumerate(found):
-        if single[i]:
-            for a, b in zip(*_runs(flags)):
-                rows.append(i)
-                starts.append(lo[i] + a)
-                sizes.append(b - a)
-    rows = pa.array(rows, pa.int64())
-    return pa.table({"doc_id": ids.take(rows), "key": group.column("key").take(rows), "lo": pa.array(starts, pa.int32()), "n": pa.array(sizes, pa.int32())})
+        for a, b in zip(*_runs(flags)):
+            rows.append(i)
+            starts.append(a)
+            sizes.append(b - a)
+    taken = group.select(["doc_id", "key", "lo", "twin", "anchor", "s1", "s2"]).take(pa.array(rows, pa.int64()))
+    return taken.append_column("at", pa.array(starts, pa.int32())).append_column("n", pa.array(sizes, pa.int32()))
 
 
 def _stretches(width: int):
@@ -263,21 +284,23 @@ def _crowded(rows: DataFrame, kind: str) -> DataFrame:
         twins = same.where("times > 1").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
         whole = cut.where("single").join(twins, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))).select("doc_id", "key", "lo", "n")
         found = whole if found is None else found.unionByName(whole)
-        cores = same.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"))
+        cores = same.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).where("kinds > 1").select(anew("c1").alias("_c1"), F.col("c2").alias("_c2"))
         rows = same.join(cores, (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2"))).withColumn("single", F.col("single") & (F.col("times") == 1))
     return found
 
 
+_ASKED = {"lo": pa.int32(), "off": pa.int32(), "twin": pa.bool_(), "anchor": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "crowded": pa.bool_()}
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments asked for."""
-    names = ["doc_id", "key", "lo", "off", "single", "anchor", "crowded", "text"]
     for batch in batches:
         ids, keys = batch.column(0), batch.column(1)
         for i, (text, asked) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())):
             n = pa.array(np.full(len(asked), i))
-            pick = lambda c, kind: pa.array([x[c] for x in asked], kind)  # noqa: E731, B023
             parts = pa.array([text[x["lo"] : x["lo"] + x["n"] + LENGTH - 1] for x in asked], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.take(n), keys.take(n), pick("lo", pa.int32()), pick("off", pa.int32()), pick("single", pa.bool_()), pick("anchor", pa.int64()), pick("crowded", pa.bool_()), parts], names)
+            columns = [pa.array([x[c] for x in asked], kind) for c, kind in _ASKED.items()]
+            yield pa.RecordBatch.from_arrays([ids.take(n), keys.take(n), *columns, parts], ["doc_id", "key", *_ASKED, "text"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -285,28 +308,28 @@ def repeats(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").where(F.octet_length("text") >= LENGTH)
     every = stored(texts.mapInArrow(_cut_up, f"doc_id {kind}, key long, lo int, n int, off int, anchor long, s1 long, s2 long"))
-    # anchors seen at least twice; mixed: with different segments
-    again = every.groupBy("anchor").agg(F.count("*").alias("c"), F.min("s1").alias("low"), F.max("s1").alias("high")).where("c > 1")
-    again = again.select(F.col("anchor").alias("_anchor"), (F.col("low") != F.col("high")).alias("mixed"))
+    # in the joins below both sides have exchanges of their own (anew, stored), so that Spark can split a frequent anchor
+    again = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(anew("anchor").alias("_anchor"))
     shared = stored(every.join(again, F.col("anchor") == F.col("_anchor")).drop("_anchor"))
-    counted = shared.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in (*_PLACES, "mixed")))
-    counted = stored(counted)
-    twins = counted.where("c > 1").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("anchor").alias("_anchor"))
-    whole = shared.join(twins, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("anchor") == F.col("_anchor"))).select("doc_id", "key", "lo", "n")
-    # anchors with a segment that has no twin: their distinct segments' bytes
-    open_ = counted.where("mixed").withColumn("single", F.col("c") == 1)
-    of = open_.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("single").alias("any")).where("any").select(F.col("anchor").alias("_anchor"), (F.col("kinds") > CROWD).alias("crowded"))
-    asked = open_.join(of, F.col("anchor") == F.col("_anchor")).select(*_PLACES, "anchor", "single", "crowded")
-    total = asked.count()
-    by_doc = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "n", "off", "single", "anchor", "crowded")).alias("asked")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    counted = stored(shared.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in _PLACES)))
+    of = counted.groupBy("anchor").agg(F.count("*").alias("kinds")).select(anew("anchor").alias("_anchor"), (F.col("kinds") > CROWD).alias("crowded"))
+    asked = counted.join(of, F.col("anchor") == F.col("_anchor")).select(*_PLACES, "anchor", "s1", "s2", (F.col("c") > 1).alias("twin"), "crowded")
+    total = counted.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
+    by_doc = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("n", *_ASKED)).alias("asked")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     read = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "asked")
-    parts = stored(read.mapInArrow(_fetch, f"doc_id {kind}, key long, lo int, off int, single boolean, anchor long, crowded boolean, text binary"))
-    buckets = max(1, math.ceil(total * 1.5 * LENGTH / BUCKET_BYTES))
-    dealt = parts.where("NOT crowded").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    found = dealt.groupBy("bucket").applyInArrow(_search, f"doc_id {kind}, key long, lo int, n int")
+    parts = stored(read.mapInArrow(_fetch, f"doc_id {kind}, key long, lo int, off int, twin boolean, anchor long, s1 long, s2 long, crowded boolean, text binary"))
+    dealt = parts.where("NOT crowded").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(max(1, math.ceil(total / BUCKET_BYTES)))))
+    found = stored(dealt.groupBy("bucket").applyInArrow(_search, f"doc_id {kind}, key long, lo int, twin boolean, anchor long, s1 long, s2 long, at int, n int"))
+    single = found.where("NOT twin").select("doc_id", "key", (F.col("lo") + F.col("at")).alias("lo"), "n")
     crowd = parts.where("crowded")
-    found = whole.unionByName(found)
-    return found if crowd.isEmpty() else found.unionByName(_crowded(crowd, kind))
+    crowds = not crowd.isEmpty()
+    whole = found.where("twin").select(*(F.col(c).alias(f"_{c}") for c in ("anchor", "s1", "s2", "at", "n")))
+    if crowds:
+        whole = whole.unionByName(crowd.where("twin").select(*(F.col(c).alias(f"_{c}") for c in ("anchor", "s1", "s2")), F.lit(0).alias("_at"), (F.length("text") - LENGTH + 1).alias("_n")))
+    same = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("anchor") == F.col("_anchor"))
+    copies = shared.join(whole, same).select("doc_id", "key", (F.col("lo") + F.col("_at")).alias("lo"), F.col("_n").alias("n"))
+    out = single.unionByName(copies)
+    return out.unionByName(_crowded(crowd.withColumn("single", ~F.col("twin")), kind)) if crowds else out
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scholia.llm import chat_format, decontaminate, quality_model, quality_rules, repeats, simhash
+from scholia.llm.common import table
 from tests.llm.conftest import DOCS, words
 
 
@@ -65,6 +66,26 @@ def test_trees_learn_and_bear_empty_tables(spark, docs, none):
     assert none.select(quality_model.scorer(model)(F.col("text"))).count() == 0
 
 
+def test_accuracy_on_labels_held_out(spark):
+    """Learned from four fifths of the labels of a thousand documents, judged on the last fifth, which training never reads."""
+    sf = "/root/testdata/sf0.01"
+    texts, labels = table(spark, sf, "documents"), table(spark, sf, "labels").where("quality IS NOT NULL")
+    score = quality_model.scorer(quality_model.train(texts, labels))
+    held = texts.where(quality_model.held_out(F.col("doc_id"))).join(labels, "doc_id").select("quality", score(F.col("text")).alias("s")).collect()
+    right = [(r["s"] >= quality_model.THRESHOLD) == (r["quality"] == 1) for r in held]
+    good, bad = ([r["s"] for r in held if r["quality"] == q] for q in (1, 0))
+    ranked = sum(g > b for g in good for b in bad) / (len(good) * len(bad))
+    assert len(held) > 50 and sum(right) / len(held) >= 0.9 and ranked >= 0.9, (len(held), sum(right) / len(held), ranked)
+
+
+def test_a_document_labelled_both_ways_is_no_example(spark):
+    texts = spark.createDataFrame([(i, words(i, 60 if i % 2 else 5)) for i in range(200)], "doc_id BIGINT, text STRING")
+    plain = [(i, i % 2) for i in range(200) if i != 9]
+    one = quality_model.train(texts, spark.createDataFrame(plain, "doc_id BIGINT, quality INT"))
+    tied = quality_model.train(texts, spark.createDataFrame([*plain, (9, 0), (9, 1), (9, 1), (9, 0)], "doc_id BIGINT, quality INT"))
+    assert np.array_equal(one.leaf, tied.leaf) and np.array_equal(one.cut, tied.cut)
+
+
 def test_training_never_sees_held_out_rows(spark):
     import zlib
 
@@ -279,6 +300,20 @@ def test_repeats(spark, docs, rows, none, monkeypatch, crowd):
     assert not removed(none)
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    texts = [words(1, 900).encode(), b"", words(2, 300).encode() + words(1, 900).encode()[500:2500], b"x" * 399, b"y" * 400, b"ab" * 2000]
+    for size in (repeats.CHUNK, 1000, 401):
+        monkeypatch.setattr(repeats, "CHUNK", size)
+        anchors, covered = {}, Counter()
+        for i, first, n, anchor, off in repeats.segments(texts):
+            for f, c, a, o in zip(first.tolist(), n.tolist(), anchor.tolist(), off.tolist()):
+                for w in range(f, f + c):
+                    assert w <= f + o <= w + repeats.LENGTH - repeats.SEED_BYTES  # the anchor stands in each window
+                    assert anchors.setdefault(texts[i][w : w + repeats.LENGTH], a) == a
+                    covered[i, w] += 1
+        assert covered == Counter((i, w) for i, t in enumerate(texts) for w in range(len(t) - repeats.LENGTH + 1))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=0, max_size=60).map(str.encode), max_size=6), st.integers(2, 12))
 def test_run_index_marks_like_brute_force(parts, least):
