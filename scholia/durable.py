@@ -46,12 +46,20 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet into the shared folder and read again. They stay until the session's driver ends, which deletes them."""
+    """The rows, written as Parquet into the shared folder and read again. They stay until free(), or until the session's driver ends."""
     spark = df.sparkSession
     path = new_folder(spark, "stored")
     df.write.parquet(path)
     _forget_later(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._stored_at = path
+    return kept
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote of these tables, after their last reader has ended."""
+    for t in tables:
+        discard(t.sparkSession, t._stored_at)
 
 
 def _forget_later(spark: SparkSession, path: str) -> None:
