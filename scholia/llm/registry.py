@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import chat_format, decontaminate, licenses, quality_model, quality_rules, repeats, secrets, sharding, simhash, source_mix
+from scholia.llm import chat_format, clustering, decontaminate, licenses, quality_model, quality_rules, repeats, secrets, sharding, simhash, source_mix
 
-MODULES = (licenses, quality_rules, repeats, quality_model, sharding, secrets, chat_format, simhash, source_mix, decontaminate)
+MODULES = (licenses, quality_rules, repeats, quality_model, sharding, secrets, chat_format, simhash, source_mix, decontaminate, clustering)
 
 
 def queries() -> dict:
