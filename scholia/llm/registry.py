@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import chat_format, clustering, decontaminate, licenses, quality_model, quality_rules, repeats, secrets, sharding, simhash, source_mix, vector_codes
+from scholia.llm import chat_format, clustering, decontaminate, licenses, packing, quality_model, quality_rules, repeats, secrets, sharding, simhash, source_mix, vector_codes
 
-MODULES = (licenses, quality_rules, repeats, quality_model, sharding, secrets, chat_format, simhash, source_mix, decontaminate, clustering, vector_codes)
+MODULES = (licenses, quality_rules, repeats, quality_model, sharding, secrets, chat_format, simhash, source_mix, decontaminate, clustering, vector_codes, packing)
 
 
 def queries() -> dict:
