@@ -207,7 +207,7 @@ def seeds(kept: DataFrame, k: int, seed: int) -> np.ndarray:
     """The k vectors whose ids have the least hashes, in their order; equal ids by their components."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     first = kept.orderBy(key, "embedding").limit(k).collect()
-    return scaled(np.array([r["embedding"] for r in first], np.float64).reshape(len(first), -1))
+    return scaled(np.array([r["embedding"] for r in first], np.float64))
 
 
 def cluster(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, seed: int = SEED, dimensions: int = DIMENSIONS) -> tuple[DataFrame, np.ndarray, list[int]]:

@@ -4,7 +4,9 @@ A document's tokens are its text's, as a public tokenizer gives them, and an end
 into whole sequences and a rest. What is then packed are lengths, of which there are at most CAPACITY different ones: the plan is made
 from a table of how many pieces have each length, which is as small for any corpus. For one sequence after the other, a dynamic
 program over sets of reachable sums, held as the bits of one integer, finds the fullest combination of lengths that are left; it is
-taken as often as the counts allow, and removed. Among equally full combinations one with the longest piece that is left is taken.
+taken as often as the counts allow, and removed. Among equally full combinations one with the longest piece that is left is taken. Where
+no length fills the gaps, this leaves the long pieces for the end; so a second plan takes the fullest combination with the longest piece
+that is left, and the one of fewer sequences counts.
 
 Spark then deals pieces to the plan: a piece's number among those of its length is its place in its input partition, counted while
 tokens are made, and a sum over the partitions before; the plan's slots are searched for that number. No length's pieces are ever gathered.
@@ -246,6 +248,11 @@ class Plan:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The better of two rules: always the fullest combination, or always the fullest with the longest piece that is left."""
+    return min((_plan(counts, capacity, rule) for rule in (False, True)), key=lambda p: p.sequences)
+
+
+def _plan(counts: dict[int, int], capacity: int, seeded: bool) -> Plan:
     """Minimum bin slack over counted lengths: at most some thousands of combinations, each taken as often as it can be."""
     left = {n: c for n, c in counts.items() if c > 0}
     used = dict.fromkeys(left, 0)
@@ -253,7 +260,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     while left:
         longest = max(left)
         found = fullest(left, capacity, longest)
-        if sum(found) < capacity:
+        if sum(found) < capacity and not seeded:
             other = fullest(left, capacity)
             found = other if sum(other) > sum(found) else found
         lengths, each = np.unique(found, return_counts=True)
