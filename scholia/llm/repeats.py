@@ -17,7 +17,7 @@ windows have equal anchors. Windows with the same anchor in a row form a segment
   route compares digests and has no index: it is the exact way for anchors that no task could hold.
 
 Texts are UTF-8 bytes; null counts as empty. Matches never cross documents. Rows repeated in id and text are documents of their own,
-and so repeat each other. Only doc_id and text of the input are read.
+and so repeat each other; their segments are counted in every row, but fetched from one. Only doc_id and text of the input are read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from scholia.llm.common import anew, stored, table
+from scholia.durable import broadcast_if_small
+from scholia.llm.common import anew, free, stored, table
 
 LENGTH, SEED_BYTES = 400, 64
 BUCKET_BYTES, CROWD, WIDTHS = 1 << 20, 1024, (64, 8, 1)
@@ -303,6 +304,16 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.take(n), keys.take(n), *columns, parts], ["doc_id", "key", *_ASKED, "text"])
 
 
+def _once_each(texts: DataFrame) -> DataFrame:
+    """The texts (doc_id, key, text) with one row of those that are repeated in id and text; only such rows are shuffled."""
+    again = stored(texts.groupBy("doc_id", "key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    if again.isEmpty():
+        return texts
+    again = broadcast_if_small(again)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    return texts.join(again, same, "left_anti").unionByName(texts.join(again, same, "left_semi").dropDuplicates(["doc_id", "key"]))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), lo, n: stretches of windows (first window start, number) that also occur elsewhere."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -311,13 +322,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     # in the joins below both sides have exchanges of their own (anew, stored), so that Spark can split a frequent anchor
     again = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(anew("anchor").alias("_anchor"))
     shared = stored(every.join(again, F.col("anchor") == F.col("_anchor")).drop("_anchor"))
+    free(every)
     counted = stored(shared.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in _PLACES)))
     of = counted.groupBy("anchor").agg(F.count("*").alias("kinds")).select(anew("anchor").alias("_anchor"), (F.col("kinds") > CROWD).alias("crowded"))
     asked = counted.join(of, F.col("anchor") == F.col("_anchor")).select(*_PLACES, "anchor", "s1", "s2", (F.col("c") > 1).alias("twin"), "crowded")
     total = counted.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     by_doc = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("n", *_ASKED)).alias("asked")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    read = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "asked")
+    read = _once_each(texts).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "asked")
     parts = stored(read.mapInArrow(_fetch, f"doc_id {kind}, key long, lo int, off int, twin boolean, anchor long, s1 long, s2 long, crowded boolean, text binary"))
+    free(counted)
     dealt = parts.where("NOT crowded").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(max(1, math.ceil(total / BUCKET_BYTES)))))
     found = stored(dealt.groupBy("bucket").applyInArrow(_search, f"doc_id {kind}, key long, lo int, twin boolean, anchor long, s1 long, s2 long, at int, n int"))
     single = found.where("NOT twin").select("doc_id", "key", (F.col("lo") + F.col("at")).alias("lo"), "n")
@@ -329,6 +342,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     same = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("anchor") == F.col("_anchor"))
     copies = shared.join(whole, same).select("doc_id", "key", (F.col("lo") + F.col("_at")).alias("lo"), F.col("_n").alias("n"))
     out = single.unionByName(copies)
+    if not crowds:
+        free(parts)
     return out.unionByName(_crowded(crowd.withColumn("single", ~F.col("twin")), kind)) if crowds else out
 
 

@@ -300,6 +300,19 @@ def test_repeats(spark, docs, rows, none, monkeypatch, crowd):
     assert not removed(none)
 
 
+@pytest.mark.parametrize("crowd", [repeats.CROWD, 0])
+def test_repeated_rows_cost_rows_and_not_their_square(spark, monkeypatch, crowd):
+    """Rows repeated in id and text, and texts without ids: what the operator makes grows with the rows."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    text, counts = words(7, 500), []
+    for m in (4, 40):
+        rows = [(1, text)] * m + [(None, text)] * m + [(2, text), (3, words(8, 300))]
+        docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+        counts.append(repeats.repeats(docs).count())
+        assert removed(docs) == Counter((r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows])))
+    assert counts[1] <= counts[0] * (2 * 40 + 1) / (2 * 4 + 1)
+
+
 def test_long_texts_in_pieces(monkeypatch):
     texts = [words(1, 900).encode(), b"", words(2, 300).encode() + words(1, 900).encode()[500:2500], b"x" * 399, b"y" * 400, b"ab" * 2000]
     for size in (repeats.CHUNK, 1000, 401):
