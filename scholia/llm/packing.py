@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,13 +36,9 @@ from pyspark.sql import functions as F
 from scholia.llm.common import stored, table
 
 CAPACITY, END = 4096, 1
-#: Bytes of an output batch, characters of a text that are taken at a time, bytes of words that a task remembers.
-BATCH_BYTES, STRETCH, MEMORY = 8 << 20, 1 << 20, 160 << 20
+#: Bytes of an output batch, bytes of text that are taken at a time, bytes of words that a task remembers, and a word's beside its letters.
+BATCH_BYTES, STRETCH, MEMORY, ENTRY = 8 << 20, 16 << 20, 320 << 20, 200
 _BLANK = re.compile(r"[ \t\n\r\f\v]")
-#: What Python takes for white space beside Unicode's.
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
-
-
 #: Fixed value: how the tokenizer whose file has this pattern parts words. For visible ASCII in lower case the shorter one is the same.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -51,8 +48,8 @@ _ASCII = re.compile(r"[!-~]+")
 class Words:
     """Token ids of texts, as little-endian 32-bit numbers, for a tokenizer that drops white space and never joins what it parts.
 
-    Words are remembered in two halves: one that is full replaces the older one, out of which what is still in use has been taken.
-    Words are cut into the tokenizer's own parts, which are remembered, too: many words share them.
+    Words are cut into the tokenizer's own parts, and both are remembered: parts of visible ASCII by their name, as each is a word of the
+    same ids, others behind a blank. All are forgotten when they take more than MEMORY bytes.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,8 +61,7 @@ class Words:
         split = (file["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         self.easy = split == PATTERN and [n["type"] for n in (file["normalizer"] or {}).get("normalizers", ())] == ["NFC", "Replace", "Lowercase"]
         self.special = re.compile("|".join(re.escape(t["content"]) for t in file["added_tokens"]) or "(?!)")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.size = 0
 
     @staticmethod
@@ -78,87 +74,78 @@ class Words:
             shared[path] = Words(path)
         return shared[path]
 
-    def _join(self, word: str, parts: list[str]) -> None:
-        young, old, new = self.young, self.old, 0
-        joined = []
-        for p in parts:
-            key = " " + p  # no word has a blank
-            if (ids := young.get(key)) is None:
-                if (ids := old.get(key)) is None:
-                    ids = [t.id for t in self.tokenizer.model.tokenize(p)]
-                    ids = struct.pack(f"<{len(ids)}I", *ids)
-                young[key] = ids
-                new += len(p) + len(ids) + 150
-            joined.append(ids)
-        young[word] = ids = joined[0] if len(joined) == 1 else b"".join(joined)
-        self.size += new + len(word) + len(ids) + 150
-
-    def _learn(self, words: set[str], special: bool) -> None:
-        hard, whole = [], []
+    def _part(self, key: str, part: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(part)]
+        self.known[key] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        self.size += sum(map(len, words))
+        known, get, hard, whole = self.known, self.known.get, [], []
         for w in words:
-            if (ids := self.old.get(w)) is not None:
-                self.young[w] = ids
-                self.size += len(w) + len(ids) + 150
-            elif special and self.special.search(w):
+            if "<" in w and self.special.search(w):
                 whole.append(w)
             elif self.easy and _ASCII.fullmatch(w):
-                self._join(w, _ASCII_PATTERN.findall(w.lower()))
-            else:
+                parts = _ASCII_PATTERN.findall(w.lower())
+                known[w] = b"".join([get(p) or self._part(p, p) for p in parts]) if len(parts) > 1 else get(parts[0]) or self._part(parts[0], parts[0])
+            elif self.easy and len(w.split()) == 1:
                 hard.append(w)
+            else:
+                whole.append(w)  # with white space that is not ASCII, perhaps
         if hard:
-            tokenizer = self.tokenizer
-            text = tokenizer.normalizer.normalize_str(" ".join(hard)) if tokenizer.normalizer else ""
+            text = self.tokenizer.normalizer.normalize_str(" ".join(hard))
             ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
-            if len(ends) == len(hard) and self.easy:
-                found: list[list[str]] = [[] for _ in hard]
-                for part, (start, _) in tokenizer.pre_tokenizer.pre_tokenize_str(text):
-                    found[int(ends.searchsorted(start, "right"))].append(part)
-                for w, parts in zip(hard, found):
-                    self._join(w, parts)
-            else:
-                whole += hard
+            parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            at = ends.searchsorted(np.array([start for _, (start, _) in parts], np.int64), "right")
+            found: list[list[bytes]] = [[] for _ in hard]
+            for i, (part, _) in zip(at.tolist(), parts):
+                found[i].append(get(key := " " + part) or self._part(key, part))
+            known.update(zip(hard, map(b"".join, found)))
         for w, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False) if whole else ()):
-            self.young[w] = ids = struct.pack(f"<{len(e.ids)}I", *e.ids)
-            self.size += len(w) + len(ids) + 150
-
-    def __call__(self, text: str) -> bytes:
-        words = _BLANK.split(text) if _SEPARATORS.search(text) else text.split()
-        got = list(map(self.young.get, words))
+            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin and end among them. A word's occurrences are counted by Arrow and filled in by numpy."""
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.known.get, different))
         if None in got:
-            self._learn({w for w, ids in zip(words, got) if ids is None}, self.special.search(text) is not None)
-            got = map(self.young.__getitem__, words)
-        out = b"".join(got)
-        if self.size > MEMORY // 2:
-            self.old, self.young, self.size = self.young, {}, 0
-        return out
-
-
-def stretches(text: str) -> Iterator[str]:
+            self._learn([w for w, ids in zip(different, got) if ids is None])
+            got = list(map(self.known.__getitem__, different))
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        size = np.array(list(map(len, got)), np.int64) // 4
+        pool = np.frombuffer(b"".join(got), "<u4")
+        each = size[code]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
+        ids = pool[np.repeat((np.cumsum(size) - size)[code] - ends[:-1], each) + np.arange(ends[-1])]
+        if self.size + ENTRY * len(self.known) > MEMORY:
+            self.known, self.size = {}, 0
+        offsets = words.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
+
+
+def stretches(text: str) -> list[str]:
     """The text in parts of about STRETCH characters, parted at white space."""
-    start = 0
-    while len(text) - start > STRETCH:
-        at = _BLANK.search(text, start + STRETCH)
-        if not at:
-            break
-        yield text[start : at.start()]
+    out, start = [], 0
+    while len(text) - start > STRETCH and (at := _BLANK.search(text, start + STRETCH)):
+        out.append(text[start : at.start()])
         start = at.end()
-    yield text[start:]
+    return [*out, text[start:]]
 
 
-def cut_up(words: Words, text: str, end: int, capacity: int) -> Iterator[tuple[int, bytes]]:
-    """A document's pieces: the ids before it, and its ids."""
-    start, rest = 0, b""
-    size = capacity * 4
-    for part in stretches(text):
-        rest += words(part)
-        whole = max(0, len(rest) - 1) // size * size
-        for i in range(0, whole, size):
-            yield start + i // 4, rest[i : i + size]
-        start += whole // 4
-        rest = rest[whole:]
-    rest += np.uint32(end).tobytes()
-    for i in range(0, len(rest), size):
-        yield start + i // 4, rest[i : i + size]
+def tokens(words: Words, texts: pa.Array) -> Iterator[np.ndarray]:
+    """Each text's ids. Texts are taken together up to STRETCH bytes, longer ones in stretches."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // STRETCH
+    edges = np.flatnonzero(np.diff(group, prepend=-1, append=-2))
+    for a, b in zip(edges, edges[1:]):
+        for i, j in ((a, b - 1), (b - 1, b)):  # the last text of a group may be a long one
+            if j - i == 1 and sizes[i] > STRETCH:
+                yield np.concatenate([words(pa.array([s]))[0] for s in stretches(texts[int(i)].as_py())])
+            elif j > i:
+                ids, ends = words(texts.slice(i, j - i))
+                yield from np.split(ids, ends[1:-1])
 
 
 def _pieces(tokenizer: str, end: int, capacity: int):
@@ -173,13 +160,15 @@ def _pieces(tokenizer: str, end: int, capacity: int):
                 columns = [b.column(0).take(pa.array(rows, pa.int64())), pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2)), pa.array([o[3] for o in out], pa.binary()), pa.array([part] * len(out), pa.int32()), pa.array([o[4] for o in out], pa.int64())]
                 return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids", "part", "nth"])
 
-            for row, text in enumerate(b.column(1).to_pylist()):
-                for piece, (start, ids) in enumerate(cut_up(words, text or "", end, capacity)):
-                    n = len(ids) // 4
+            for row, ids in enumerate(tokens(words, b.column(1).cast(pa.string()).fill_null(""))):
+                ids = np.append(ids, np.uint32(end)).astype("<u4", copy=False)
+                for piece, start in enumerate(range(0, len(ids), capacity)):
+                    own = ids[start : start + capacity].tobytes()
+                    n = len(own) // 4
                     rows.append(row)
-                    out.append((piece, start, n, ids, seen[n]))
+                    out.append((piece, start, n, own, seen[n]))
                     seen[n] += 1
-                    size += len(ids)
+                    size += len(own)
                     if size > BATCH_BYTES:
                         yield flush()
                         rows, out, size = [], [], 0

@@ -9,6 +9,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,6 +29,10 @@ def tokenizer():
     return Tokenizer.from_file(PATH)
 
 
+def made(words, texts):
+    return [ids.tolist() for ids in packing.tokens(words, pa.array(texts, pa.string()))]
+
+
 def ids_of(tokenizer, texts):
     return [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -38,26 +43,23 @@ def test_words_are_the_tokenizers(spark, tokenizer, monkeypatch, memory):
     texts = [r["text"] or "" for r in table(spark, SF, "documents").select("text").collect()] + ODD
     words = packing.Words(PATH)
     for _ in range(2):
-        assert [np.frombuffer(words(t), "<u4").tolist() for t in texts] == ids_of(tokenizer, texts)
+        assert made(words, texts) == ids_of(tokenizer, texts)
     words.easy = False
-    assert [np.frombuffer(words(t), "<u4").tolist() for t in texts[-40:]] == ids_of(tokenizer, texts[-40:])
+    assert made(words, texts[-40:]) == ids_of(tokenizer, texts[-40:])
 
 
 @given(st.text(max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_words_of_any_text(text):
-    words, tokenizer = packing.Words.of(PATH), Tokenizer.from_file(PATH)
-    assert np.frombuffer(words(text), "<u4").tolist() == ids_of(tokenizer, [text])[0]
+    assert made(packing.Words.of(PATH), ["a", text, ""])[1] == ids_of(Tokenizer.from_file(PATH), [text])[0]
 
 
-def test_long_texts_in_stretches(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "STRETCH", 50)
+@pytest.mark.parametrize("stretch", [1, 50, 400])
+def test_long_texts_in_stretches(tokenizer, monkeypatch, stretch):
+    monkeypatch.setattr(packing, "STRETCH", stretch)
     text = "  ".join(f"wörd{i} and, so on" for i in range(200)) + "x" * 300
-    want = [*ids_of(tokenizer, [text])[0], packing.END]
-    got = list(packing.cut_up(packing.Words(PATH), text, packing.END, 64))
-    assert [s for s, _ in got] == list(range(0, len(want), 64))
-    assert np.frombuffer(b"".join(b for _, b in got), "<u4").tolist() == want
-    assert all(len(b) == 256 for _, b in got[:-1])
+    texts = ["", text, "a b", "", text[:90], "c", text[50:], ""]
+    assert made(packing.Words(PATH), texts) == ids_of(tokenizer, texts)
 
 
 def check(rows, texts, capacity, tokenizer) -> int:
