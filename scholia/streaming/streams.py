@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,11 +42,14 @@ def last_values(stream: DataFrame, key: str, value: str, order: str) -> DataFram
     return stream.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
 
 
-def closed(stream_a: DataFrame, stream_b: DataFrame, key: str, within: str, late: str = "2 days") -> DataFrame:
-    """Opened rows with the rows that close them: same key, at most `within` later. State older than that is dropped on both sides."""
+def closed(stream_a: DataFrame, stream_b: DataFrame, key: str, within: str, late: str = "2 days", how: str = "inner") -> DataFrame:
+    """Opened rows with the rows that close them: same key, at most `within` later. State older than that is dropped on both sides.
+
+    With how="leftOuter" an opened row that nothing closed comes out as well, once, with a null: when the watermark says nothing can any more.
+    """
     a = stream_a.select(F.col(key).alias("k"), F.col("ts").alias("opened"), F.col("event_id").alias("open_id")).withWatermark("opened", late)
     b = stream_b.select(F.col(key).alias("k2"), F.col("ts").alias("ended"), F.col("event_id").alias("close_id")).withWatermark("ended", late)
-    return a.join(b, F.expr(f"k = k2 AND ended >= opened AND ended <= opened + INTERVAL {within}")).select("k", "open_id", "close_id")
+    return a.join(b, F.expr(f"k = k2 AND ended >= opened AND ended <= opened + INTERVAL {within}"), how).select("k", "open_id", "close_id")
 
 
 COUNTER = "user_id BIGINT, skips INT, answers INT, auto_skips INT"
@@ -74,16 +77,19 @@ def skip_counters(stream: DataFrame, skip: str, answer: str, most: int = 3) -> D
     return stream.select("user_id", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(step, COUNTER, "skips INT, answers INT, auto_skips INT", "update", GroupStateTimeout.NoTimeout)
 
 
-def settled(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """Runs a stream over all that is there now and returns its result: for each key the row of its last batch (all rows, if appended).
+def resumed(stream: DataFrame, at: str, keys: list[str], mode: str = "update", after: Callable[[int], None] | None = None) -> DataFrame:
+    """Runs a stream over what is new since the last run at this folder, to the end of what is there now; the result of all runs.
 
-    Each batch is written once, under its number, so a batch that is run again replaces itself.
+    The folder's checkpoint says what has been read, and what state was left. Each batch is written under its number, so a batch that a
+    stopped run had not committed is run again in its place: no row comes twice and none is lost. The result has for each key the row of
+    its last batch (all rows, if appended). `after` is called with the number of each batch that has been written.
     """
     spark = stream.sparkSession
-    at = new_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        if after:
+            after(number)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
@@ -92,3 +98,19 @@ def settled(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFra
     if mode == "append":
         return rows.drop("_batch")
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch")))).where("_r = 1").drop("_r", "_batch")
+
+
+def settled(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """Runs a stream over all that is there now, from the start, and returns its result."""
+    return resumed(stream, new_folder(stream.sparkSession, "stream"), keys, mode)
+
+
+def in_parts(rows: DataFrame, parts: int) -> Iterator[str]:
+    """Writes rows to a folder part by part, in the order of their time; gives the folder after each part."""
+    spark, at = rows.sparkSession, new_folder(rows.sparkSession, "parts")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(parts):
+        low = i == 0 or F.col("ts") >= F.lit(first + (last - first) * i / parts)
+        high = i == parts - 1 or F.col("ts") < F.lit(first + (last - first) * (i + 1) / parts)
+        rows.where(F.lit(low) & F.lit(high)).write.mode("append").parquet(at)
+        yield at
