@@ -39,6 +39,11 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a folder that new_folder() named, once its rows are not read any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.catalog import load
+from scholia.durable import new_folder
 from scholia.operators import merging as M
+from scholia.operators.tables import KeyedTable
 from scholia.registry import query
 
 
@@ -40,6 +42,32 @@ def upsert_coalesce(spark: SparkSession, sf: str) -> DataFrame:
     return M.upsert(present, changes.withColumn("value", F.lit(None).cast("double")), ["user_id"], "event_id", keep_old=["value"])
 
 
+_ACCOUNTS = "user_id BIGINT, event_id BIGINT, event_type STRING, value DOUBLE"
+
+
+@query("upsert_in_place", f"""WITH {_SPLIT}, l AS (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM c GROUP BY user_id)
+SELECT coalesce(l.user_id, p.user_id) AS user_id, coalesce(l.event_id, p.event_id) AS event_id, coalesce(l.event_type, p.event_type) AS event_type, coalesce(l.value, p.value) AS value FROM p FULL JOIN l ON p.user_id = l.user_id""")
+def upsert_in_place(spark: SparkSession, sf: str) -> DataFrame:
+    """The upsert of a table of files, of which only the folders with changed keys are read and rewritten."""
+    present, changes = _split(spark, sf)
+    accounts = KeyedTable(spark, new_folder(spark, "accounts"), _ACCOUNTS, ["user_id"], 16)
+    accounts.create(present)
+    accounts.upsert(changes, "event_id")
+    return accounts.rows()
+
+
+@query("upsert_in_place_coalesce", f"""WITH {_SPLIT}, l AS (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM c GROUP BY user_id)
+SELECT coalesce(l.user_id, p.user_id) AS user_id, coalesce(l.event_id, p.event_id) AS event_id, coalesce(l.event_type, p.event_type) AS event_type, p.value FROM p FULL JOIN l ON p.user_id = l.user_id WHERE coalesce(l.user_id, p.user_id) % 5 <> 0""")
+def upsert_in_place_coalesce(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with values that stay where the change has none, and a deletion after it."""
+    present, changes = _split(spark, sf)
+    accounts = KeyedTable(spark, new_folder(spark, "accounts"), _ACCOUNTS, ["user_id"], 16)
+    accounts.create(present)
+    accounts.upsert(changes.withColumn("value", F.lit(None).cast("double")), "event_id", ["value"])
+    accounts.delete(accounts.rows().where("user_id % 5 = 0"))
+    return accounts.rows()
+
+
 @query("update_by_key", """SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'MERGED' ELSE c_mktsegment END AS c_mktsegment, c_custkey % 10 = 0 AS matched FROM customer""")
 def update_by_key(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "customer").select("c_custkey", "c_mktsegment")

@@ -106,6 +106,17 @@ def stream_unclosed(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query("new_files", """SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0""")
+def new_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of files that come to a folder between two runs; a third run finds nothing new."""
+    docs, at, run = load(spark, sf, "documents").select("doc_id", "text"), new_folder(spark, "inbox"), new_folder(spark, "run")
+    found = []
+    for part in ("doc_id % 3 <> 0", "doc_id % 3 = 0", "false"):
+        docs.where(part).write.mode("append").json(at)
+        found.append(S.discovered(spark, at, f"{run}", "json", "doc_id BIGINT, text STRING", "*.json"))
+    return found[1].unionByName(found[2]).select("doc_id", "text")
+
+
 @query("expired_jobs", """SELECT event_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 15 DAY""")
 def expired_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """What has been open for longer than its time to live."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from scholia.durable import new_folder
+from scholia.durable import exists, new_folder
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -94,7 +94,7 @@ def resumed(stream: DataFrame, at: str, keys: list[str], mode: str = "update", a
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     schema = StructType([*stream.schema.fields, StructField("_batch", IntegerType())])
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{at}/out")
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{at}/out") if exists(spark, f"{at}/out") else spark.createDataFrame([], schema)
     if mode == "append":
         return rows.drop("_batch")
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch")))).where("_r = 1").drop("_r", "_batch")
@@ -114,3 +114,20 @@ def in_parts(rows: DataFrame, parts: int) -> Iterator[str]:
         high = i == parts - 1 or F.col("ts") < F.lit(first + (last - first) * (i + 1) / parts)
         rows.where(F.lit(low) & F.lit(high)).write.mode("append").parquet(at)
         yield at
+
+
+def discovered(spark: SparkSession, root: str, at: str, format: str, schema: str, pattern: str = "*") -> DataFrame:
+    """What the files hold that came since the last run at this folder: the stream's offsets say which they are, not a join with all known.
+
+    With format binaryFile the files' path, size and time, without their contents.
+    """
+    ran: list[int] = []
+    stream = spark.readStream.format(format).schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    stream = stream.drop("content") if format == "binaryFile" else stream.withColumn("_path", F.col("_metadata.file_path"))
+    rows = resumed(stream, at, [], "append", ran.append)
+    new = [f"{at}/out/batch={n}" for n in ran]
+    return spark.read.schema(rows.schema).parquet(*new) if new else rows.limit(0)
+
+
+#: The schema that binaryFile asks for.
+FILE = "path STRING NOT NULL, modificationTime TIMESTAMP NOT NULL, length BIGINT NOT NULL, content BINARY"
