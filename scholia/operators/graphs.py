@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.durable import cut, new_folder
@@ -26,29 +26,48 @@ def progress(nodes: DataFrame, key: str, status: str, depends: str) -> DataFrame
     return totals.crossJoin(F.broadcast(n)).withColumn("complete", F.col("nodes") == F.col("done")).withColumn("deadlock", ~F.col("complete") & (F.col("ready") == 0) & (F.col("running") == 0)).drop("running")
 
 
+#: More than any path is long; what goes round a cycle is cut there.
+FAR = 1 << 50
+
+
 def levels(nodes: DataFrame, key: str, depends: str) -> DataFrame:
     """key, level: the round in which each node can run, from 1. Nodes on or behind a cycle or a missing node get none.
 
-    Each round joins the open edges to the nodes of the round before; edges that are met go. What is open is checkpointed and the
-    levels found are written, so plans stay short, however deep the graph, and a lost executor costs one round.
+    A node's level is the greatest of a constant and of its open edges' levels plus their lengths. Each round takes the edges to nodes that
+    have a level into the constant, and edges to a node with a single open edge pass over that node: they lead where its edge leads,
+    by the sum of both lengths. So paths double: a chain or tree of n nodes takes log n rounds, and no graph more than it has levels. A
+    round is written to the shared folder, two small tables, so plans stay short and a lost executor costs one round.
     """
+    return levels_and_rounds(nodes, key, depends)[0]
+
+
+def levels_and_rounds(nodes: DataFrame, key: str, depends: str) -> tuple[DataFrame, int]:
     spark = nodes.sparkSession
     at = new_folder(spark, "levels")
-    edges = cut(nodes.select(F.col(key).alias("node"), F.explode(F.array_distinct(depends)).alias("on")))
-    todo = cut(nodes.select(F.col(key).alias("node")).distinct())
-    kind = todo.schema["node"].dataType.simpleString()
-    level = 1
-    while True:
-        now = cut(todo.join(edges.select("node").distinct(), "node", "left_anti"))
-        if now.isEmpty():
-            break
-        now.withColumn("level", F.lit(level)).write.mode("append").parquet(at)
-        todo = cut(todo.join(now, "node", "left_anti"))
-        edges = cut(edges.join(now.withColumnRenamed("node", "on"), "on", "left_anti"))
-        level += 1
-    schema = f"node {kind}, level int"
-    found = spark.read.schema(schema).parquet(at) if level > 1 else spark.createDataFrame([], schema)
-    return found.withColumnRenamed("node", key)
+    edges = nodes.select(F.col(key).alias("node"), F.explode(F.array_distinct(depends)).alias("on")).distinct()
+    edges = cut(edges.select("node", "on", F.lit(1).cast("long").alias("length"), F.lit(1).cast("long").alias("least")))
+    now = cut(nodes.select(F.col(key).alias("node")).distinct().join(edges.select("node"), "node", "left_anti").withColumn("level", F.lit(1).cast("long")))
+    kind = now.schema["node"].dataType.simpleString()
+    rounds, of = 0, Window.partitionBy("node")
+    while not now.isEmpty():
+        now.withColumn("level", F.col("level").cast("int")).write.mode("append").parquet(at)
+        rounds += 1
+        met = edges.join(now.select(F.col("node").alias("on"), "level"), "on", "left")
+        met = met.withColumn("least", F.max(F.greatest("least", F.coalesce(F.col("level") + F.col("length"), F.lit(0)))).over(of)).withColumn("open", F.count_if(F.col("level").isNull()).over(of))
+        met = cut(met)
+        now = cut(met.where("open = 0").select("node", F.col("least").alias("level")).distinct())
+        open_ = met.where("level IS NULL")
+        single = open_.where("open = 1 AND node <> on").select(F.col("node").alias("on"), F.col("on").alias("_on"), F.col("length").alias("_length"), F.col("least").alias("_least"))
+        passed = F.col("_length").isNotNull()
+        jumped = open_.join(single, "on", "left").select(
+            "node",
+            F.when(passed, F.col("_on")).otherwise(F.col("on")).alias("on"),
+            F.least(F.col("length") + F.coalesce("_length", F.lit(0)), F.lit(FAR)).alias("length"),
+            F.least(F.greatest("least", F.col("_least") + F.col("length")), F.lit(FAR)).alias("least"),
+        )
+        edges = cut(jumped.groupBy("node", "on").agg(F.max("length").alias("length"), F.max("least").alias("least")))
+    found = spark.read.schema(f"node {kind}, level int").parquet(at) if rounds else spark.createDataFrame([], f"node {kind}, level int")
+    return found.withColumnRenamed("node", key), rounds
 
 
 def next_stage(stage: Column, stages: tuple[str, ...]) -> Column:

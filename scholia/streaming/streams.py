@@ -119,7 +119,7 @@ def in_parts(rows: DataFrame, parts: int) -> Iterator[str]:
 def discovered(spark: SparkSession, root: str, at: str, format: str, schema: str, pattern: str = "*") -> DataFrame:
     """What the files hold that came since the last run at this folder: the stream's offsets say which they are, not a join with all known.
 
-    With format binaryFile the files' path, size and time, without their contents.
+    With format binaryFile the files' path, size and time, without their contents. Empty files are left out.
     """
     ran: list[int] = []
     stream = spark.readStream.format(format).schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)

@@ -192,6 +192,36 @@ def test_sums_by_status_over_no_rows_are_null(spark, tmp_path):
     assert tuple(section_status(spark, str(tmp_path)).first()) == (None, None)
 
 
+def slow_levels(depends):
+    out = {}
+    while True:
+        new = {n: 1 + max((out[d] for d in ds), default=0) for n, ds in depends.items() if n not in out and all(d in out for d in ds)}
+        if not new:
+            return out
+        out |= new
+
+
+def test_paths_double(spark):
+    """A chain of 10,000 takes the rounds of its logarithm, and so does a tree."""
+    chain = spark.range(10_000).select("id", F.expr("CASE WHEN id = 0 THEN array() ELSE array(id - 1) END").alias("d"))
+    found, rounds = G.levels_and_rounds(chain, "id", "d")
+    assert rounds < 20 and found.where("level <> id + 1").count() == 0 and found.count() == 10_000
+    tree = spark.range(1, 1000).select("id", F.expr("CASE WHEN id = 1 THEN array() ELSE array(id div 2) END").alias("d"))
+    found, rounds = G.levels_and_rounds(tree, "id", "d")
+    assert rounds < 7 and found.where("level <> length(bin(id))").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_levels_of_any_graph(spark, seed):
+    """With shared and missing dependencies, nulls, repeats and cycles of several lengths."""
+    r = random.Random(seed)
+    depends = {n: [r.choice([*range(max(0, n - 6), n), *([r.randint(0, 45)] if r.random() < 0.1 * seed else [])]) for _ in range(r.choice([0, 1, 1, 2, 3]) if n else 0)] for n in range(40)}
+    rows = [(n, ds + ([None] if n == 33 else [])) for n, ds in depends.items()]
+    got = {x["n"]: x["level"] for x in G.levels(spark.createDataFrame(rows, "n BIGINT, d ARRAY<BIGINT>"), "n", "d").collect()}
+    depends[33] = [-1]
+    assert got == slow_levels(depends)
+
+
 def test_levels_leave_cycles_out(spark):
     nodes = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["a", "b"]), ("x", ["y"]), ("y", ["x"]), ("m", ["missing"])], "n STRING, d ARRAY<STRING>")
     assert {r["n"]: r["level"] for r in G.levels(nodes, "n", "d").collect()} == {"a": 1, "b": 2, "c": 3}

@@ -138,9 +138,10 @@ def test_new_files_are_listed_once(spark, tmp_path):
     find = lambda: sorted((r["path"].rsplit("/", 1)[1], r["length"]) for r in S.discovered(spark, str(root), run, "binaryFile", S.FILE, "*.dat").collect())
     assert find() == []
     (root / "a.dat").write_bytes(b"xx")
-    (root / "sub/b.dat").write_bytes(b"")
+    (root / "sub/b.dat").write_bytes(b"y")
+    (root / "empty.dat").write_bytes(b"")  # Spark leaves files without contents out
     (root / "c.txt").write_bytes(b"x")
-    assert find() == [("a.dat", 2), ("b.dat", 0)]
+    assert find() == [("a.dat", 2), ("b.dat", 1)]
     assert find() == []
     (root / "sub/d.dat").write_bytes(b"12345")
     assert find() == [("d.dat", 5)]
