@@ -39,18 +39,35 @@ THEMES = (
 )
 THEME_DEFAULT = "ZnSe Fundamentals"
 
-#: A mark that no text holds, around the headings that are found.
-_MARK = "\u0001"
+#: A mark around the headings that are found. What a text has of its first character is written as _OWN meanwhile.
+_MARK, _OWN = "\u0001h", "\u0001t"
 
 
 def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), with the value computed once: an expression inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """The text cut at what the pattern's group finds: text, heading, text, heading, text ..."""
+    marked = F.regexp_replace(F.replace(text, F.lit(_MARK[0]), F.lit(_OWN)), pattern, f"{_MARK}$1{_MARK}")
+    return F.transform(F.split(marked, _MARK, -1), lambda p: F.replace(p, F.lit(_OWN), F.lit(_MARK[0])))
+
+
 def _last_of_each(sections: Column) -> Column:
     """Of sections of one name the last, as sections are told by name."""
-    names = lambda from_: F.transform(F.slice(sections, from_, F.greatest(F.size(sections) - from_ + 1, F.lit(0))), lambda s: s["name"])
-    return F.filter(sections, lambda s, i: ~F.array_contains(names(i + 2), s["name"]))
+    named = F.transform(sections, lambda s, i: F.struct(s["name"].alias("name"), i.alias("i"), s["content"].alias("content")))
+
+    def last(of: Column) -> Column:
+        kept = F.filter(of, lambda s, j: ~F.coalesce(F.get(of, j + 1)["name"] == s["name"], F.lit(False)))
+        placed = F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["name"].alias("name"), s["content"].alias("content"))))
+        return F.transform(placed, lambda s: F.struct(s["name"].alias("name"), s["content"].alias("content")))
+
+    return _with(F.array_sort(named), last)
 
 
 def raw_sections(text: Column) -> Column:
@@ -58,26 +75,31 @@ def raw_sections(text: Column) -> Column:
 
     A header right behind another leaves no section; what stands ahead of the first is the body. Texts are split in place, without a shuffle.
     """
-    marked = F.regexp_replace(text, rf"(?imd)^[^\S\n]*({HEADERS})[^\S\n]*$", f"{_MARK}$1{_MARK}")
-    parts = F.split(marked, _MARK, -1)  # body, header, content, header, content ...
-    body = F.struct(F.lit("body").alias("name"), parts[0].alias("content"))
-    # a part between headers ends with the line break ahead of the next one; with nothing else in it, or at the end, it is no section
-    holds = lambda i: F.get(parts, i + 1) != F.when(i + 2 == F.size(parts), "").otherwise("\n")
-    at = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: (i % 2 == 1) & holds(i))
-    headed = F.transform(at, lambda i: F.struct(F.regexp_replace(F.lower(F.get(parts, i)), " ", "_").alias("name"), F.get(parts, i + 1).alias("content")))
-    every = F.concat(F.filter(F.array(body), lambda s: s["content"] != ""), headed)
-    found = _last_of_each(F.transform(every, lambda s: F.struct(s["name"].alias("name"), _stripped(s["content"]).alias("content"))))
+
+    def cut(parts: Column) -> Column:
+        body = F.struct(F.lit("body").alias("name"), parts[0].alias("content"))
+        # a part between headers ends with the line break ahead of the next one; with nothing else in it, or at the end, it is no section
+        holds = lambda i: F.get(parts, i + 1) != F.when(i + 2 == F.size(parts), "").otherwise("\n")
+        at = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: (i % 2 == 1) & holds(i))
+        headed = F.transform(at, lambda i: F.struct(F.regexp_replace(F.lower(F.get(parts, i)), " ", "_").alias("name"), F.get(parts, i + 1).alias("content")))
+        every = F.concat(F.filter(F.array(body), lambda s: s["content"] != ""), headed)
+        return _last_of_each(F.transform(every, lambda s: F.struct(s["name"].alias("name"), _stripped(s["content"]).alias("content"))))
+
     whole = F.array(F.struct(F.lit("body").alias("name"), text.alias("content")))
-    return F.when(text.isNull(), F.lit(None)).when((F.size(parts) == 1) | (F.size(found) == 0) | ((F.size(found) == 1) & (F.get(found, F.lit(0))["name"] == "body")), whole).otherwise(found)
+    parts = _parts(text, rf"(?imd)^[^\S\n]*({HEADERS})[^\S\n]*$")
+    plain = lambda found: (F.size(found) == 0) | ((F.size(found) == 1) & (F.get(found, F.lit(0))["name"] == "body"))
+    return F.when(text.isNotNull(), _with(parts, lambda p: _with(cut(p), lambda found: F.when((F.size(p) == 1) | plain(found), whole).otherwise(found))))
 
 
 def keyword_sections(text: Column) -> Column:
     """Array of (name, content): what follows each heading word at the start of a line; what stands ahead of the first is left out."""
-    marked = F.regexp_replace(text, rf"(?i)(?:^|\n)({'|'.join(HEADINGS)})\b", f"{_MARK}$1{_MARK}")
-    parts = F.split(marked, _MARK, -1)
-    at = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
-    headed = F.transform(at, lambda i: F.struct(F.lower(F.get(parts, i)).alias("name"), _stripped(F.get(parts, i + 1)).alias("content")))
-    return _last_of_each(F.filter(headed, lambda s: s["content"] != ""))
+
+    def cut(parts: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
+        headed = F.transform(at, lambda i: F.struct(F.lower(F.get(parts, i)).alias("name"), _stripped(F.get(parts, i + 1)).alias("content")))
+        return _last_of_each(F.filter(headed, lambda s: s["content"] != ""))
+
+    return F.when(text.isNotNull(), _with(_parts(text, rf"(?i)(?:^|\n)({'|'.join(HEADINGS)})\b"), cut))
 
 
 def is_review(names: Column) -> Column:
@@ -101,9 +123,13 @@ def selected_sections(sections: Column) -> Column:
     return F.filter(sections, lambda s: ~low(s).isin(*SKIPPED) & (review | ~low(s).isin(*SKIPPED_UNLESS_REVIEW)) & F.coalesce(_stripped(s["content"]) != "", F.lit(False)))
 
 
+# Fixed value: a year that stands alone.
+YEAR = r"\b(19[89]\d|20[012]\d)\b"
+
+
 def publication_year(text: Column) -> Column:
     """The first number from 1980 to 2029 that stands alone; null if none."""
-    return F.nullif(F.regexp_extract(text, r"\b(19[89]\d|20[012]\d)\b", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(text, YEAR, 1), F.lit("")).cast("int")
 
 
 def theme(name: Column) -> Column:

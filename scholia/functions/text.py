@@ -453,6 +453,19 @@ def queries(materials: list[str], methods: list[str], topics: list[str], cap: in
     return out[:cap]
 
 
+def query_plan(materials: Column, methods: Column, topics: Column, cap: int = 12) -> Column:
+    """The same for arrays of a row: all combinations of three, then of two, each once whatever its case, up to `cap`."""
+    join = lambda *parts: F.concat_ws(" ", *parts)
+    each = lambda xs, f: F.flatten(F.transform(xs, f))
+    threes = each(materials, lambda m: each(methods, lambda a: F.transform(topics, lambda b: join(m, a, b))))
+    pairs = F.concat(each(materials, lambda m: F.transform(methods, lambda a: join(m, a))), each(materials, lambda m: F.transform(topics, lambda b: join(m, b))))
+    plain = F.transform(F.concat(threes, pairs), lambda q: F.regexp_replace(F.trim(q), r"\s+", " "))
+    own = lambda q: F.split(F.lower(q), " ")
+    good = F.filter(plain, lambda q: F.size(F.array_distinct(own(q))) == F.size(own(q)))
+    low = F.transform(good, F.lower)
+    return F.slice(F.filter(good, lambda q, i: F.array_position(low, F.lower(q)) == i + 1), 1, cap)
+
+
 _NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
 
 

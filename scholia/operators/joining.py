@@ -96,7 +96,7 @@ def resolve_field(asked: DataFrame, fields: DataFrame, word: str, alias: str, na
     f = fields.select(F.lower(alias).alias("_alias"), F.lower(name).alias("_low"), F.col(name).alias("_name"), F.col(order).cast("int").alias("_order"))
     w = F.lower(F.trim(word))
     rank = F.when(w == F.col("_alias"), 0).when(w == F.col("_order").cast("string"), 1).when(w.contains(F.col("_low")) | F.col("_low").contains(w), 2)
-    hits = asked.crossJoin(broadcast_if_small(f, MANY)).withColumn("_rank", rank)  # a form's fields: dozens
+    hits = asked.select(word).distinct().crossJoin(broadcast_if_small(f, MANY)).withColumn("_rank", rank)  # a form's fields: dozens
     return hits.groupBy(word).agg(F.min(F.when(F.col("_rank").isNotNull(), F.struct("_rank", "_order", "_name")))["_name"].alias("field"))
 
 

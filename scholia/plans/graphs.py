@@ -38,12 +38,6 @@ def graph_levels(spark: SparkSession, sf: str) -> DataFrame:
     return G.levels(_nodes(spark, sf), "node", "depends")
 
 
-@query("next_stages", """SELECT * FROM (VALUES ('S1', 'S2'), ('S2_75', 'S3'), ('S5_5', 'complete'), ('S9', NULL), (NULL, 'S1')) t(stage, next)""")
-def next_stages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("S1",), ("S2_75",), ("S5_5",), ("S9",), (None,)], "stage STRING")
-    return rows.withColumn("next", G.next_stage(F.col("stage"), STAGES))
-
-
 @query("best_drafts", """WITH d AS (SELECT l_orderkey AS section, l_linenumber AS version, max(l_quantity / 5) AS score FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL)
 SELECT section, count(*) AS versions, arg_max(version, score * 100 - version) AS version, max(score) AS score, max(score) >= 7.5 AS accepted FROM d GROUP BY section""")
 def best_drafts(spark: SparkSession, sf: str) -> DataFrame:

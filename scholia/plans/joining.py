@@ -83,21 +83,6 @@ def section_by_context(spark: SparkSession, sf: str) -> DataFrame:
     return J.first_containing(rows, "context", names, "name", "o", 8)
 
 
-@query("schema_drift", """WITH e(name, kind) AS (VALUES ('Title', 'title'), ('Year', 'number'), ('Tags', 'multi_select')), f(name, kind) AS (VALUES ('title', 'title'), ('year', 'text'), ('Owner', 'people'))
-SELECT coalesce(lower(e.name), lower(f.name)) AS name, CASE WHEN f.kind IS NULL THEN 'missing' WHEN e.kind IS NULL THEN 'unexpected' ELSE 'changed' END AS status FROM e FULL JOIN f ON lower(e.name) = lower(f.name) WHERE e.kind IS DISTINCT FROM f.kind""")
-def schema_drift(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.createDataFrame([("Title", "title"), ("Year", "number"), ("Tags", "multi_select")], "name STRING, kind STRING")
-    f = spark.createDataFrame([("title", "title"), ("year", "text"), ("Owner", "people")], "name STRING, kind STRING")
-    return J.schema_drift(e, f, "name", "kind")
-
-
-@query("resolve_fields", """SELECT * FROM (VALUES ('dopant', 'Dopant material'), ('2', 'Temperature'), ('the temperature value', 'Temperature'), ('unknown', NULL)) t(word, field)""")
-def resolve_fields(spark: SparkSession, sf: str) -> DataFrame:
-    fields = spark.createDataFrame([("dopant", "Dopant material", 1), ("temp", "Temperature", 2)], "alias STRING, name STRING, place INT")
-    asked = spark.createDataFrame([("dopant",), ("2",), ("the temperature value",), ("unknown",)], "word STRING")
-    return J.resolve_field(asked, fields, "word", "alias", "name", "place")
-
-
 @query("region_references", """SELECT a.doc_id, b.lang AS caption FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id - 1 AND b.source = a.source""")
 def region_references(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", "source", "lang")

@@ -112,11 +112,3 @@ def ranked_export(spark: SparkSession, sf: str) -> DataFrame:
     score = F.least(F.lit(1.0), F.col("n_chars") / 10000.0)
     rows = load(spark, sf, "documents").select("doc_id", "source", F.upper("lang").alias("lang"), "n_chars", score.alias("_s")).orderBy(F.desc("_s"), "doc_id").limit(100)
     return rows.select("doc_id", "source", "lang", "n_chars", F.round("_s", 4).alias("score"))
-
-
-@query("constraint_violations", """WITH w(id, current_stage, status) AS (VALUES (1, 'S1', 'created'), (2, NULL, 'running'), (3, 'S9', 'running'), (4, 'S2', 'flying')) SELECT CAST(id AS BIGINT) AS id, CASE WHEN current_stage = 'S9' THEN 'current_stage' ELSE 'status' END AS violated FROM w WHERE current_stage = 'S9' OR status = 'flying'""")
-def constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
-    from scholia.catalog import violations
-
-    rows = spark.createDataFrame([(1, "S1", "created"), (2, None, "running"), (3, "S9", "running"), (4, "S2", "flying")], "id BIGINT, current_stage STRING, status STRING")
-    return violations(rows, "workflow").select("id", F.array_join("violated", ",").alias("violated"))

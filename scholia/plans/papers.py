@@ -61,34 +61,6 @@ def keyword_sections(spark: SparkSession, sf: str) -> DataFrame:
     return _papers(spark, sf).select("doc_id", F.inline(P.keyword_sections(F.col("raw")))).select("doc_id", "name", F.md5("content").alias("content"))
 
 
-def _table(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
-
-
-@query("themes", """SELECT * FROM (VALUES ('Fundamental ZnO work', 'ZnO Fundamentals', 1987), ('fundamental', 'ZnSe Fundamentals', NULL), ('A vs B', 'ZnSe vs ZnO Comparative', 2029), ('Band gap and optical', 'Bandgap Engineering', 2004),
-('carrier life', 'Charge Transport', NULL), ('Post growth', 'Post-Deposition Treatments', NULL), ('research gap', 'Challenges & Research Gaps', NULL), ('other', 'ZnSe Fundamentals', NULL)) t(name, theme, year)""")
-def themes(spark: SparkSession, sf: str) -> DataFrame:
-    texts = {"Fundamental ZnO work": "in 1979, 1987 and 1990", "A vs B": "2030 12029 2029", "Band gap and optical": "(2004)"}
-    names = ("Fundamental ZnO work", "fundamental", "A vs B", "Band gap and optical", "carrier life", "Post growth", "research gap", "other")
-    rows = _table(spark, "name STRING, text STRING", *((n, texts.get(n, "none")) for n in names))
-    return rows.select("name", P.theme(F.col("name")).alias("theme"), P.publication_year(F.col("text")).alias("year"))
-
-
-@query("plan_steps", """SELECT * FROM (VALUES (CAST(1 AS BIGINT), NULL, '7', NULL), (2, 'missing: b', NULL, '9'), (3, 'disallowed tool: drop', NULL, NULL), (4, NULL, 'x', NULL)) t(step, fault, a, b)""")
-def plan_steps(spark: SparkSession, sf: str) -> DataFrame:
-    steps = _table(spark, "step BIGINT, tool STRING, params MAP<STRING, STRING>, skip BOOLEAN", (1, "one", {"a": "$id"}, False), (2, "two", {"a": "$none", "c": "x"}, None), (3, "drop", {}, False), (4, "two", {"a": "x"}, True))
-    context = F.create_map(F.lit("id"), F.lit("7"))
-    values = P.resolved(F.col("params"), context)
-    listed = P.resolved_list(F.array(F.lit("$id"), F.lit("9")), F.create_map(F.lit("other"), F.lit("1")))
-    return steps.select("step", P.step_fault(F.col("tool"), F.col("params"), F.col("skip"), {"one": ["a"], "two": ["a", "b"]}).alias("fault"), F.try_element_at(values, F.lit("a")).alias("a"), F.when(F.col("step") == 2, listed[1]).alias("b"))
-
-
-@query("routes", """SELECT * FROM (VALUES ('XRD', 'XRD', NULL), ('Unknown', NULL, 'no technique above the threshold'), ('Uncertain', 'Raman', 'uncertain'), ('TEM', NULL, 'no parser for TEM')) t(technique, parser, error)""")
-def routes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _table(spark, "technique STRING, guess STRING", ("XRD", None), ("Unknown", "XRD"), ("Uncertain", "Raman"), ("TEM", "TEM"))
-    return rows.select("technique", P.routed(F.col("technique"), F.col("guess"), tuple(S.TECHNIQUES)).alias("r")).select("technique", "r.*")
-
-
 @query("numbers_with_units", r"""WITH n AS (SELECT doc_id, regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*(?:[A-Za-z%°]+)', 1) AS n FROM documents) SELECT doc_id, CAST(len(n) AS BIGINT) AS n, array_to_string(n, ' ') AS numbers FROM n WHERE len(n) > 0""")
 def numbers_with_units(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"(\d+(?:\.\d+)?)\s*(?:[A-Za-z%°]+)"), F.lit(1)).alias("texts"), T.numbers_with_unit(F.col("text")).alias("n"))
@@ -123,87 +95,6 @@ def equation_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(T.equation_score(F.col("line"))).alias("equations"))
 
 
-@query("best_sentences", r"""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'We grew ZnSe films here. ZnSe was annealed.'), (2, ''), (3, 'ZnSe one.')) t(id, best)""")
-def best_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _table(spark, "id BIGINT, text STRING", (1, "We grew ZnSe films here. It rained. ZnSe was annealed. Then znse was measured at length."), (2, "Nothing of note. At all."), (3, "ZnSe one. The second sentence on ZnSe is far too long to fit into the budget."))
-    return rows.select("id", T.best_sentences(F.col("text"), ("znse",), 45).alias("best"))
-
-
-@query("quantities", """SELECT * FROM (VALUES ('300 nm', 300.0, 'nm'), ('about 2.5 at.% Co', 2.5, 'at.% Co'), ('12', 12.0, ''), ('none', NULL, NULL)) t(value, number, unit)""")
-def quantities(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, "value STRING", ("300 nm",), ("about 2.5 at.% Co",), ("12",), ("none",)).select("value", T.quantity(F.col("value")).alias("q")).select("value", "q.number", "q.unit")
-
-
-@query("valid_values", """SELECT * FROM (VALUES ('XRD', true), ('Zn', false), ('ZnSe', true), ('V_Se', true), ('thin film growth', false), ('grown film', true), ('300 nm', true), ('  ', false), (NULL, false)) t(value, valid)""")
-def valid_values(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _table(spark, "value STRING", *((v,) for v in ("XRD", "Zn", "ZnSe", "V_Se", "thin film growth", "grown film", "300 nm", "  ", None)))
-    return rows.select("value", T.is_valid_value(F.col("value"), F.array(F.lit("grown"))).alias("valid"))
-
-
-@query("valid_facts", """SELECT * FROM (VALUES ('material', 'ZnSe', true), ('material', 'not specified', false), ('material', 'ab12', false), ('optical_property', '2.7 eV', true), ('optical_property', 'blue', false), ('electrical_property', '5 ns', true),
-('annealing_condition', '500 °C', true), ('annealing_condition', 'hot', false), ('doping_parameter', '3 at.%', true), ('defect_type', 'vacancy', true), ('defect_type', 'see table 2', false), ('other', 'x', true), ('other', ' ', false)) t(category, value, valid)""")
-def valid_facts(spark: SparkSession, sf: str) -> DataFrame:
-    cases = (("material", "ZnSe"), ("material", "not specified"), ("material", "ab12"), ("optical_property", "2.7 eV"), ("optical_property", "blue"), ("electrical_property", "5 ns"), ("annealing_condition", "500 °C"), ("annealing_condition", "hot"), ("doping_parameter", "3 at.%"), ("defect_type", "vacancy"), ("defect_type", "see table 2"), ("other", "x"), ("other", " "))
-    return _table(spark, "category STRING, value STRING", *cases).select("category", "value", T.is_valid_fact(F.col("category"), F.col("value")).alias("valid"))
-
-
-@query("parameter_values", """SELECT * FROM (VALUES ('annealing_condition', '500 °C'), ('optical_property', '2.70 eV'), ('optical_property', 'PL 460 nm'), ('electrical_property', '12 ns')) t(category, value)""")
-def parameter_values(spark: SparkSession, sf: str) -> DataFrame:
-    text = "Annealed at 500 °C. The band gap was 2.70 eV, with emission at 460 nm and a lifetime of 12 ns."
-    return _table(spark, "text STRING", (text,)).select(F.inline(T.parameters(F.col("text"))))
-
-
-@query("acronyms", f"""SELECT * FROM (VALUES ('{L.CHARACTERIZATION_ACRONYMS[0]}', 'characterization'), ('{L.SYNTHESIS_ACRONYMS[0]}', 'synthesis_method'), ('hello', NULL)) t(token, category)""")
-def acronyms(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _table(spark, "token STRING", (L.CHARACTERIZATION_ACRONYMS[0],), (L.SYNTHESIS_ACRONYMS[0],), ("hello",))
-    return rows.select("token", T.acronym(F.col("token"))["category"].alias("category"))
-
-
-@query("record_faults", """SELECT * FROM (VALUES (CAST(1 AS BIGINT), ''), (2, 'name: missing,score: not a number'), (3, 'score: out of bounds')) t(id, faults)""")
-def record_faults(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _table(spark, "id BIGINT, name STRING, score STRING", (1, "a", "5"), (2, " ", "many"), (3, "b", "11"))
-    faults = T.record_faults({"name": "title", "score": "number"}, {"score": (0, 10)})
-    return rows.select("id", F.array_join(faults, ",").alias("faults"))
-
-
-@query("dates", """SELECT * FROM (VALUES ('2024-02-29', DATE '2024-02-29'), ('31/12/2023', DATE '2023-12-31'), ('12/31/2023', DATE '2023-12-31'), ('1-2-2020', DATE '2020-02-01'), ('20200131', DATE '2020-01-31'), ('today', DATE '2020-01-01'), ('Yesterday', DATE '2019-12-31'), ('tomorrow', DATE '2020-01-02'), ('soon', NULL)) t(text, date)""")
-def dates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _table(spark, "text STRING", *((t,) for t in ("2024-02-29", "31/12/2023", "12/31/2023", "1-2-2020", "20200131", "today", "Yesterday", "tomorrow", "soon")))
-    return rows.select("text", T.to_date(F.col("text"), F.to_date(F.lit("2020-01-01"))).alias("date"))
-
-
-@query("reply_objects", r"""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'x', CAST(2 AS BIGINT)), (2, NULL, NULL), (3, 'a\q', 1)) t(id, a, b)""")
-def reply_objects(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _table(spark, "id BIGINT, text STRING", (1, '```json\n{"a": "x", "b": 2}\n```'), (2, "no object"), (3, r'so: {"a": "a\q", "b": 1}'))
-    return rows.select("id", S.json_object(S.sanitize_escapes(F.col("text")), "a STRING, b BIGINT").alias("o")).select("id", "o.a", "o.b")
-
-
-_DOS = "# E (eV)   dos(E)     Int dos(E) EFermi =    6.4 eV\n -5.000  0.1000E+00  0.2000E+00\n -4.990  0.3000E+00  0.5000E+00\n"
-_BANDS = " &plot nbnd=   2, nks=     2 /\n   0.000000  0.000000  0.000000\n  -5.100    1.200\n   0.500000  0.000000  0.000000\n  -4.900    1.400\n"
-_NEB = "image:  1   -10.5 eV\nimage:  2   -9.9 eV\nimage:  3   -10.4 eV\nactivation energy (->) = 0.6 (0.600 eV)\nneb: convergence achieved in 12 iterations\n"
-
-
-@query("band_structures", """SELECT * FROM (VALUES (0.0, 1, -5.1), (0.0, 2, 1.2), (0.5, 1, -4.9), (0.5, 2, 1.4)) t(kx, band, energy)""")
-def band_structures(spark: SparkSession, sf: str) -> DataFrame:
-    points = _table(spark, "text STRING", (_BANDS,)).select(F.explode(S.bands(F.col("text"))["points"]).alias("p"))
-    return points.select(F.col("p.k")[0].alias("kx"), F.posexplode("p.values").alias("i", "energy")).select("kx", (F.col("i") + 1).alias("band"), "energy")
-
-
-@query("densities_of_states", """SELECT * FROM (VALUES (-5.0, 0.1, 0.2), (-4.99, 0.3, 0.5)) t(energy, dos, integral)""")
-def densities_of_states(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, "text STRING", (_DOS,)).select(F.inline(S.dos(F.col("text")))).select("energy", "dos", F.col("partial")[0].alias("integral"))
-
-
-@query("neb_paths", """SELECT true AS converged, 0.6 AS activation_ev, CAST(3 AS BIGINT) AS images, 0.1 AS reaction_ev""")
-def neb_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, "text STRING", (_NEB,)).select(S.neb(F.col("text")).alias("n")).select("n.converged", "n.activation_ev", F.size("n.path").cast("long").alias("images"), "n.reaction_ev")
-
-
-@query("section_keys", """SELECT * FROM (VALUES ('2.1 Results and Discussion', 'results_and_discussion'), ('  Methods (XRD)', 'methods_xrd'), ('3', '')) t(heading, key)""")
-def section_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, "heading STRING", ("2.1 Results and Discussion",), ("  Methods (XRD)",), ("3",)).select("heading", T.section_key(F.col("heading")).alias("key"))
-
-
 _HINTS = (("the ", "results"), ("und", "methods"), ("les ", "discussion"))
 
 
@@ -233,19 +124,6 @@ def similar_prices(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "orders").select("o_orderkey", T.similar_numbers(F.col("o_totalprice"), F.lit(150000.0)).alias("similarity"))
 
 
-@query("pseudopotential_ranks", """SELECT * FROM (VALUES ('Zn', 'zn.pbe.us', 'zn.pbe.paw|zn.pz.us', false), ('Se', 'se.pbesol.us', '', false), ('O', NULL, NULL, true)) t(symbol, recommended, alternatives, missing)""")
-def pseudopotential_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    files = _table(spark, "element STRING, functional STRING, type STRING, name STRING", ("Zn", "pz", "us", "zn.pz.us"), ("Zn", "pbe", "paw", "zn.pbe.paw"), ("Zn", "pbe", "us", "zn.pbe.us"), ("Se", "pbesol", "us", "se.pbesol.us"))
-    ranked = readers.ranked_pseudopotentials(files, _table(spark, "symbol STRING", ("Zn",), ("Se",), ("O",)))
-    return ranked.select("symbol", "recommended", F.array_join("alternatives", "|").alias("alternatives"), "missing")
-
-
-@query("meshes", """SELECT * FROM (VALUES (CAST(1 AS BIGINT), '8,8,4'), (2, '2,2,2')) t(id, dense)""")
-def meshes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _table(spark, "id BIGINT, mesh ARRAY<INT>", (1, [4, 4, 2]), (2, [1, 1, 1]))
-    return rows.select("id", F.array_join(S.dense_mesh(F.col("mesh")).cast("array<string>"), ",").alias("dense"))
-
-
 # Files
 
 

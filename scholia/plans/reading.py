@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.catalog import load
+from scholia.durable import new_folder
 from scholia.functions import structured as S
 from scholia.registry import query
 from scholia.sources import readers as R
@@ -29,13 +30,19 @@ def numeric_lines(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(~F.col("value").startswith("#")).select("event_id", cells[0].try_cast("double").alias("x"), cells[1].try_cast("double").alias("y"))
 
 
-@query("percent_columns", """SELECT "column", total, coalesce(total BETWEEN 90 AND 110, false) AS is_percent FROM (VALUES ('Zn', CAST(100.0 AS DOUBLE)), ('Se', 60.0)) t("column", total)""")
-def percent_columns(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("40", "20"), ("60", "40"), ("x", None)], "Zn STRING, Se STRING")
-    return S.percent_columns(rows, ["Zn", "Se"])
+@query("ascii_tables", """SELECT CAST(user_id AS DOUBLE) AS x, value AS y FROM events WHERE event_id % 4 <> 0 AND value IS NOT NULL""")
+def ascii_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written as lines of numbers between tabs, commas or blanks, with comments and other text among them, and the files read."""
+    k, at = F.col("event_id") % 4, new_folder(spark, "tables")
+    mark = F.when(k == 1, F.lit("\t")).when(k == 2, F.lit(" , ")).otherwise(F.lit("   "))
+    line = F.when(k == 0, F.concat(F.when(F.col("event_id") % 8 == 0, F.lit("# ")).otherwise(F.lit("at ")), F.col("event_type"))).otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"), mark, F.col("value").cast("string")))
+    load(spark, sf, "events").where("value IS NOT NULL").select(line.alias("value")).write.text(at)
+    return R.ascii_table(spark, at).select("x", "y")
 
 
-@query("atom_feed", """SELECT * FROM (VALUES ('First', 'One', '1'), ('Second', 'Two', '2')) t(title, summary, id)""")
-def atom_feed(spark: SparkSession, sf: str) -> DataFrame:
-    xml = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>1</id><title>First</title><summary>One</summary></entry><entry><id>2</id><title>Second</title><summary>Two</summary></entry></feed>'
-    return R.arxiv(spark.createDataFrame([(xml,)], "xml STRING"), "xml")
+@query("delimiters", r"""SELECT event_id, CASE event_id % 3 WHEN 0 THEN ',' WHEN 1 THEN chr(9) ELSE ' ' END AS delimiter FROM events""")
+def delimiters(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    cells = F.array(F.col("user_id").cast("string"), F.col("event_type"), F.lit("x"))
+    text = F.when(k == 0, F.concat(F.array_join(cells, ","), F.lit("\t"))).when(k == 1, F.concat(F.array_join(cells, "\t"), F.lit(","))).otherwise(F.array_join(cells, "  "))
+    return load(spark, sf, "events").select("event_id", S.delimiter(text).alias("delimiter"))

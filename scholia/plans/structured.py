@@ -9,43 +9,6 @@ from scholia.catalog import load
 from scholia.functions import structured as S
 from scholia.registry import query
 
-PW = """     calculation = 'scf'
-     iteration #  1     ecut=    60.00 Ry
-     total energy              =    -645.10000000 Ry
-     highest occupied, lowest unoccupied level (ev):     6.4358    7.5358
-!    total energy              =    -645.62919810 Ry
-     convergence has been achieved in  11 iterations
-     Forces acting on atoms (cartesian axes, Ry/au):
-     atom    1 type  1   force =     0.00300000    0.00400000    0.00000000
-     PWSCF        :   10m54.02s CPU   2m48.09s WALL
-   JOB DONE.
-"""
-PH = """     q = (    0.000000000   0.000000000   0.000000000 )
-     freq (    1) =      -0.512345 [THz] =     -17.09 [cm-1]
-     freq (    2) = -582076.000000 [THz] =********** [cm-1]
-     q = (    0.500000000   0.000000000   0.000000000 )
-     freq (    1) =       5.996000 [THz] =     200.00 [cm-1]
-"""
-OUTPUTS = [(1, PW), (2, "Error in routine cdiaghg (3):"), (3, ""), (4, "stopping ..."), (5, "nothing")]
-
-
-@query("pw_outputs", """SELECT * FROM (VALUES (CAST(1 AS BIGINT), true, -645.6291981, 6.4358, 1.1, 11, 0.005, 168.09), (2, false, NULL, NULL, NULL, NULL, NULL, NULL), (3, false, NULL, NULL, NULL, NULL, NULL, NULL), (4, false, NULL, NULL, NULL, NULL, NULL, NULL), (5, false, NULL, NULL, NULL, NULL, NULL, NULL))
-t(job, converged, total_energy_ry, homo_ev, gap_ev, scf_iterations, max_force, wall_time_s)""")
-def pw_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(OUTPUTS, "job BIGINT, text STRING").select("job", S.pw(F.col("text")).alias("p"))
-    return rows.select("job", "p.converged", "p.total_energy_ry", "p.homo_ev", "p.gap_ev", "p.scf_iterations", F.round("p.max_force_ry_au", 6).alias("max_force"), "p.wall_time_s")
-
-
-@query("job_success", """SELECT * FROM (VALUES (CAST(1 AS BIGINT), true, 'JOB DONE found'), (2, false, 'QE error: cdiaghg (3):'), (3, false, 'empty output'), (4, false, 'QE stopped abnormally'), (5, false, 'JOB DONE not found')) t(job, ok, reason)""")
-def job_success(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(OUTPUTS, "job BIGINT, text STRING").select("job", S.success(F.col("text")).alias("s")).select("job", "s.*")
-
-
-@query("phonon_modes", """SELECT * FROM (VALUES (CAST(0.0 AS DOUBLE), CAST(1 AS INTEGER), CAST(-17.09 AS DOUBLE), false), (0.0, 2, NULL, true), (0.5, 1, 200.0, false)) t(qx, mode, cm1, bad)""")
-def phonon_modes(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = spark.createDataFrame([(PH,)], "text STRING").select(F.explode(S.phonons(F.col("text"))).alias("b"))
-    return blocks.select(F.col("b.q")[0].alias("qx"), F.posexplode("b.modes").alias("i", "m")).select("qx", (F.col("i") + 1).alias("mode"), "m.cm1", "m.bad")
-
 
 @query("json_props", """SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY event_type""")
 def json_props(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,21 +21,6 @@ def html_title(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("url", "https?://([^/]+)", 1).alias("host"))
 
 
-@query("detect_techniques", """SELECT * FROM (VALUES ('a.xrdml', 'XRD', 0.95), ('b.wdf', 'Raman', 1.0), ('c.txt', 'Uncertain', 0.25), ('d.bin', 'Unknown', 0.0)) t(file, technique, confidence)""")
-def detect_techniques(spark: SparkSession, sf: str) -> DataFrame:
-    files = spark.createDataFrame([("a.xrdml", "diffraction 2.0", 10.0, 80.0), ("b.wdf", "Raman shift laser", 100.0, 3000.0), ("c.txt", "", 0.0, 150.0), ("d.bin", "", None, None)], "file STRING, text STRING, low DOUBLE, high DOUBLE")
-    scores = S.technique_scores(F.concat(F.lit("."), F.substring_index("file", ".", -1)), F.col("text"), F.col("low"), F.col("high"))
-    return files.select("file", S.technique(scores).alias("t")).select("file", "t.*")
-
-
-@query("reply_items", """SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'material', 'ZnSe'), (1, 'defect', 'vacancy [V]'), (3, 'material', 'CdTe')) t(id, category, value)""")
-def reply_items(spark: SparkSession, sf: str) -> DataFrame:
-    replies = [(1, 'Sure: [{"category": "Material", "value": " ZnSe "}, {"category": "defect", "value": "vacancy [V]"}, {"category": "colour", "value": "red"}] done'), (2, "no list [here"), (3, '```json\n[{"category": "material", "value": "CdTe"}]\n```')]
-    rows = spark.createDataFrame(replies, "id BIGINT, text STRING")
-    items = F.from_json(S.first_json_array(F.col("text")), "array<struct<category:string,value:string>>")
-    return rows.select("id", F.inline(S.valid_items(items, ("material", "defect"))))
-
-
 @query("spectra", """WITH p AS (SELECT user_id, value, event_id % 50 AS x FROM events WHERE value >= 0) SELECT user_id, count(*) AS points, CAST(min(x) AS DOUBLE) AS low, CAST(max(x) AS DOUBLE) AS high FROM p GROUP BY user_id""")
 def spectra(spark: SparkSession, sf: str) -> DataFrame:
     arrays = load(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.struct((F.col("event_id") % 50).alias("x"), "value")).alias("p"))

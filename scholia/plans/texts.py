@@ -85,18 +85,6 @@ def relevance_scores(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", T.final_score(scores).alias("score")).where(F.col("score") >= T.LEAST_SCORE)
 
 
-@query("section_names", """SELECT * FROM (VALUES ('i_introduction', 'introduction', false), ('growth_of_znse', 'synthesis', false), ('references', 'references', true), ('a_synthesis_and_more', 'synthesis', false), ('one_two_three_four_five_six_seven_eight_nine', 'preamble', false), ('theory', 'theory', false)) t(name, canonical, noise)""")
-def section_names(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(n,) for n in ("i_introduction", "growth_of_znse", "references", "a_synthesis_and_more", "one_two_three_four_five_six_seven_eight_nine", "theory")], "name STRING")
-    return rows.select("name", T.section_name(F.col("name")).alias("canonical"), T.is_noise_section(F.col("name")).alias("noise"))
-
-
-@query("coerced_values", """SELECT * FROM (VALUES ('three', 3.0, NULL), ('1,250.5 kg', 1250.5, NULL), ('yes', NULL, true), ('off', NULL, false), ('none', NULL, NULL)) t(text, number, checkbox)""")
-def coerced_values(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("three",), ("1,250.5 kg",), ("yes",), ("off",), ("none",)], "text STRING")
-    return rows.select("text", T.to_number(F.col("text")).alias("number"), T.to_boolean(F.col("text")).alias("checkbox"))
-
-
 @query("text_measures", r"""SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, CAST(length(text) // 4 AS BIGINT) AS tokens, TRY_CAST(nullif(regexp_extract(text, '\b((?:19|20)\d{2})\b', 1), '') AS INTEGER) AS year FROM documents""")
 def text_measures(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"), T.token_estimate(F.col("text")).alias("tokens"), T.year(F.col("text")).alias("year"))
@@ -122,11 +110,3 @@ def inverted_abstracts(spark: SparkSession, sf: str) -> DataFrame:
     w = load(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("p", "w"))
     index = w.groupBy("doc_id", "w").agg(F.collect_list("p").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "places"))).alias("index"))
     return index.select("doc_id", T.from_inverted_index(F.col("index")).alias("abstract"))
-
-
-@query("query_plans", """WITH m(x, m) AS (VALUES ('ZnSe', 1), ('MoS2', 2)), a(x, a) AS (VALUES ('CVD', 1), ('MBE', 2)), t(x, t) AS (VALUES ('photoluminescence', 1), ('defects', 2)),
-q AS (SELECT 1 AS kind, m, a, t, m.x || ' ' || a.x || ' ' || t.x AS query FROM m, a, t UNION ALL SELECT 2, m, a, 0, m.x || ' ' || a.x FROM m, a UNION ALL SELECT 3, m, 0, t, m.x || ' ' || t.x FROM m, t)
-SELECT row_number() OVER (ORDER BY kind, m, a, t) - 1 AS place, query FROM q QUALIFY place < 12""")
-def query_plans(spark: SparkSession, sf: str) -> DataFrame:
-    made = T.queries(["ZnSe", "MoS2"], ["CVD", "MBE"], ["photoluminescence", "defects"])
-    return spark.createDataFrame(list(enumerate(made)), "place BIGINT, query STRING")

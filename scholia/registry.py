@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("aggregates", "cooccurrence", "ranking", "joining", "merging", "texts", "statistics", "vectors", "structured", "graphs", "reading", "documents", "streams", "papers")
+PLANS = ("aggregates", "cooccurrence", "ranking", "joining", "merging", "texts", "statistics", "vectors", "structured", "graphs", "reading", "documents", "streams", "papers", "records", "rules")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

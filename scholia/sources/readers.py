@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -127,8 +127,9 @@ def pseudopotentials(spark: SparkSession, root: str) -> DataFrame:
 
 def ranked_pseudopotentials(files: DataFrame, species: DataFrame, functional: str = "pbe", kind: str = "us") -> DataFrame:
     """For each species its files, the best first: of the functional asked for, then of the type; species without files have none."""
-    rank = F.struct((F.col("functional") != functional).alias("a"), (F.col("type") != kind).alias("b"), F.col("name").alias("name"))
-    found = files.groupBy(F.lower("element").alias("_e")).agg(F.transform(F.array_sort(F.collect_list(rank)), lambda x: x["name"]).alias("names"))
+    best = Window.partitionBy("_e").orderBy(F.col("functional") != functional, F.col("type") != kind, "name")
+    first = files.select(F.lower("element").alias("_e"), "functional", "type", "name").withColumn("_r", F.row_number().over(best)).where("_r <= 5")
+    found = first.groupBy("_e").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "name"))), lambda x: x["name"]).alias("names"))
     rows = species.join(found, F.lower("symbol") == F.col("_e"), "left")
     return rows.select("symbol", F.get("names", F.lit(0)).alias("recommended"), F.slice("names", 2, 4).alias("alternatives"), F.col("names").isNull().alias("missing"))
 

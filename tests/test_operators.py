@@ -6,6 +6,7 @@ import json
 import os
 import random
 import re
+import time
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -357,6 +358,21 @@ def test_counters_over_several_batches_equal_one(spark, tmp_path):
     assert {r["user_id"]: (r["skips"], r["answers"], r["auto_skips"]) for r in got.collect()} == want
 
 
+def test_sections_of_texts_with_marks_and_of_very_many_headings(spark):
+    """Control characters are text like any other, and a text of thousands of headings takes a moment."""
+    from scholia.functions import papers as P
+
+    odd = "x\u0001junk\u0001y\nabstract\na\u0001b\u0001h\u0001tc\nMethods\n\u0001h"
+    many = "\n".join(f"{('Methods', 'Results', 'Discussion')[i % 3]}\nline {i}" for i in range(9000))
+    rows = spark.createDataFrame([(1, odd), (2, many)], "i INT, t STRING").select("i", P.raw_sections(F.col("t")).alias("r"), P.keyword_sections(F.col("t")).alias("k"))
+    began = time.time()
+    got = {r["i"]: r for r in rows.collect()}
+    assert time.time() - began < 60
+    assert [tuple(x) for x in got[1]["r"]] == [("body", "x\u0001junk\u0001y"), ("abstract", "a\u0001b\u0001h\u0001tc"), ("methods", "\u0001h")]
+    assert [tuple(x) for x in got[1]["k"]] == [("abstract", "a\u0001b\u0001h\u0001tc"), ("methods", "\u0001h")]
+    assert [tuple(x) for x in got[2]["r"]] == [("methods", "line 8997"), ("results", "line 8998"), ("discussion", "line 8999")] == [tuple(x) for x in got[2]["k"]]
+
+
 def test_raw_sections_at_their_edges(spark):
     from scholia.functions import papers as P
 
