@@ -144,5 +144,18 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   (fail_bits & {POLICIES[DEFAULT_POLICY]}) = 0 AS kept, (fail_bits & {POLICIES["v1"]}) = 0 AS kept_v1, CAST(fail_bits AS BIGINT) AS fail_bits FROM b
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
-SQL = {"op2_quality_rules": OP2_SQL}
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy rejects, alone or with others, from the ledger's bits."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
+_OF = POLICIES[DEFAULT_POLICY]
+_EACH = ", ".join(f"('{n}', {1 << i})" for n, i in BITS.items() if _OF >> i & 1)
+ABLATIONS_SQL = f"""
+WITH o AS ({OP2_SQL}), r(rule, bit) AS (VALUES {_EACH})
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & bit <> 0 AND fail_bits & ({_OF} - bit) = 0) AS n_only, count(*) FILTER (fail_bits & ({_OF} - bit) = 0) AS n_kept_without FROM o, r GROUP BY rule
+"""
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "rule_ablations": rule_ablations}
+SQL = {"op2_quality_rules": OP2_SQL, "rule_ablations": ABLATIONS_SQL}
