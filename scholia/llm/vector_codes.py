@@ -5,7 +5,7 @@ fine: for segments of b components with sums S and residual norms R (what is lef
 
     distance >= sum over segments of (S_x - S_c)^2 / b + (R_x - R_c)^2
 
-first with the whole part as one segment, then with halves, then with quarters. At each step the entry with the least bound gets its
+first with the whole part as one segment, then with halves, quarters and eighths. At each step the entry with the least bound gets its
 exact distance, and entries whose bound is above the least exact distance so far are left out; a slack beyond any rounding keeps
 ties in. Survivors get exact integer distances, ties go to the lower index.
 
@@ -33,16 +33,16 @@ from scholia.llm.common import anew, free, stored, table
 
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 #: Segments of a part at each step; those that don't divide a part are left out. Vectors that are compared at a time.
-STEPS, CHUNK = (1, 2, 4), 2048
+STEPS, CHUNK = (1, 2, 4, 8), 2048
 _SLACK, _LONG = 1e-9, (1 << 63) - 1
 
 
-def _segments(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of each row's segments over the root of their length, and norms of what is beside their means."""
+def _features(x: np.ndarray, count: int) -> np.ndarray:
+    """Of each row's segments the sums over the root of their length, and the norms of what is beside their means: their distances are the bounds."""
     s = x.reshape(len(x), count, -1)
     b = s.shape[2]
     sums, squares = s.sum(2), (s * s).sum(2)
-    return sums / np.sqrt(b), np.sqrt((b * squares - sums * sums).astype(np.float64) / b)  # under the root an exact integer
+    return np.hstack([sums / np.sqrt(b), np.sqrt((b * squares - sums * sums).astype(np.float64) / b)])  # under the root an exact integer
 
 
 class Codebook:
@@ -53,7 +53,7 @@ class Codebook:
         self.narrow = self.entries.dtype != object
         self.steps = [c for c in STEPS if entries.shape[1] % c == 0]
         self.norms = (self.entries.astype(np.float64) ** 2).sum(1)
-        self.bounds = [_segments(self.entries, c) for c in self.steps] if self.narrow else []
+        self.features = [_features(self.entries, c) for c in self.steps] if self.narrow else []
         self.computed = 0
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,25 +67,20 @@ class Codebook:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def _nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(x)
-        slack = _SLACK * ((x.astype(np.float64) ** 2).sum(1)[:, None] + self.norms) if n else np.zeros((0, len(self.entries)))
-        least = np.full(n, np.iinfo(np.int64).max)
-        rows = columns = None
-        for step, (sums, rest) in zip(self.steps, self.bounds):
-            s, r = _segments(x, step)
-            if rows is None:
-                bound = ((s[:, None] - sums) ** 2 + (r[:, None] - rest) ** 2)[:, :, 0] - slack
-                rows, columns = np.divmod(np.arange(bound.size), len(self.entries))
-                bound = bound.ravel()
-            else:
-                bound = ((s[rows] - sums[columns]) ** 2 + (r[rows] - rest[columns]) ** 2).sum(1) - slack[rows, columns]
-            first = np.flatnonzero(np.diff(rows, prepend=-1))
-            best = np.flatnonzero(bound == np.repeat(np.minimum.reduceat(bound, first), np.diff(np.append(first, len(rows)))))
-            best = best[np.flatnonzero(np.diff(rows[best], prepend=-1))]
-            least = np.minimum(least, squared(x, self.entries[columns[best]]))
-            self.computed += n
-            going = bound <= least[rows]
-            rows, columns = rows[going], columns[going]
+        least = np.full(len(x), np.iinfo(np.int64).max)
+        left = np.ones((len(x), len(self.entries)), bool)
+        norms = (x.astype(np.float64) ** 2).sum(1)
+        for step, of in zip(self.steps, self.features):
+            rows = np.flatnonzero(left.sum(1) > 1)  # the others have their entry
+            if not len(rows):
+                break
+            own = _features(x[rows], step)
+            bound = (own * own).sum(1)[:, None] + (of * of).sum(1) - 2 * (own @ of.T) - _SLACK * (norms[rows, None] + self.norms)
+            bound[~left[rows]] = np.inf
+            least[rows] = np.minimum(least[rows], squared(x[rows], self.entries[bound.argmin(1)]))
+            self.computed += len(rows)
+            left[rows] = bound <= least[rows, None]
+        rows, columns = np.nonzero(left)
         d = squared(x[rows], self.entries[columns])
         self.computed += len(d)
         first = np.flatnonzero(np.diff(rows, prepend=-1))
