@@ -88,13 +88,15 @@ class Words:
             elif self.easy and _ASCII.fullmatch(w):
                 parts = _ASCII_PATTERN.findall(w.lower())
                 known[w] = b"".join([get(p) or self._part(p, p) for p in parts]) if len(parts) > 1 else get(parts[0]) or self._part(parts[0], parts[0])
-            elif self.easy and len(w.split()) == 1:
+            elif self.easy and w.split() == [w]:
                 hard.append(w)
             else:
                 whole.append(w)  # with white space that is not ASCII, perhaps
-        if hard:
-            text = self.tokenizer.normalizer.normalize_str(" ".join(hard))
-            ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
+        text = self.tokenizer.normalizer.normalize_str(" ".join(hard)) if hard else ""
+        ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
+        if len(ends) != len(hard):  # what the tokenizer takes for white space, and Python doesn't
+            whole += hard
+        else:
             parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
             at = ends.searchsorted(np.array([start for _, (start, _) in parts], np.int64), "right")
             found: list[list[bytes]] = [[] for _ in hard]

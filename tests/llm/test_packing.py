@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -49,7 +49,9 @@ def test_words_are_the_tokenizers(spark, tokenizer, monkeypatch, memory):
 
 
 @given(st.text(max_size=40))
-@settings(max_examples=200, deadline=None)
+@example("\xa00")
+@example("a\u180e0 \u3000b\u2028")
+@settings(max_examples=300, deadline=None)
 def test_words_of_any_text(text):
     assert made(packing.Words.of(PATH), ["a", text, ""])[1] == ids_of(Tokenizer.from_file(PATH), [text])[0]
 
