@@ -9,6 +9,7 @@ from scholia.catalog import load
 from scholia.durable import new_folder
 from scholia.functions import structured as S
 from scholia.registry import query
+from scholia.sources import instruments as I
 from scholia.sources import readers as R
 
 
@@ -46,3 +47,15 @@ def delimiters(spark: SparkSession, sf: str) -> DataFrame:
     cells = F.array(F.col("user_id").cast("string"), F.col("event_type"), F.lit("x"))
     text = F.when(k == 0, F.concat(F.array_join(cells, ","), F.lit("\t"))).when(k == 1, F.concat(F.array_join(cells, "\t"), F.lit(","))).otherwise(F.array_join(cells, "  "))
     return load(spark, sf, "events").select("event_id", S.delimiter(text).alias("delimiter"))
+
+
+@query("instrument_files", """WITH e AS (SELECT vec_id // 200 AS page, floor(abs(CAST(embedding[1] AS DOUBLE)) * 10000) AS y FROM embeddings) SELECT page, 'emsa' AS kind, count(*) AS points, (count(*) - 1) * 0.005 AS last, CAST(sum(y) AS BIGINT) AS total FROM e GROUP BY page""")
+def instrument_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Spectra of up to 200 channels, made of vectors, written as files of an instrument, told by their first bytes and read back."""
+    at = new_folder(spark, "spectra")
+    y = F.floor(F.abs(F.col("embedding")[0].cast("double")) * 10000).cast("string")
+    pages = load(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 200).alias("page"), F.struct("vec_id", y.alias("y")).alias("p")).groupBy("page").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["y"]).alias("y"))
+    pages.select("page", F.concat(F.lit("#FORMAT : EMSA\n#EVCHANNEL : 5.0\n#SPECTRUM\n"), F.array_join("y", "\n"), F.lit("\n#ENDOFDATA")).alias("value")).write.partitionBy("page").text(at)
+    found = I.spectra(spark, at, "*.txt").withColumn("page", F.regexp_extract("file", r"page=(\d+)", 1).cast("long"))
+    total = F.aggregate("intensity", F.lit(0.0), lambda a, v: a + v).cast("long")
+    return found.select("page", "kind", F.size("intensity").cast("long").alias("points"), F.element_at("axis", -1).alias("last"), total.alias("total"))
