@@ -37,7 +37,7 @@ from scholia.llm.common import stored, table
 
 CAPACITY, END = 4096, 1
 #: Bytes of an output batch, bytes of text that are taken at a time, bytes of words that a task remembers, and a word's beside its letters.
-BATCH_BYTES, STRETCH, MEMORY, ENTRY = 8 << 20, 16 << 20, 320 << 20, 200
+BATCH_BYTES, STRETCH, MEMORY, ENTRY = 8 << 20, 8 << 20, 256 << 20, 200
 _BLANK = re.compile(r"[ \t\n\r\f\v]")
 #: Fixed value: how the tokenizer whose file has this pattern parts words. For visible ASCII in lower case the shorter one is the same.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
