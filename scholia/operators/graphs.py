@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.durable import cut, new_folder
+from scholia.durable import free, new_folder, stored
 
 DONE = ("approved", "integrated")
 
@@ -45,8 +45,8 @@ def levels_and_rounds(nodes: DataFrame, key: str, depends: str) -> tuple[DataFra
     spark = nodes.sparkSession
     at = new_folder(spark, "levels")
     edges = nodes.select(F.col(key).alias("node"), F.explode(F.array_distinct(depends)).alias("on")).distinct()
-    edges = cut(edges.select("node", "on", F.lit(1).cast("long").alias("length"), F.lit(1).cast("long").alias("least")))
-    now = cut(nodes.select(F.col(key).alias("node")).distinct().join(edges.select("node"), "node", "left_anti").withColumn("level", F.lit(1).cast("long")))
+    edges = stored(edges.select("node", "on", F.lit(1).cast("long").alias("length"), F.lit(1).cast("long").alias("least")))
+    now = stored(nodes.select(F.col(key).alias("node")).distinct().join(edges.select("node"), "node", "left_anti").withColumn("level", F.lit(1).cast("long")))
     kind = now.schema["node"].dataType.simpleString()
     rounds, of = 0, Window.partitionBy("node")
     while not now.isEmpty():
@@ -54,8 +54,9 @@ def levels_and_rounds(nodes: DataFrame, key: str, depends: str) -> tuple[DataFra
         rounds += 1
         met = edges.join(now.select(F.col("node").alias("on"), "level"), "on", "left")
         met = met.withColumn("least", F.max(F.greatest("least", F.coalesce(F.col("level") + F.col("length"), F.lit(0)))).over(of)).withColumn("open", F.count_if(F.col("level").isNull()).over(of))
-        met = cut(met)
-        now = cut(met.where("open = 0").select("node", F.col("least").alias("level")).distinct())
+        met = stored(met)
+        free(edges, now)
+        now = stored(met.where("open = 0").select("node", F.col("least").alias("level")).distinct())
         open_ = met.where("level IS NULL")
         single = open_.where("open = 1 AND node <> on").select(F.col("node").alias("on"), F.col("on").alias("_on"), F.col("length").alias("_length"), F.col("least").alias("_least"))
         passed = F.col("_length").isNotNull()
@@ -65,7 +66,9 @@ def levels_and_rounds(nodes: DataFrame, key: str, depends: str) -> tuple[DataFra
             F.least(F.col("length") + F.coalesce("_length", F.lit(0)), F.lit(FAR)).alias("length"),
             F.least(F.greatest("least", F.col("_least") + F.col("length")), F.lit(FAR)).alias("least"),
         )
-        edges = cut(jumped.groupBy("node", "on").agg(F.max("length").alias("length"), F.max("least").alias("least")))
+        edges = stored(jumped.groupBy("node", "on").agg(F.max("length").alias("length"), F.max("least").alias("least")))
+        free(met)
+    free(edges, now)
     found = spark.read.schema(f"node {kind}, level int").parquet(at) if rounds else spark.createDataFrame([], f"node {kind}, level int")
     return found.withColumnRenamed("node", key), rounds
 

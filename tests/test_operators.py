@@ -207,7 +207,7 @@ def test_paths_double(spark):
     chain = spark.range(10_000).select("id", F.expr("CASE WHEN id = 0 THEN array() ELSE array(id - 1) END").alias("d"))
     found, rounds = G.levels_and_rounds(chain, "id", "d")
     assert rounds < 20 and found.where("level <> id + 1").count() == 0 and found.count() == 10_000
-    tree = spark.range(1, 1000).select("id", F.expr("CASE WHEN id = 1 THEN array() ELSE array(id div 2) END").alias("d"))
+    tree = spark.range(1, 128).select("id", F.expr("CASE WHEN id = 1 THEN array() ELSE array(id div 2) END").alias("d"))
     found, rounds = G.levels_and_rounds(tree, "id", "d")
     assert rounds < 7 and found.where("level <> length(bin(id))").count() == 0
 
