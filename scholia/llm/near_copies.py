@@ -1,15 +1,21 @@
 """Near copies by words: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least LEAST.
 
-The fingerprints of `simhash` can't carry this: at a similarity of 0.8 two of them differ by some 10 of 64 bits, a radius at
-which a vantage-point tree leaves out nothing. So candidates are texts that share one of BANDS bands of ROWS MinHash values: a
-pair at a similarity of s shares none with a chance of (1 - s^4)^32, which is 5e-8 at 0.8. Candidates are then compared on the
-sets of shingles themselves, as 64-bit hashes, so no pair below LEAST is linked. Texts of equal sets are merged first.
-
-A dense group never emits its pairs. First each band's members are compared to one of them, that whose own bands have the most
-members in all, which is the text that most of a group were made from; so a group of copies costs a row for each. What is left
-are bands whose other members are not all linked to one pivot: these meet in blocks of bounded size, each pair of blocks
-in a task of its own, where all overlaps come from a product of incidence matrices, and only a spanning forest leaves the task. A member
-of such a band goes to as many tasks as the band has blocks, with its hashes: G members of n shingles are G * (G * (n + EACH) / BLOCK) rows.
+The method is that of `simhash`: fingerprints are searched by its vantage-point trees, shard by shard. Its 64 bits and radius of 3 can't
+carry a similarity of 0.8, at which two fingerprints differ in 15 % of their bits (19 % for sets of 4 and 5 shingles, at most 16 % for
+greater ones). So fingerprints have 256 bits here, and candidates differ in RADIUS of them at most, and in HALF of the first 128: a pair
+at 0.8 is missed with a chance of some 3e-8 (1e-5 for 4 and 5 shingles), and of unrelated texts 3e-11 are candidates. Such a radius
+leaves nothing out by fingerprints alone, for those of unrelated texts are all about 128 bits apart. But sets so near have sizes in a
+proportion of LEAST to 1 / LEAST, so the distance is the greater one of that of the fingerprints and that of the sizes, on a logarithmic
+scale; by it the trees do leave out what is longer or shorter. What is left of all pairs, at least a seventh on the test table, is
+compared: the work grows with the square of the number of texts.
+
+Candidates are then compared on the sets of shingles themselves, as 64-bit hashes, so no pair below LEAST is linked. Texts of equal
+sets are merged first. A dense group never emits its pairs: the search returns a spanning forest of the candidates, whose components are
+the groups in which links can be. First each group's members are compared to one of them, that with the most and nearest candidates,
+which is the text that most of a group were made from; so a group of copies costs a row for each. Members that the pivot doesn't join
+meet all others in blocks of bounded size, each pair of blocks in a task of its own, where all overlaps come from a product of incidence
+matrices, and only a spanning forest leaves the task. Such a member goes to as many tasks as the group has blocks, with its hashes, and
+one that the pivot joins to as many as the others have: U of G members of n shingles are about 2 * U * G * (n + EACH) / BLOCK rows.
 
 Words and texts are those of `simhash`: bytes in lower case between ASCII white space, null counting as empty. A text of under
 five words is one shingle, texts without words are equal. Rows repeated, or with null ids, are rows like any other; ids are of any type
@@ -18,24 +24,31 @@ that has an order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from scholia.llm.common import anew, components, cut
-from scholia.llm.simhash import Forest
+from scholia.llm import simhash
+from scholia.llm.common import Forest, anew, components, cut
 
 SEED, WORDS, LEAST = 42, 5, 0.8
-BANDS, ROWS, STEP = 32, 4, 4096
+#: Longs of a fingerprint, and hashes whose bits are added up at once (as bytes).
+LONGS, STEP = 4, 255
+#: Bits in which fingerprints of candidates differ at most, in all and in the first half, and the fewest shingles of a set that can have near ones.
+RADIUS, HALF, FEWEST = 76, 48, 4
+#: A length's logarithm on the scale of the distance: sizes in a proportion of LEAST are RADIUS apart, or less.
+SCALE = (RADIUS - 1) / -math.log(LEAST)
+#: Pairs that are compared at once, and links that a task collects before it joins them.
+PAIRS, LINKS = 1 << 16, 1 << 20
+#: Edges that one task joins up, instead of rounds of many.
+FEW = 1 << 16
 #: Shingles of a block of sets that are compared with each other, what a set counts beside its own, and shingles of a step of that.
 BLOCK, EACH, WIDTH = 1 << 18, 256, 4096
-_rng = np.random.default_rng(7)
-_TIMES = _rng.integers(0, 1 << 31, (BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 
 
 def shingles(text: str | None) -> list[bytes]:
@@ -53,26 +66,88 @@ def hashes(text: str | None) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxh64_digest(s, SEED) for s in set(shingles(text))]), ">u8").astype(np.uint64))
 
 
-def sketch(text: str | None) -> tuple[int, int, np.ndarray]:
-    """A hash of a text's set of shingles, the set's size, and a key for each band."""
+def fingerprint(x: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes, of LONGS words of 64 bits: a bit is set if over half of the set have it. A word's bits are those of
+    the hashes mixed anew (splitmix64)."""
+    ones = np.zeros(64 * LONGS, np.int64)
+    for i in range(0, len(x), STEP):
+        z = x[i : i + STEP, None] + np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(x)).view(np.uint64)
+
+
+def sketch(text: str | None) -> tuple[int, int, int, np.ndarray]:
+    """A hash of a text's set of shingles, the set's size, that as a coordinate, and its fingerprint."""
     x = hashes(text)
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    half = (x >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(half), STEP):
-        np.minimum(low, (_TIMES * half[i : i + STEP] + _PLUS).min(1), out=low)
-    of = low.tobytes()
-    keys = [xxh64_intdigest(of[i * 4 * ROWS : (i + 1) * 4 * ROWS], i) for i in range(BANDS)]
-    return xxh64_intdigest(x.tobytes(), SEED), len(x), np.array(keys, np.uint64).view(np.int64)
+    return xxh64_intdigest(x.tobytes(), SEED), len(x), int(SCALE * math.log(max(len(x), 1))), fingerprint(x)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [sketch(t) for t in b.column(2).to_pylist()]
         u = np.array([f[0] for f in found], np.uint64).view(np.int64)
-        n = np.array([f[1] for f in found], np.int64)
-        keys = np.concatenate([f[2] for f in found]) if found else np.empty(0, np.int64)
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(u), pa.array(n), bands], ["doc_id", "key", "u", "n", "bands"])
+        n, s = (np.array([f[i] for f in found], np.int64) for i in (1, 2))
+        bits = np.array([f[3] for f in found], np.uint64).reshape(-1, LONGS).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(u), pa.array(n), pa.array(s), *(pa.array(c.copy()) for c in bits.T)], ["doc_id", "key", "u", "n", *Sets.columns[1:]])
+
+
+class Sets(simhash.Bits):
+    """Sets by fingerprint and size: points are rows of u, s (the size's coordinate) and the fingerprint's words. A distance is that of the fingerprints or of the
+    sizes, the greater one; both have the triangle inequality, so it has it too."""
+
+    columns, out, leaf = ("u", "s", *(f"f{i}" for i in range(LONGS))), ("a", "b", "w"), 256
+
+    @staticmethod
+    def points(columns: list[np.ndarray]) -> np.ndarray:
+        return np.stack([c.astype(np.int64) for c in columns], 1).view(np.uint64)
+
+    @staticmethod
+    def longs(x: np.ndarray) -> list[np.ndarray]:
+        return [c.copy() for c in x.view(np.int64).T]
+
+    @staticmethod
+    def distance(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        apart = np.abs(x[:, 1].view(np.int64) - v[..., 1].astype(np.int64))
+        return np.maximum(np.bitwise_count(x[:, 2:] ^ v[..., 2:]).sum(1, dtype=np.int64), apart)
+
+    @staticmethod
+    def link(held: np.ndarray, asked: np.ndarray, radius: int, among: bool) -> list[np.ndarray]:
+        """(a, b, 0) of a spanning forest of the candidates, and (a, a, w) of each set that has some: w is the greater, the more and the nearer they are."""
+        x = np.concatenate([held, asked])
+        forest, weight = Forest(len(x)), np.zeros(len(x), np.int64)
+        wait: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            if wait:
+                forest.join(*map(np.concatenate, zip(*wait)))
+                wait.clear()
+
+        for own, ask in simhash.leaves(x, len(held), radius, among, Sets):
+            y, step = [c.copy() for c in x[own].T], max(1, PAIRS // len(own))
+            for i in range(0, len(ask), step):
+                part = ask[i : i + step]
+                z = [c.copy()[:, None] for c in x[part].T]
+                half = np.bitwise_count(z[2] ^ y[2])
+                for c in range(3, 2 + LONGS // 2):
+                    half += np.bitwise_count(z[c] ^ y[c])
+                at = np.flatnonzero(half <= HALF)
+                if not len(at):
+                    continue
+                a, b = part[at // len(own)], own[at % len(own)]
+                a, b = a[a > b], b[a > b]  # each pair once: what only asks has the higher places
+                d = Sets.distance(x[a], x[b])
+                a, b, d = a[d <= radius], b[d <= radius], d[d <= radius]
+                if len(a):
+                    weight += np.bincount(np.concatenate([a, b]), np.tile(radius + 1 - d, 2), len(x)).astype(np.int64)
+                    wait.append((a, b))
+                    if sum(len(w[0]) for w in wait) >= LINKS:
+                        flush()
+        flush()
+        u, apart, some = x[:, 0].view(np.int64), np.flatnonzero(forest.root != np.arange(len(x))), np.flatnonzero(weight)
+        return [np.concatenate(c) for c in ((u[apart], u[some]), (u[forest.root[apart]], u[some]), (np.zeros(len(apart), np.int64), weight[some]))]
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +170,10 @@ def _arrays(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            x, y = _arrays(b.column(3)), _arrays(b.column(4))
+            x, y = _arrays(b.column(2)), _arrays(b.column(3))
             both = np.array([len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)])
             good = _near(np.array(list(map(len, x))), np.array(list(map(len, y))), both)
-            yield b.select(["a", "b", "w"]).filter(pa.array(good))
+            yield b.select(["a", "b"]).filter(pa.array(good))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -134,29 +209,36 @@ def _compare(group: pa.Table) -> pa.Table:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """k, i, j, u, root: the members (k, u, n, root) of each band dealt to blocks, for each pair of blocks that they take part in."""
-    count = members.groupBy("k").agg(F.ceil(F.sum(F.col("n") + EACH) / BLOCK).cast("int").alias("blocks")).withColumn("_k", anew("k")).drop("k")
-    dealt = members.join(count, F.col("k") == F.col("_k")).withColumn("own", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
-    other = dealt.select("k", "u", "root", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("own <> other OR blocks = 1")
+    """k, i, j, u, root: the members (k, u, n, root) of each group dealt to blocks, for each pair of blocks that they take part in.
+
+    Members that the group's pivot joins are not compared with each other again: their blocks only meet those of the others.
+    """
+    members = members.withColumn("free", F.col("root") == F.col("u"))
+    blocks = lambda c: F.coalesce(F.ceil(F.sum(F.when(c, F.col("n") + EACH)) / BLOCK).cast("int"), F.lit(0))
+    count = members.groupBy("k").agg(blocks(F.col("free")).alias("o"), blocks(~F.col("free")).alias("l")).withColumn("_k", anew("k")).drop("k")
+    dealt = members.join(count, F.col("k") == F.col("_k"))
+    dealt = dealt.withColumn("own", F.when(F.col("free"), F.pmod(F.xxhash64("u"), F.col("o"))).otherwise(F.col("o") + F.pmod(F.xxhash64("u"), F.col("l"))).cast("int"))
+    last = F.when(F.col("free"), F.col("o") + F.col("l")).otherwise(F.col("o")) - 1
+    other = dealt.select("k", "u", "root", "own", "o", "l", F.explode(F.sequence(F.lit(0), last)).alias("other")).where("own <> other OR o + l = 1")
     return other.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "u", "root")
 
 
 def _by_pivot(sets: DataFrame) -> DataFrame:
-    """k, u, n, pivot, m, w: the members of each band of several sets but its pivot, and the pivot, with both sizes and the pivot's weight."""
-    rows = sets.where("n > 0").select("u", "n", F.explode("bands").alias("k"))
-    several = rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select(anew("k").alias("_k"), "c")
-    rows = rows.join(several, F.col("k") == F.col("_k")).drop("_k")
-    rows = rows.withColumn("weight", F.sum("c").over(Window.partitionBy("u")))  # a set has BANDS rows
-    pivots = rows.groupBy("k").agg(F.max(F.struct("weight", "u", "n")).alias("p")).select(anew("k").alias("_k"), F.col("p.u").alias("pivot"), F.col("p.n").alias("m"), F.col("p.weight").alias("w"))
-    return rows.join(pivots, F.col("k") == F.col("_k")).where("u <> pivot").select("k", "u", "n", "pivot", "m", "w")
+    """k, u, n, pivot, m: the members of each group of candidates but its pivot, and the pivot, with both sizes."""
+    found = cut(simhash.links(sets.where(F.col("n") >= FEWEST), RADIUS, Sets))
+    weights = found.where("a = b").groupBy("a").agg(F.sum("w").alias("weight"))
+    groups = components(found.where("a <> b").select("a", "b"), few=FEW).select("node", F.col("root").alias("k"))
+    rows = cut(groups.join(weights, F.col("node") == F.col("a")).join(sets.select("u", "n"), F.col("node") == F.col("u")).select("k", "u", "n", "weight"))
+    pivots = rows.groupBy("k").agg(F.max(F.struct("weight", "u", "n")).alias("p")).select(anew("k").alias("_k"), F.col("p.u").alias("pivot"), F.col("p.n").alias("m"))
+    return rows.join(pivots, F.col("k") == F.col("_k")).where("u <> pivot").select("k", "u", "n", "pivot", "m")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), root (a set of the component), component_id (its least doc_id): one row per input row."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_sketches, f"doc_id {kind}, key long, u long, n long, bands array<long>"))
-    sets = cut(prints.groupBy("u").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("one"), F.min("doc_id").alias("low"), F.first("bands").alias("bands")))
+    prints = cut(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_sketches, f"doc_id {kind}, key long, u long, n long, {', '.join(f'{c} long' for c in Sets.columns[1:])}"))
+    sets = cut(prints.groupBy("u").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("one"), F.min("doc_id").alias("low"), *(F.min(c).alias(c) for c in Sets.columns[1:])))
     rows = cut(_by_pivot(sets))
     wanted = rows.select(F.explode(F.array("u", "pivot")).alias("u")).distinct()
     # one row of each set is read again, by its id, so that a text that many rows hold is no hot key
@@ -164,18 +246,18 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).select("u", "text").mapInArrow(_hashed, "u long, x array<long>")
     found = cut(texts.groupBy("u").agg(F.first("x").alias("x")))
     close = F.least("n", "m") >= F.greatest("n", "m") * LEAST - 1e-6
-    pairs = rows.where(close).select(F.col("pivot").alias("a"), F.col("u").alias("b"), "w").distinct()
+    pairs = rows.where(close).select(F.col("pivot").alias("a"), F.col("u").alias("b"))
     side = lambda s: found.select(F.col("u").alias(s), F.col("x").alias(f"x{s}"))
-    edges = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "w", "xa", "xb").mapInArrow(_verified, "a long, b long, w long"))
-    # what was not compared yet: in each band, members other than its pivot that are not linked to one and the same pivot, the heaviest each has
-    heads = edges.groupBy("b").agg(F.max(F.struct("w", "a")).alias("p")).select(anew("b").alias("_u"), F.col("p.a").alias("root"))
+    edges = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_verified, "a long, b long"))
+    # what was not compared yet: in each group, members other than its pivot, if that doesn't join all of them
+    heads = edges.select(anew("b").alias("_u"), F.col("a").alias("root"))
     rows = cut(rows.join(heads, F.col("u") == F.col("_u"), "left").select("k", "u", "n", F.coalesce("root", "u").alias("root")))
-    open_ = rows.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("u")).alias("h")).where("low <> high")
-    open_ = open_.groupBy("c", "h").agg(F.min("k").alias("_k")).select("_k")  # bands with the same members count once
+    open_ = rows.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(anew("k").alias("_k"))
     blocks = _blocks(rows.join(open_, F.col("k") == F.col("_k")).drop("_k")).join(found, "u").select("k", "i", "j", "u", "root", "x")
     more = blocks.groupBy("k", "i", "j").applyInArrow(_compare, "a long, b long")
-    roots = components(edges.select("a", "b").unionByName(more))
-    linked = sets.join(roots, sets["u"] == roots["node"], "left").select("u", "low", F.coalesce("root", "u").alias("root"))
+    roots = components(more, few=FEW).select(F.col("node"), F.col("root").alias("r"))
+    linked = sets.join(heads, F.col("u") == F.col("_u"), "left").select("u", "low", F.coalesce("root", "u").alias("of"))
+    linked = linked.join(roots, F.col("of") == F.col("node"), "left").select("u", "low", F.coalesce("r", "of").alias("root"))
     low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     of = linked.join(low, "root").select(anew("u").alias("_u"), "root", "component_id")
     return prints.select("doc_id", "key", "u").join(of, F.col("u") == F.col("_u"), "left").select("doc_id", "key", "root", "component_id")

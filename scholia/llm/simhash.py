@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from scholia.llm.common import anew, components, cut, table
+from scholia.llm.common import Forest, anew, components, cut, table
 
 SEED, WORDS, RADIUS = 42, 3, 3
 SAMPLE, SPREAD, LEAF, BLOCK, CHUNK = 16_384, 16, 48, 1 << 21, 1 << 19
@@ -67,41 +67,42 @@ def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
 # A tree is a leaf's number, or (vantage point, distance, inner tree, outer tree).
 
 
-def _split(x: np.ndarray, rng: np.random.Generator, radius: int) -> tuple[np.uint64, int] | None:
+def _split(x: np.ndarray, rng: np.random.Generator, radius: int, space: type[Bits]) -> tuple[np.ndarray, int] | None:
     """A vantage point of x and a distance that leave the least to search, with a tenth of x on each side; None if x can't be parted."""
     best = None
     for v in x[rng.permutation(len(x))[:8]]:
-        n = np.bincount(distance(x, v), minlength=66).cumsum() / len(x)
-        for mu in range(64):
-            inner = n[mu]
-            if 0.1 <= inner <= 0.9:
-                reach_in, reach_out = n[min(mu + radius, 65)], 1 - (n[mu - radius] if mu >= radius else 0)
-                cost = inner * reach_in + (1 - inner) * reach_out
-                if best is None or cost < best[0]:
-                    best = cost, v, mu
+        n = np.bincount(space.distance(x, v)).cumsum() / len(x)
+        mu = np.flatnonzero((n >= 0.1) & (n <= 0.9))
+        if len(mu):
+            inner, reach_in = n[mu], n[np.minimum(mu + radius, len(n) - 1)]
+            reach_out = 1 - np.where(mu >= radius, n[np.maximum(mu - radius, 0)], 0)
+            cost = inner * reach_in + (1 - inner) * reach_out
+            i = int(cost.argmin())
+            if best is None or cost[i] < best[0]:
+                best = cost[i], v, int(mu[i])
     return best and best[1:]
 
 
-def build(sample: np.ndarray, leaf: float, radius: int = RADIUS):
+def build(sample: np.ndarray, leaf: float, radius: int = RADIUS, space: type[Bits] | None = None):
     """A tree over the sample whose leaves hold at most about `leaf` of it, and their number."""
-    rng, count = np.random.default_rng(7), 0
+    rng, count, space = np.random.default_rng(7), 0, space or Bits
 
     def grow(x: np.ndarray):
         nonlocal count
-        found = _split(x, rng, radius) if len(x) > leaf else None
+        found = _split(x, rng, radius, space) if len(x) > leaf else None
         if not found:
             count += 1
             return count - 1
         v, mu = found
-        inside = distance(x, v) <= mu
+        inside = space.distance(x, v) <= mu
         return v, mu, grow(x[inside]), grow(x[~inside])
 
     return grow(sample), count
 
 
-def route(tree, x: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def route(tree, x: np.ndarray, radius: int = RADIUS, space: type[Bits] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each leaf that x reach: its number, the places in x, and whether the leaf is their own."""
-    todo = [(tree, np.arange(len(x)), np.ones(len(x), bool))]
+    todo, space = [(tree, np.arange(len(x)), np.ones(len(x), bool))], space or Bits
     while todo:
         node, at, own = todo.pop()
         if not len(at):
@@ -110,46 +111,23 @@ def route(tree, x: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, np.n
             yield node, at, own
             continue
         v, mu, inner, outer = node
-        d = distance(x[at], v).astype(np.int64)
+        d = space.distance(x[at], v).astype(np.int64)
         i, o = d <= mu + radius, d > mu - radius
         todo += [(inner, at[i], own[i] & (d[i] <= mu)), (outer, at[o], own[o] & (d[o] > mu))]
 
 
-class Forest:
-    """Union-find over numbers below n, fed with arrays of pairs."""
-
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.root[a], self.root[b]
-            new = a != b
-            a, b = a[new], b[new]
-            if not len(a):
-                return
-            high, low = np.maximum(a, b), np.minimum(a, b)
-            np.minimum.at(self.root, high, low)
-            while True:
-                up = self.root[self.root]
-                if np.array_equal(up, self.root):
-                    break
-                self.root = up
-
-
-def link(held: np.ndarray, asked: np.ndarray, radius: int = RADIUS, among: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of all links between asked and held, and among held, if those are asked for: pairs of fingerprints."""
-    x = np.concatenate([held, asked])
-    forest, rng = Forest(len(x)), np.random.default_rng(7)
-    todo = [(np.arange(len(held)), np.arange(0 if among else len(held), len(x)))]
+def leaves(x: np.ndarray, held: int, radius: int, among: bool, space: type[Bits]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The first `held` of x, parted by a vantage-point tree: for each of its leaves their places, and those of all that reach it."""
+    rng = np.random.default_rng(7)
+    todo = [(np.arange(held), np.arange(0 if among else held, len(x)))]
     while todo:
         own, ask = todo.pop()
         if not len(own) or not len(ask):
             continue
         found = None
-        if len(own) > LEAF:
+        if len(own) > space.leaf:
             v = x[own[rng.integers(len(own))]]
-            d = distance(x[own], v).astype(np.int64)
+            d = space.distance(x[own], v).astype(np.int64)
             mu = int(np.median(d))
             if d.max() == mu:
                 mu -= 1
@@ -157,9 +135,17 @@ def link(held: np.ndarray, asked: np.ndarray, radius: int = RADIUS, among: bool
                 found = v, d, mu
         if found:
             v, d, mu = found
-            e = distance(x[ask], v).astype(np.int64)
+            e = space.distance(x[ask], v).astype(np.int64)
             todo += [(own[d <= mu], ask[e <= mu + radius]), (own[d > mu], ask[e > mu - radius])]
             continue
+        yield own, ask
+
+
+def link(held: np.ndarray, asked: np.ndarray, radius: int = RADIUS, among: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all links between asked and held, and among held, if those are asked for: pairs of fingerprints."""
+    x = np.concatenate([held, asked])
+    forest = Forest(len(x))
+    for own, ask in leaves(x, len(held), radius, among, Bits):
         step = max(1, BLOCK // len(own))
         for i in range(0, len(ask), step):
             part = ask[i : i + step]
@@ -169,46 +155,70 @@ def link(held: np.ndarray, asked: np.ndarray, radius: int = RADIUS, among: bool
     return x[apart], x[forest.root[apart]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fingerprints (column fp, long) within the radius."""
+class Bits:
+    """The space that a tree parts: its columns, all longs, as an array of points and back; distances; and what is found in a shard."""
+
+    columns, out, leaf = ("fp",), ("a", "b"), LEAF
+    distance = staticmethod(distance)
+
+    @staticmethod
+    def points(columns: list[np.ndarray]) -> np.ndarray:
+        return columns[0].astype(np.int64).view(np.uint64)
+
+    @staticmethod
+    def longs(x: np.ndarray) -> list[np.ndarray]:
+        return [x.view(np.int64)]
+
+    @staticmethod
+    def link(held: np.ndarray, asked: np.ndarray, radius: int, among: bool) -> list[np.ndarray]:
+        return [x.view(np.int64) for x in link(held, asked, radius, among)]
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, space: type[Bits] = Bits) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of distinct points (fingerprints: column fp, long) within the radius."""
     n = distinct.count()
     shards = max(1, math.ceil(math.sqrt(n) / SPREAD))  # a fingerprint is sent to more shards the more there are: few large ones
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, 8 * shards)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree, _ = build(sample, len(sample) / shards, radius)
+    first, names, wanted = F.xxhash64(space.columns[0]), list(space.columns), max(SAMPLE, 8 * shards)
+    # those of the least hashes; the first condition leaves about twice as many, so that the tasks don't send as many each
+    few = distinct.select(names).where(first <= F.lit(min((1 << 63) - 1, -(1 << 63) + (wanted << 65) // max(n, 1))))
+    sample = few.orderBy(first, space.columns[0]).limit(wanted).toArrow()
+    sample = space.points([sample.column(c).to_numpy() for c in names])
+    tree, _ = build(sample, len(sample) / shards, radius, space)
+    none = sample[:0].copy()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            found = list(route(tree, x, radius))
+            x = space.points([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            found = list(route(tree, x, radius, space))
             home = np.zeros(len(x), np.int64)
             for leaf, at, own in found:
                 home[at[own]] = leaf
             for leaf, at, own in found:
                 keep = own | (leaf > home[at])
                 at, own = at[keep], own[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int32)), pa.array(x[at].view(np.int64)), pa.array(own)], ["shard", "fp", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int32)), pa.array(own), *map(pa.array, space.longs(x[at]))], ["shard", "own", *names])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, asked, among = None, [], [], True
 
         def linked() -> pa.RecordBatch:
             nonlocal held, asked, among
-            held = [np.concatenate([*held, np.empty(0, np.uint64)])]
-            a, b = link(held[0], np.concatenate([*asked, np.empty(0, np.uint64)]), radius, among)
+            held = [np.concatenate([*held, none])]
+            found = space.link(held[0], np.concatenate([*asked, none]), radius, among)
             asked, among = [], False
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], list(space.out))
 
         for batch in batches:
-            names, x, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            x, own = x.astype(np.int64).view(np.uint64), own.astype(bool)
-            cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
-            for i, j in zip([0, *cuts], [*cuts, len(names)]):
+            of, own, *x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x, own = space.points(x), own.astype(bool)
+            cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(of)]):
                 if i == j:
                     continue
-                if names[i] != shard:
+                if of[i] != shard:
                     if shard is not None:
                         yield linked()
-                    shard, held, asked, among = names[i], [], [], True
+                    shard, held, asked, among = of[i], [], [], True
                 held.append(x[i:j][own[i:j]])  # all of a shard's own come before its queries
                 asked.append(x[i:j][~own[i:j]])
                 if sum(map(len, asked)) >= CHUNK:
@@ -216,8 +226,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if shard is not None:
             yield linked()
 
-    dealt = distinct.select("fp").mapInArrow(send, "shard int, fp long, own boolean").repartition("shard").sortWithinPartitions("shard", F.desc("own"))
-    return dealt.mapInArrow(search, "a long, b long")
+    longs = lambda of: ", ".join(f"{c} long" for c in of)
+    dealt = distinct.select(names).mapInArrow(send, f"shard int, own boolean, {longs(names)}").repartition("shard").sortWithinPartitions("shard", F.desc("own"))
+    return dealt.mapInArrow(search, longs(space.out))
 
 
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

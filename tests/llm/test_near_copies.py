@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.llm import near_copies
+from scholia.llm import near_copies, simhash
 from scholia.llm.common import table
 from tests.conftest import SF
 from tests.llm.conftest import DOCS, words
@@ -75,3 +76,65 @@ def test_ids_of_any_type(spark, docs, kind):
     assert groups(found) == groups(near_copies.classes(docs))
     kept = near_copies.dedup(docs.withColumn("doc_id", F.col("doc_id").cast(kind)))
     assert kept.schema["doc_id"].dataType.simpleString() == kind and kept.count() == found.select("root").distinct().count()
+
+
+def test_stage_searches_fingerprints_by_the_trees(spark, monkeypatch):
+    """The stage's candidates are those of operator 8's trees, and without them nothing is linked."""
+    asked, links = [], simhash.links
+    base = words(11, 80).split()
+    rows = [(1, " ".join(base), "en", "s", 0), (2, " ".join([*base[:40], "other", *base[41:]]), "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(simhash, "links", lambda sets, *more: asked.append(sets.columns) or links(sets, *more))
+    assert corpus_pipeline.near_duplicates(spark, df, SF).count() == 1 and len(asked) == 1 and "f0" in asked[0]
+    monkeypatch.setattr(simhash, "links", lambda sets, *more: links(sets.limit(0), *more))
+    assert corpus_pipeline.near_duplicates(spark, df, SF).count() == 2
+
+
+def test_pairs_at_the_threshold_are_candidates():
+    rng = np.random.default_rng(3)
+    for n, more, fewer in [(4, 1, 0), (5, 1, 0), (9, 1, 1), (12, 3, 0), (45, 5, 5), (100, 25, 0), (450, 50, 50)] * 100:
+        x = rng.integers(0, 1 << 63, n + more, np.uint64)
+        a, b = x[:n], x[fewer:]
+        assert (n - fewer) / (n + more) >= near_copies.LEAST
+        p, q = (np.concatenate([[0, int(near_copies.SCALE * np.log(len(s)))], near_copies.fingerprint(s)]).astype(np.uint64) for s in (a, b))
+        assert near_copies.Sets.distance(p[None], q)[0] <= near_copies.RADIUS and np.bitwise_count(p[2:4] ^ q[2:4]).sum() <= near_copies.HALF
+
+
+def test_trees_find_all_candidates(spark, monkeypatch):
+    """Several shards and chunks against all pairs: components, and weights that count each pair once."""
+    rng, n = np.random.default_rng(5), 600
+    x = np.concatenate([np.arange(n)[:, None], (near_copies.SCALE * rng.normal(5, 1, (n, 1)).clip(1)).astype(int), rng.integers(-(1 << 63), 1 << 63, (n, 4))], 1)
+    for i in range(0, 300, 3):  # near and not so near ones, and chains of them
+        for j in (1, 2):
+            x[i + j, 1:] = x[i + j - 1, 1:]
+            x[i + j, 1] += rng.integers(0, 90)
+            for bit in rng.choice(256, rng.integers(20, 90), replace=False):
+                x[i + j, 2 + bit // 64] ^= (np.uint64(1) << np.uint64(bit % 64)).view(np.int64)
+    monkeypatch.setattr(simhash, "SPREAD", n**0.5 / 6)
+    monkeypatch.setattr(simhash, "CHUNK", 100)
+    monkeypatch.setattr(near_copies.Sets, "leaf", 20)
+    found = simhash.links(spark.createDataFrame(x.tolist(), list(near_copies.Sets.columns)), near_copies.RADIUS, near_copies.Sets).collect()
+    p, root, weight = x.view(np.uint64), list(range(n)), Counter()
+    for i in range(n):
+        d = near_copies.Sets.distance(p[:i], p[i])
+        for j in np.flatnonzero((d <= near_copies.RADIUS) & (np.bitwise_count(p[:i, 2:4] ^ p[i, 2:4]).sum(1) <= near_copies.HALF)):
+            root = [root[j] if r == root[i] else r for r in root]
+            weight += {int(k): int(near_copies.RADIUS + 1 - d[j]) for k in (i, j)}
+    got, sums = list(range(n)), Counter()
+    for r in found:
+        sums[r["a"]] += r["w"] if r["a"] == r["b"] else 0
+        got = [got[r["b"]] if g == got[r["a"]] else g for g in got]
+    assert partition(range(n), got) == partition(range(n), root) and 100 < len(set(root)) < n
+    assert +sums == weight
+
+
+@pytest.mark.parametrize("free", [1, 7, 40])
+def test_blocks_bring_together_what_the_pivot_does_not_join(spark, monkeypatch, free):
+    monkeypatch.setattr(near_copies, "BLOCK", 1000)
+    rows = [(1, u, 10, u if u < free else 99) for u in range(40)]
+    found = near_copies._blocks(spark.createDataFrame(rows, "k long, u long, n long, root long")).collect()
+    meet = {}
+    for r in found:
+        meet.setdefault((r["i"], r["j"]), set()).add(r["u"])
+    assert all(any({a, b} <= m for m in meet.values()) for a in range(free) for b in range(40))
+    assert max(map(len, meet.values())) < 30
