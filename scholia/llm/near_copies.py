@@ -6,7 +6,7 @@ greater ones). So fingerprints have 256 bits here, and candidates differ in RADI
 at 0.8 is missed with a chance of some 3e-8 (1e-5 for 4 and 5 shingles), and of unrelated texts 3e-11 are candidates. Such a radius
 leaves nothing out by fingerprints alone, for those of unrelated texts are all about 128 bits apart. But sets so near have sizes in a
 proportion of LEAST to 1 / LEAST, so the distance is the greater one of that of the fingerprints and that of the sizes, on a logarithmic
-scale; by it the trees do leave out what is longer or shorter. What is left of all pairs, at least a seventh on the test table, is
+scale; by it the trees do leave out what is longer or shorter, and so does the order of sizes within a leaf. What is left of all pairs, at least a seventh on the test table, is
 compared: the work grows with the square of the number of texts.
 
 Candidates are then compared on the sets of shingles themselves, as 64-bit hashes, so no pair below LEAST is linked. Texts of equal
@@ -44,7 +44,7 @@ RADIUS, HALF, FEWEST = 76, 48, 4
 #: A length's logarithm on the scale of the distance: sizes in a proportion of LEAST are RADIUS apart, or less.
 SCALE = (RADIUS - 1) / -math.log(LEAST)
 #: Pairs that are compared at once, and links that a task collects before it joins them.
-PAIRS, LINKS = 1 << 16, 1 << 20
+PAIRS, LINKS = 1 << 17, 1 << 20
 #: Edges that one task joins up, instead of rounds of many.
 FEW = 1 << 16
 #: Shingles of a block of sets that are compared with each other, what a set counts beside its own, and shingles of a step of that.
@@ -98,7 +98,7 @@ class Sets(simhash.Bits):
     """Sets by fingerprint and size: points are rows of u, s (the size's coordinate) and the fingerprint's words. A distance is that of the fingerprints or of the
     sizes, the greater one; both have the triangle inequality, so it has it too."""
 
-    columns, out, leaf = ("u", "s", *(f"f{i}" for i in range(LONGS))), ("a", "b", "w"), 256
+    columns, out, leaf = ("u", "s", *(f"f{i}" for i in range(LONGS))), ("a", "b", "w"), 1024
 
     @staticmethod
     def points(columns: list[np.ndarray]) -> np.ndarray:
@@ -125,18 +125,23 @@ class Sets(simhash.Bits):
                 forest.join(*map(np.concatenate, zip(*wait)))
                 wait.clear()
 
+        size = x[:, 1].astype(np.int64)
         for own, ask in simhash.leaves(x, len(held), radius, among, Sets):
-            y, step = [c.copy() for c in x[own].T], max(1, PAIRS // len(own))
+            own, ask = own[np.argsort(size[own])], ask[np.argsort(size[ask])]
+            y, held_size, step = [c.copy() for c in x[own].T], size[own], max(1, PAIRS // len(own))
             for i in range(0, len(ask), step):
                 part = ask[i : i + step]
+                low, high = np.searchsorted(held_size, [size[part[0]] - radius, size[part[-1]] + radius + 1])
+                if low == high:
+                    continue
                 z = [c.copy()[:, None] for c in x[part].T]
-                half = np.bitwise_count(z[2] ^ y[2])
+                half = np.bitwise_count(z[2] ^ y[2][low:high])
                 for c in range(3, 2 + LONGS // 2):
-                    half += np.bitwise_count(z[c] ^ y[c])
+                    half += np.bitwise_count(z[c] ^ y[c][low:high])
                 at = np.flatnonzero(half <= HALF)
                 if not len(at):
                     continue
-                a, b = part[at // len(own)], own[at % len(own)]
+                a, b = part[at // (high - low)], own[low:high][at % (high - low)]
                 a, b = a[a > b], b[a > b]  # each pair once: what only asks has the higher places
                 d = Sets.distance(x[a], x[b])
                 a, b, d = a[d <= radius], b[d <= radius], d[d <= radius]
