@@ -3,11 +3,15 @@
 The method is that of `simhash`: fingerprints are searched by its vantage-point trees, shard by shard. Its 64 bits and radius of 3 can't
 carry a similarity of 0.8, at which two fingerprints differ in 15 % of their bits (19 % for sets of 4 and 5 shingles, at most 16 % for
 greater ones). So fingerprints have 256 bits here, and candidates differ in RADIUS of them at most, and in HALF of the first 128: a pair
-at 0.8 is missed with a chance of some 3e-8 (1e-5 for 4 and 5 shingles), and of unrelated texts 3e-11 are candidates. Such a radius
-leaves nothing out by fingerprints alone, for those of unrelated texts are all about 128 bits apart. But sets so near have sizes in a
-proportion of LEAST to 1 / LEAST, so the distance is the greater one of that of the fingerprints and that of the sizes, on a logarithmic
-scale; by it the trees do leave out what is longer or shorter, and so does the order of sizes within a leaf. What is left of all pairs, at least a seventh on the test table, is
-compared: the work grows with the square of the number of texts.
+at 0.8 is missed with a chance of some 3e-8 (1e-5 for 4 and 5 shingles), and of unrelated texts 3e-11 are candidates. The distance
+is the greater one of that of the fingerprints and that of the sizes, on a logarithmic scale: sets so near have sizes in a proportion of
+LEAST to 1 / LEAST.
+
+Such a radius leaves nothing out by fingerprints alone, for those of unrelated texts are all about 128 bits apart: trees over all texts send
+each to nearly half of all shards. So the shards are places here, named by the least hashes of a set, and a set goes to at most LOWEST of
+them, however many texts there are: those of sets at LEAST have two in common, for certain up to 54 shingles, else but for a chance of
+0.2^12 * 49 (2e-7) that they have fewer, and of 0.2^12 that they have none. Each place is searched by a tree of its own. A hash that more than CROWD sets have, as of
+a line that many texts share, names no place itself; each pair of it and another one does, up to LOWEST^2 rows for a set.
 
 Candidates are then compared on the sets of shingles themselves, as 64-bit hashes, so no pair below LEAST is linked. Texts of equal
 sets are merged first. A dense group never emits its pairs: the search returns a spanning forest of the candidates, whose components are
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
+from scholia.durable import broadcast_if_small
 from scholia.llm import simhash
 from scholia.llm.common import Forest, anew, components, cut
 
@@ -45,6 +50,10 @@ RADIUS, HALF, FEWEST = 76, 48, 4
 SCALE = (RADIUS - 1) / -math.log(LEAST)
 #: Pairs that are compared at once, and links that a task collects before it joins them.
 PAIRS, LINKS = 1 << 17, 1 << 20
+#: The least hashes of a set by which it is brought together with others, at most, and sets of one of them that are parted by a second one.
+LOWEST, CROWD = 12, 512
+#: Vantage points tried in a crowd, the share of it that must be near the best, and others of those that the rest is compared with first.
+TRIES, DENSE, PROBES = 16, 0.125, 32
 #: Edges that one task joins up, instead of rounds of many.
 FEW = 1 << 16
 #: Shingles of a block of sets that are compared with each other, what a set counts beside its own, and shingles of a step of that.
@@ -79,10 +88,15 @@ def fingerprint(x: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(x)).view(np.uint64)
 
 
-def sketch(text: str | None) -> tuple[int, int, int, np.ndarray]:
-    """A hash of a text's set of shingles, the set's size, that as a coordinate, and its fingerprint."""
+def lowest(x: np.ndarray) -> np.ndarray:
+    """The least hashes of a sorted set: as many as make sure that two are common to sets at LEAST, but LOWEST at most."""
+    return x[: min(LOWEST, len(x) - math.ceil(LEAST * len(x) - 1e-9) + 2)]
+
+
+def sketch(text: str | None) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """A hash of a text's set of shingles, the set's size, that as a coordinate, its fingerprint, and its least hashes."""
     x = hashes(text)
-    return xxh64_intdigest(x.tobytes(), SEED), len(x), int(SCALE * math.log(max(len(x), 1))), fingerprint(x)
+    return xxh64_intdigest(x.tobytes(), SEED), len(x), int(SCALE * math.log(max(len(x), 1))), fingerprint(x), lowest(x)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +105,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = np.array([f[0] for f in found], np.uint64).view(np.int64)
         n, s = (np.array([f[i] for f in found], np.int64) for i in (1, 2))
         bits = np.array([f[3] for f in found], np.uint64).reshape(-1, LONGS).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(u), pa.array(n), pa.array(s), *(pa.array(c.copy()) for c in bits.T)], ["doc_id", "key", "u", "n", *Sets.columns[1:]])
+        low = pa.array([f[4].view(np.int64) for f in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(u), pa.array(n), low, pa.array(s), *(pa.array(c.copy()) for c in bits.T)], ["doc_id", "key", "u", "n", "lowest", *Sets.columns[1:]])
 
 
 class Sets(simhash.Bits):
@@ -114,10 +129,30 @@ class Sets(simhash.Bits):
         return np.maximum(np.bitwise_count(x[:, 2:] ^ v[..., 2:]).sum(1, dtype=np.int64), apart)
 
     @staticmethod
-    def link(held: np.ndarray, asked: np.ndarray, radius: int, among: bool) -> list[np.ndarray]:
+    def near(x: np.ndarray, a: np.ndarray, b: np.ndarray | int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether pairs of places in x are candidates, and their distances."""
+        half = np.bitwise_count(x[a, 2 : 2 + LONGS // 2] ^ x[b, 2 : 2 + LONGS // 2]).sum(-1, dtype=np.int64)
+        d = Sets.distance(x[a], x[b])
+        return (half <= HALF) & (d <= radius), d
+
+    @staticmethod
+    def edges(u: np.ndarray, root: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         """(a, b, 0) of a spanning forest of the candidates, and (a, a, w) of each set that has some: w is the greater, the more and the nearer they are."""
+        u, apart, some = u.view(np.int64), np.flatnonzero(root != np.arange(len(u))), np.flatnonzero(weight)
+        return [np.concatenate(c) for c in ((u[apart], u[some]), (u[root[apart]], u[some]), (np.zeros(len(apart), np.int64), weight[some]))]
+
+    @staticmethod
+    def link(held: np.ndarray, asked: np.ndarray, radius: int, among: bool) -> list[np.ndarray]:
+        """The edges of all candidates between asked and held, and among held, if those are asked for."""
         x = np.concatenate([held, asked])
         forest, weight = Forest(len(x)), np.zeros(len(x), np.int64)
+        Sets.search(x, len(held), radius, among, forest, weight)
+        return Sets.edges(x[:, 0], forest.root, weight)
+
+    @staticmethod
+    def search(x: np.ndarray, held: int, radius: int, among: bool, forest: Forest, weight: np.ndarray, names: np.ndarray | None = None) -> None:
+        """Adds the candidates among x, whose first are held, to the forest and the weights, where x have the places `names`."""
+        names = np.arange(len(x)) if names is None else names
         wait: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> None:
@@ -126,7 +161,7 @@ class Sets(simhash.Bits):
                 wait.clear()
 
         size = x[:, 1].astype(np.int64)
-        for own, ask in simhash.leaves(x, len(held), radius, among, Sets):
+        for own, ask in simhash.leaves(x, held, radius, among, Sets):
             own, ask = own[np.argsort(size[own])], ask[np.argsort(size[ask])]
             y, held_size, step = [c.copy() for c in x[own].T], size[own], max(1, PAIRS // len(own))
             for i in range(0, len(ask), step):
@@ -144,15 +179,64 @@ class Sets(simhash.Bits):
                 a, b = part[at // (high - low)], own[low:high][at % (high - low)]
                 a, b = a[a > b], b[a > b]  # each pair once: what only asks has the higher places
                 d = Sets.distance(x[a], x[b])
-                a, b, d = a[d <= radius], b[d <= radius], d[d <= radius]
+                a, b, d = names[a[d <= radius]], names[b[d <= radius]], d[d <= radius]
                 if len(a):
-                    weight += np.bincount(np.concatenate([a, b]), np.tile(radius + 1 - d, 2), len(x)).astype(np.int64)
+                    weight += np.bincount(np.concatenate([a, b]), np.tile(radius + 1 - d, 2), len(weight)).astype(np.int64)
                     wait.append((a, b))
                     if sum(len(w[0]) for w in wait) >= LINKS:
                         flush()
         flush()
-        u, apart, some = x[:, 0].view(np.int64), np.flatnonzero(forest.root != np.arange(len(x))), np.flatnonzero(weight)
-        return [np.concatenate(c) for c in ((u[apart], u[some]), (u[forest.root[apart]], u[some]), (np.zeros(len(apart), np.int64), weight[some]))]
+
+    @staticmethod
+    def few(x: np.ndarray, of: np.ndarray, radius: int) -> list[np.ndarray]:
+        """The edges of all candidates of equal `of`, which is sorted and of which few are equal; x may be repeated."""
+        names, at = np.unique(x[:, 0], return_inverse=True)
+        forest, weight, step, a = Forest(len(names)), np.zeros(len(names), np.int64), 0, np.arange(len(of))
+        while True:
+            step += 1
+            a = a[a + step < len(of)]
+            a = a[of[a] == of[a + step]]
+            if not len(a):
+                return Sets.edges(names, forest.root, weight)
+            good, d = Sets.near(x, a, a + step, radius)
+            p, q, w = at[a[good]], at[a[good] + step], radius + 1 - d[good]
+            weight += np.bincount(np.concatenate([p, q]), np.tile(w, 2), len(names)).astype(np.int64)
+            forest.join(p, q)
+
+    @staticmethod
+    def crowd(x: np.ndarray, radius: int) -> list[np.ndarray]:
+        """Edges whose components are those of all candidates among x, of which most may be.
+
+        What is near a vantage point is one component with it, so its sets are not compared with each other, and another set only until
+        it is near one of them: a group of copies costs a few comparisons for each.
+        """
+        rng, left = np.random.default_rng(7), np.arange(len(x))
+        forest, weight = Forest(len(x)), np.zeros(len(x), np.int64)
+
+        def join(a: np.ndarray, v: int, d: np.ndarray) -> None:
+            weight[a] += radius + 1 - d
+            weight[v] += (radius + 1 - d).sum()
+            forest.join(a, np.full(len(a), v))
+
+        while len(left) > simhash.SMALL:
+            best = None
+            for v in rng.choice(left, TRIES, False):
+                good, d = Sets.near(x, left, v, radius)
+                if best is None or good.sum() > best[1].sum():
+                    best = v, good, d
+            v, good, d = best
+            if good.sum() < DENSE * len(left):
+                break
+            ball, left = left[good], left[~good]
+            join(ball[ball != v], v, d[good][ball != v])
+            for v in rng.choice(ball, min(PROBES, len(ball)), False):
+                good, d = Sets.near(x, left, v, radius)
+                join(left[good], v, d[good])
+                ball, left = np.concatenate([ball, left[good]]), left[~good]
+            both = np.concatenate([ball, left])
+            Sets.search(x[both], len(ball), radius, False, forest, weight, both)
+        Sets.search(x[left], len(left), radius, True, forest, weight, left)
+        return Sets.edges(x[:, 0], forest.root, weight)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +312,27 @@ def _blocks(members: DataFrame) -> DataFrame:
     return other.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "u", "root")
 
 
+def _placed(sets: DataFrame) -> DataFrame:
+    """The points of the sets, each in the places (column place) that its least hashes name.
+
+    A hash that over CROWD sets have names a place with each other one of theirs instead, unless most of those sets' hashes are such: these are
+    copies of each other, of which a place with a second hash would hold nearly all again.
+    """
+    each = sets.select(*Sets.columns, "lowest", F.explode("lowest").alias("h"))
+    hot = cut(each.groupBy("h").count().where(F.col("count") > CROWD).select("h"))
+    if hot.isEmpty():
+        return each.select(F.col("h").alias("place"), *Sets.columns)
+    held = cut(each.select("u", "h", F.size("lowest").alias("all")).join(broadcast_if_small(hot), "h"))
+    of = held.groupBy("u").count().select(anew("u").alias("_u"), "count")
+    loose = held.join(of, F.col("u") == F.col("_u")).groupBy("h").agg((2 * F.sum("count") < F.sum("all")).alias("loose")).where("loose")
+    each = each.join(broadcast_if_small(cut(loose).withColumnRenamed("h", "_h")), F.col("h") == F.col("_h"), "left")
+    others = F.transform(F.array_remove("lowest", F.col("h")), lambda x: F.xxhash64("h", x))
+    return each.select(F.explode(F.when(F.col("loose"), others).otherwise(F.array("h"))).alias("place"), *Sets.columns)
+
+
 def _by_pivot(sets: DataFrame) -> DataFrame:
     """k, u, n, pivot, m: the members of each group of candidates but its pivot, and the pivot, with both sizes."""
-    found = cut(simhash.links(sets.where(F.col("n") >= FEWEST), RADIUS, Sets))
+    found = cut(simhash.links(_placed(sets.where(F.col("n") >= FEWEST)), RADIUS, Sets, "place"))
     weights = found.where("a = b").groupBy("a").agg(F.sum("w").alias("weight"))
     groups = components(found.where("a <> b").select("a", "b"), few=FEW).select("node", F.col("root").alias("k"))
     rows = cut(groups.join(weights, F.col("node") == F.col("a")).join(sets.select("u", "n"), F.col("node") == F.col("u")).select("k", "u", "n", "weight"))
@@ -242,8 +344,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), root (a set of the component), component_id (its least doc_id): one row per input row."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_sketches, f"doc_id {kind}, key long, u long, n long, {', '.join(f'{c} long' for c in Sets.columns[1:])}"))
-    sets = cut(prints.groupBy("u").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("one"), F.min("doc_id").alias("low"), *(F.min(c).alias(c) for c in Sets.columns[1:])))
+    prints = cut(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_sketches, f"doc_id {kind}, key long, u long, n long, lowest array<long>, {', '.join(f'{c} long' for c in Sets.columns[1:])}"))
+    sets = cut(prints.groupBy("u").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("one"), F.min("doc_id").alias("low"), F.first("lowest").alias("lowest"), *(F.min(c).alias(c) for c in Sets.columns[1:])))
     rows = cut(_by_pivot(sets))
     wanted = rows.select(F.explode(F.array("u", "pivot")).alias("u")).distinct()
     # one row of each set is read again, by its id, so that a text that many rows hold is no hot key

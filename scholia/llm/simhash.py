@@ -15,7 +15,7 @@ null ids, are rows like any other; a component's id is its least doc_id that is
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,10 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
+from scholia.durable import broadcast_if_small
 from scholia.llm.common import Forest, anew, components, cut, table
 
 SEED, WORDS, RADIUS = 42, 3, 3
 SAMPLE, SPREAD, LEAF, BLOCK, CHUNK = 16_384, 16, 48, 1 << 21, 1 << 19
+#: Points of a place that are compared together with those of other places, and that one task holds at most.
+SMALL, LARGE = 64, 1 << 20
 
 
 def fingerprint(text: str | None) -> int:
@@ -174,21 +177,22 @@ class Bits:
         return [x.view(np.int64) for x in link(held, asked, radius, among)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, space: type[Bits] = Bits) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct points (fingerprints: column fp, long) within the radius."""
-    n = distinct.count()
+def _parted(points: DataFrame, radius: int, space: type[Bits], keys: list[str]) -> DataFrame:
+    """Edges of the points (of equal keys, if there are any) by a tree of vantage points over them all and one of each shard."""
+    n = points.count()
     shards = max(1, math.ceil(math.sqrt(n) / SPREAD))  # a fingerprint is sent to more shards the more there are: few large ones
     first, names, wanted = F.xxhash64(space.columns[0]), list(space.columns), max(SAMPLE, 8 * shards)
     # those of the least hashes; the first condition leaves about twice as many, so that the tasks don't send as many each
-    few = distinct.select(names).where(first <= F.lit(min((1 << 63) - 1, -(1 << 63) + (wanted << 65) // max(n, 1))))
+    few = points.select(names).where(first <= F.lit(min((1 << 63) - 1, -(1 << 63) + (wanted << 65) // max(n, 1))))
     sample = few.orderBy(first, space.columns[0]).limit(wanted).toArrow()
     sample = space.points([sample.column(c).to_numpy() for c in names])
     tree, _ = build(sample, len(sample) / shards, radius, space)
-    none = sample[:0].copy()
+    none, by = sample[:0].copy(), len(keys)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = space.points([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            x = space.points(columns[by:])
             found = list(route(tree, x, radius, space))
             home = np.zeros(len(x), np.int64)
             for leaf, at, own in found:
@@ -196,7 +200,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, space: type[Bits] = Bits) -
             for leaf, at, own in found:
                 keep = own | (leaf > home[at])
                 at, own = at[keep], own[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int32)), pa.array(own), *map(pa.array, space.longs(x[at]))], ["shard", "own", *names])
+                of = [*(c[at] for c in columns[:by]), np.full(len(at), leaf, np.int32), own]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, of), *map(pa.array, space.longs(x[at]))], [*keys, "shard", "own", *names])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, asked, among = None, [], [], True
@@ -209,16 +214,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, space: type[Bits] = Bits) -
             return pa.RecordBatch.from_arrays([pa.array(x) for x in found], list(space.out))
 
         for batch in batches:
-            of, own, *x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            x, own = space.points(x), own.astype(bool)
-            cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
-            for i, j in zip([0, *cuts], [*cuts, len(of)]):
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            of, own, x = columns[: by + 1], columns[by + 1].astype(bool), space.points(columns[by + 2 :])
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in of], axis=0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(own)]):
                 if i == j:
                     continue
-                if of[i] != shard:
+                here = [c[i] for c in of]
+                if here != shard:
                     if shard is not None:
                         yield linked()
-                    shard, held, asked, among = of[i], [], [], True
+                    shard, held, asked, among = here, [], [], True
                 held.append(x[i:j][own[i:j]])  # all of a shard's own come before its queries
                 asked.append(x[i:j][~own[i:j]])
                 if sum(map(len, asked)) >= CHUNK:
@@ -226,9 +232,61 @@ def links(distinct: DataFrame, radius: int = RADIUS, space: type[Bits] = Bits) -
         if shard is not None:
             yield linked()
 
-    longs = lambda of: ", ".join(f"{c} long" for c in of)
-    dealt = distinct.select(names).mapInArrow(send, f"shard int, own boolean, {longs(names)}").repartition("shard").sortWithinPartitions("shard", F.desc("own"))
-    return dealt.mapInArrow(search, longs(space.out))
+    of = [*keys, "shard"]
+    dealt = points.select(*keys, *names).mapInArrow(send, f"{''.join(f'{c} long, ' for c in keys)}shard int, own boolean, {_longs(names)}")
+    return dealt.repartition(*of).sortWithinPartitions(*of, F.desc("own")).mapInArrow(search, _longs(space.out))
+
+
+def _longs(names: Iterable[str]) -> str:
+    return ", ".join(f"{c} long" for c in names)
+
+
+def links(points: DataFrame, radius: int = RADIUS, space: type[Bits] = Bits, place: str | None = None) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of distinct points (fingerprints: column fp, long) within the radius.
+
+    With a place (a column of longs), those of all pairs of an equal place: a place is a shard then, searched by a tree of its own
+    (`space.few`, `space.crowd`), and one of over LARGE points is parted into shards as all points are without places.
+    """
+    if place is None:
+        return _parted(points, radius, space, [])
+    names = list(space.columns)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def linked() -> Iterator[pa.RecordBatch]:
+            of, x = map(np.concatenate, zip(*wait))
+            starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            sizes = np.diff(np.append(starts, len(of)))
+            for i in np.flatnonzero(sizes > SMALL):
+                yield space.crowd(x[starts[i] : starts[i] + sizes[i]], radius)
+            few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
+            if few.any():
+                yield space.few(x[few], of[few], radius)
+
+        def edges() -> Iterator[list[np.ndarray]]:
+            for batch in batches:
+                if batch.num_rows:
+                    of, *x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                    x, at = space.points(x), int(np.searchsorted(of, of[-1]))
+                    if wait and wait[-1][0][-1] == of[-1]:  # all of one place, which may go on
+                        wait.append((of, x))
+                        continue
+                    wait.append((of[:at], x[:at]))
+                    yield from linked()
+                    wait[:] = [(of[at:], x[at:])]
+            if wait:
+                yield from linked()
+
+        for found in edges():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], list(space.out))
+
+    large = cut(points.groupBy(place).count().where(F.col("count") > LARGE).select(F.col(place).alias("_place")))
+    same, some = F.col(place) == F.col("_place"), not large.isEmpty()
+    large = broadcast_if_small(large)
+    whole = points.join(large, same, "left_anti") if some else points
+    found = whole.select(place, *names).repartition(place).sortWithinPartitions(place).mapInArrow(search, _longs(space.out))
+    return found.unionByName(_parted(points.join(large, same, "left_semi"), radius, space, [place])) if some else found
 
 
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
