@@ -28,11 +28,14 @@ def scaled(box: Column, dpi: Column | float) -> Column:
 
 
 def is_garbage_region(box: Column, page_width: Column, page_height: Column, least: float = 0.02, aspect: float = 7.0, margin: float = 0.07) -> Column:
-    """Whether a region is too small, too long, or within a page's head or foot."""
+    """Whether a region is too small, too long, or within a page's head or foot.
+
+    Bounds are rounded to nine places: 0.07 * 800 is 56.00000000000001 in binary, and a region that ends at 56 is not within the head.
+    """
     w, h = box["x1"] - box["x0"], box["y1"] - box["y0"]
-    small = (w <= 0) | (h <= 0) | (w * h < least * page_width * page_height)
-    long = F.greatest(w, h) > aspect * F.least(w, h)
-    return small | long | (box["y1"] < margin * page_height) | (box["y0"] > (1 - margin) * page_height)
+    small = (w <= 0) | (h <= 0) | (w * h < F.round(least * page_width * page_height, 9))
+    long = F.greatest(w, h) > F.round(aspect * F.least(w, h), 9)
+    return small | long | (box["y1"] < F.round(margin * page_height, 9)) | (box["y0"] > F.round((1 - margin) * page_height, 9))
 
 
 def changes(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

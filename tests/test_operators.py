@@ -441,3 +441,21 @@ def test_what_is_stored_is_deleted_when_asked(spark):
     durable.discard(spark, path)
     assert not os.path.exists("/" + path.removeprefix("file:").lstrip("/"))
     assert durable.is_small(spark.range(3), 3) and not durable.is_small(spark.range(4), 3) and durable.is_small(spark.range(0), 0)
+
+
+def test_regions_at_the_bounds_of_a_page_are_kept(spark):
+    from decimal import Decimal
+
+    from scholia.functions import documents as D
+
+    def slow(x0, y0, x1, y1, width, height) -> bool:
+        w, h = x1 - x0, y1 - y0
+        small = w <= 0 or h <= 0 or w * h < Decimal("0.02") * width * height
+        return small or max(w, h) > 7 * min(w, h) or y1 < Decimal("0.07") * height or y0 > Decimal("0.93") * height
+
+    boxes = [(0, 0, 400, y1, 700, 800) for y1 in (55, 56, 57)] + [(0, y0, 400, y0 + 60, 700, 800) for y0 in (743, 744, 745)]
+    boxes += [(0, 100, w, 100 + h, 700, 800) for w, h in ((112, 100), (111, 100), (280, 40), (281, 40), (287, 41))]
+    boxes += [(0, 0, 600, 7 * k, 600, 100 * k) for k in range(1, 60)] + [(0, 93 * k, 600, 100 * k, 600, 100 * k) for k in range(1, 60)]
+    rows = spark.createDataFrame([(i, *map(float, b)) for i, b in enumerate(boxes)], "i INT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, w DOUBLE, h DOUBLE")
+    got = rows.select("i", D.is_garbage_region(F.struct("x0", "y0", "x1", "y1"), F.col("w"), F.col("h")).alias("g")).collect()
+    assert {r["i"]: r["g"] for r in got} == {i: slow(*b) for i, b in enumerate(boxes)}
