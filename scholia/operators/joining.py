@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xxhash import xxh32_intdigest, xxh64_intdigest
-
 from scholia.durable import broadcast_if_small, cut, is_small
-
+from scholia.operators.titles import similar_before
 
 #: Names that are compared with each row; beyond, names are joined on equal keys.
 MANY = 1000
@@ -100,70 +92,37 @@ def resolve_field(asked: DataFrame, fields: DataFrame, word: str, alias: str, na
     return hits.groupBy(word).agg(F.min(F.when(F.col("_rank").isNotNull(), F.struct("_rank", "_order", "_name")))["_name"].alias("field"))
 
 
-#: Fuzzy titles: MinHash bands and values of a band over a title's three-letter stretches, and the length up to which titles less one letter are compared.
-BANDS, BAND_ROWS, SHORT = 64, 3, 11
-_random = np.random.default_rng(5)
-_TIMES = _random.integers(0, 1 << 31, (BANDS * BAND_ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _random.integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), np.uint32)
-
-
-def title_keys(title: str) -> list[int]:
-    """Keys of which similar titles share one: bands of MinHash values, and for short titles the hashes of the title less one letter."""
-    keys = []
-    if len(title) <= SHORT:
-        keys = [xxh64_intdigest(x.encode(), 1) for x in {title, *(title[:i] + title[i + 1 :] for i in range(len(title)))}]
-    grams = np.array([xxh32_intdigest(g.encode("utf-8", "surrogatepass")) for g in {title[i : i + 3] for i in range(len(title) - 2)}], np.uint32)
-    if len(grams):
-        low = (_TIMES * grams + _PLUS).min(1).tobytes()
-        keys += [xxh64_intdigest(low[i * 4 * BAND_ROWS : (i + 1) * 4 * BAND_ROWS], 2 + i) for i in range(BANDS)]
-    return [k - (1 << 64) if k >> 63 else k for k in keys]
-
-
 def fuzzy_keep_first(rows: DataFrame, block: Column | None, order: str, text: str, ratio: float = 0.9) -> DataFrame:
     """Greedy keep-first: a row is dropped if its text is over `ratio` similar to one kept before it, of its block if blocks are given.
 
-    Equal texts are merged by an aggregate. Candidates are pairs with a key of `title_keys` in common, across all rows; each is verified
-    by the similarity of sequences in Arrow batches. A pair whose sets of three-letter stretches have a Jaccard similarity of J is missed
-    with a chance of (1 - J^3)^64, 3e-4 at 0.5. Then rounds decide the order: what has no undecided neighbour before it is kept, and its
-    neighbours behind it are dropped. `order` is unique; null texts count as empty, case does not count.
+    Equal texts are merged by an aggregate. All pairs of lengths that are near enough are looked at (`titles.similar_before`), so none is
+    missed. Then rounds decide the order: what has no undecided similar one before it is kept, and those similar to it behind it are
+    dropped. A text with many similar ones is first held against a few; if all of these were dropped, it asks again for what is
+    left. `order` is unique; null texts count as empty, case does not count.
     """
-    kind = rows.schema[order].dataType.simpleString()
+    if not 0 < ratio < 1:
+        raise ValueError("a ratio between 0 and 1")
     block = (F.lit("") if block is None else F.coalesce(block.cast("string"), F.lit(""))).alias("block")
     keyed = rows.select(block, F.lower(F.coalesce(text, F.lit(""))).alias("t"), F.col(order).alias("o"))
     titles = cut(keyed.groupBy("block", "t").agg(F.min("o").alias("o")))
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [title_keys(t) for t in b.column(1).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys))))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array([k for ks in keys for k in ks], pa.int64())], ["block", "o", "k"])
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good, match, last = [], SequenceMatcher(), None
-            for kept, new in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if kept != last:
-                    match.set_seq2(kept)
-                    last = kept
-                match.set_seq1(new)
-                good.append(match.real_quick_ratio() > ratio and match.quick_ratio() > ratio and match.ratio() > ratio)
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    keys = titles.mapInArrow(sketch, f"block string, o {kind}, k long")
-    sized = titles.select("o", "t", F.length("t").alias("n"))
-    one = keys.join(sized.select("o", "n"), "o")
-    side = lambda s: one.select("block", "k", F.col("o").alias(s), F.col("n").alias(f"n{s}"))
-    close = (F.col("a") < F.col("b")) & (2 * F.least("na", "nb") > ratio * (F.col("na") + F.col("nb")))
-    pairs = side("a").join(side("b"), ["block", "k"]).where(close).select("a", "b").distinct()
-    both = pairs.join(sized.select(F.col("o").alias("a"), F.col("t").alias("ta")), "a").join(sized.select(F.col("o").alias("b"), F.col("t").alias("tb")), "b")
-    edges = cut(both.select("a", "b", "ta", "tb").mapInArrow(alike, f"a {kind}, b {kind}"))
-    dropped = [edges.select(F.col("b").alias("o")).limit(0)]
-    while not edges.isEmpty():
-        behind = edges.select(F.col("b").alias("a")).distinct()
-        kept = edges.select("a").distinct().join(behind, "a", "left_anti")
-        gone = cut(edges.join(kept, "a", "left_semi").select(F.col("b").alias("o")).distinct())
-        dropped.append(gone)
-        edges = edges.join(kept, "a", "left_anti").join(gone.select(F.col("o").alias("b")), "b", "left_anti")
-        edges = cut(edges.join(gone.select(F.col("o").alias("a")), "a", "left_anti"))
-    first = titles.select("o").join(reduce(DataFrame.unionByName, dropped), "o", "left_anti").withColumnRenamed("o", "_o")
+    new = cut(similar_before(titles.withColumn("z", F.lit(True)), ratio))
+    some = lambda df: df.select(F.col("b").alias("o")).distinct()
+    edges, more, dropped = new.where("a IS NOT NULL").distinct(), some(new.where("a IS NULL")), some(new.limit(0))
+    while True:
+        waiting = some(edges).union(more)
+        kept = edges.select(F.col("a").alias("o")).distinct().join(waiting, "o", "left_anti")
+        gone = cut(some(edges.join(kept.withColumnRenamed("o", "a"), "a", "left_semi")))
+        if not gone.isEmpty():
+            dropped = cut(dropped.union(gone))
+            more = cut(more.join(gone, "o", "left_anti"))
+            edges = cut(edges.join(gone.withColumnRenamed("o", "b"), "b", "left_anti").join(gone.withColumnRenamed("o", "a"), "a", "left_anti"))
+        elif not more.isEmpty():  # what waits for none that is undecided asks again, among what is not dropped
+            asking = cut(more.join(some(edges), "o", "left_anti").withColumn("z", F.lit(True)))
+            left = titles.join(dropped, "o", "left_anti").join(asking, "o", "left").withColumn("z", F.coalesce("z", F.lit(False)))
+            new = cut(similar_before(left, ratio, again=True))
+            edges = cut(edges.union(new.where("a IS NOT NULL")).distinct())
+            more = cut(more.join(asking, "o", "left_anti").union(some(new.where("a IS NULL"))))
+        else:
+            break
+    first = titles.select(F.col("o").alias("_o")).join(dropped.withColumnRenamed("o", "_o"), "_o", "left_anti")
     return rows.join(first, F.col(order) == F.col("_o"), "left_semi")

@@ -459,3 +459,65 @@ def test_regions_at_the_bounds_of_a_page_are_kept(spark):
     rows = spark.createDataFrame([(i, *map(float, b)) for i, b in enumerate(boxes)], "i INT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, w DOUBLE, h DOUBLE")
     got = rows.select("i", D.is_garbage_region(F.struct("x0", "y0", "x1", "y1"), F.col("w"), F.col("h")).alias("g")).collect()
     assert {r["i"]: r["g"] for r in got} == {i: slow(*b) for i, b in enumerate(boxes)}
+
+
+def _kept(titles: list[str], ratio: float = 0.9) -> list[int]:
+    kept: list[int] = []
+    for i, t in enumerate(titles):
+        if not any(t == titles[k] or SequenceMatcher(None, t, titles[k]).ratio() > ratio for k in kept):
+            kept.append(i)
+    return kept
+
+
+def _edited(r: random.Random, title: str, most: int) -> str:
+    new = list(title)
+    for _ in range(r.randint(1, most)):
+        i = r.randrange(len(new) + 1)
+        new[i : i + r.choice([0, 1, 4])] = [r.choice("etaoinsh rdlu.,q") for _ in range(r.choice([0, 1, 1, 6]))]
+    return "".join(new)
+
+
+def test_similarity_is_that_of_the_sequence_matcher():
+    from scholia.operators.titles import alike, common_length, masks_of, places_of, starts_of
+
+    r = random.Random(8)
+    for _ in range(250):
+        letters = r.choice(["ab", "abc ", "aaaaaabbbbcccddeef ghi,!", "eeeettttaaooiinnsshhrdlu    bcfgkmpvwyz,."])
+        old = "".join(r.choice(letters) for _ in range(r.choice([0, 1, 5, 60, 199, 200, 201, 420, 900])))
+        new = _edited(r, old, max(1, len(old) // r.choice([5, 20, 60])))
+        true = SequenceMatcher(None, new, old).ratio()
+        for ratio in (0.9, 0.5, true, max(0.0, true - 1e-9)):
+            assert alike(new, old, ratio, places_of(new), starts_of(old)) == (true > ratio), (new, old)
+        matched = sum(b.size for b in SequenceMatcher(None, new, old, False).get_matching_blocks())
+        assert matched <= common_length(new, masks_of(places_of(old)), len(old)) <= min(len(new), len(old))
+    rows = [[0] * 40 for _ in range(40)]
+    a, b = "".join(r.choice("abcd") for _ in range(39)), "".join(r.choice("abcd") for _ in range(39))
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+    assert common_length(a, masks_of(places_of(b)), 39) == rows[-1][-1]
+
+
+def test_fuzzy_titles_of_few_stretches_and_in_crowds(spark, monkeypatch):
+    from scholia.operators import titles as TI
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgijklmnopqrstuvwxyz") for _ in range(6))
+    titles = ["ha" * 60 + word() for _ in range(8)] + ["ho " * 150 + word() for _ in range(8)]  # no stretch in common but those of what repeats
+    base = "".join(r.choice("etaoinsh rdlu etaonis h.,q") for _ in range(260))
+    crowd = [base]
+    for _ in range(60):  # copies of copies: similar to some of them, and not to others
+        crowd.append(_edited(r, r.choice(crowd[-12:]), 3))
+    titles += crowd + [_edited(r, base[:k], 4) for k in (20, 60, 150, 190, 199, 205, 230) for _ in range(4)]
+    titles += ["漢字" * 40 + "".join(map(chr, range(0x4E00 + 20 * k, 0x4E00 + 20 * k + r.randint(5, 25)))) for k in range(14)]
+    titles = list(dict.fromkeys(t.lower() for t in titles))
+    r.shuffle(titles)
+    want = _kept(titles)
+    rows = spark.createDataFrame([(f"k{i:03}", t) for i, t in enumerate(titles)], "i STRING, t STRING").repartition(3)
+    for limits in ({}, {"MANY": 5, "PAIRS": 300, "OWN": 20, "ALL": 60}):  # dealt to more tasks, and what is over their limit dealt anew
+        for name, value in limits.items():
+            monkeypatch.setattr(TI, name, value)
+        assert sorted(r["i"] for r in J.fuzzy_keep_first(rows, None, "i", "t").collect()) == [f"k{i:03}" for i in want]
+    assert 0 < len(want) < len(titles) - 30
+    with pytest.raises(ValueError):
+        J.fuzzy_keep_first(rows, None, "i", "t", 1.0)
